@@ -39,8 +39,8 @@ PARAMS = S.Params(today=TODAY, top_k=25, boost=1.2)
 _COS = "round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6)"
 _VEC = f"+ vec as (select node_id, chunk_index, 1 - {_COS} as dist from chunks a, embeddings b where b.vec_id = 0 and a.embedding is not null)"
 _LEX = """cnt as (select node_id, chunk_index, length(content) as n, regexp_extract_all(lower(content), '[a-z]+') as toks from chunks),
-fts as (select node_id, chunk_index, round((len(list_filter(toks, lambda t: t = 'a')) + len(list_filter(toks, lambda t: t = 'of')) + len(list_filter(toks, lambda t: t = 'that'))) / (1 + ln(n)), 6) as text_rank,
-  from cnt where list_contains(toks, 'a') and list_contains(toks, 'of') and list_contains(toks, 'that'))"""
+fts as (select node_id, chunk_index, round((len(list_filter(toks, lambda t: t = 'a')) + len(list_filter(toks, lambda t: t = 'of'))) / (1 + ln(n)), 6) as text_rank,
+  from cnt where list_contains(toks, 'a') and list_contains(toks, 'of'))"""
 _LEGS = f"""{_VEC}, {_LEX},
 okn as (select * from nodes where merged_into is null),
 v as (select node_id, row_number() over (order by dist, node_id) as vec_rank, dist from (select vec.node_id, min(dist) as dist from vec join okn on okn.id = vec.node_id group by 1) order by dist, node_id limit 60),
