@@ -173,13 +173,23 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"point": links["point"], "n_links": links["n_links"], "other": pd.array([None] * len(links), "Int64")})
                 yield pd.DataFrame({"point": forest["a"], "n_links": 0, "other": forest["b"].astype("Int64")})
 
+        def met_groups(pdf: pd.DataFrame, at: list[int], ends: list[int]) -> Iterator[pd.DataFrame]:
+            """Most groups hold no near pair: one small product over rows that were scaled together tells."""
+            if not at:
+                return
+            same = pdf["vector"].map(len).nunique() == 1
+            x = _units(pdf["vector"]) if same else None
+            for s, e in zip(at, ends, strict=True):
+                if e - s < 2 or same and (x[s:e] @ x[s:e].T >= COSINE).sum() <= e - s:
+                    continue
+                yield from results(pdf.iloc[s:e])
+
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             key = pdf[["label", "filter", "a", "b"]].to_numpy()
-            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])) if len(key) else np.zeros(0, int)
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                yield from results(pdf.iloc[s:e])
-            held = pdf.iloc[at[-1] :] if len(at) else None
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])).tolist() if len(key) else []
+            yield from met_groups(pdf.iloc[: at[-1]] if at else pdf, at[:-1], at[1:])
+            held = pdf.iloc[at[-1] :] if at else None
         if held is not None and len(held):
             yield from results(held)
 
