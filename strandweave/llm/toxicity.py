@@ -136,6 +136,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Mode
         yield pa.RecordBatch.from_pydict({"bins": [bins.tolist()], "weights": [w.tolist()], "bias": [b]})
 
     found = rows.repartition(1).mapInArrow(fitted, "bins array<bigint>, weights array<double>, bias double").first()
+    if found is None:  # no teaching row has a document
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     return Model(np.array(found["bins"], np.int64), np.array(found["weights"], float), found["bias"])
 
 
@@ -162,8 +164,16 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose text isn't scored as toxic, with their columns."""
-    kept = score(documents, train(documents, labels)).where(F.col("score") < THRESHOLD)
-    return kept.select(*[f"`{c}`" for c in documents.columns if c != "score"])
+    model = train(documents, labels)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            s = model.scores(strings(batch.column(batch.schema.get_field_index("text")), lower=True), table)
+            yield batch.filter(pa.array(s < THRESHOLD))
+
+    return documents.mapInArrow(kept, schema)
 
 
 def brute_scores(texts: list[str], model: Model) -> list[float]:
