@@ -10,7 +10,7 @@ import time
 from strandweave.plans import catalog
 from strandweave.session import session
 
-HEADLINE = "search_hybrid search_vec_leg search_fts_leg derived_similar build_context neighbor_zones entity_dedup_pairs resolve_decide entity_merge dedup_survivor health_report feed_union run_tree distill_transcript profile_tier hard_split".split()
+HEADLINE = "search_hybrid search_vec_leg search_fts_leg derived_similar build_context neighbor_zones entity_dedup_pairs entity_merge dedup_survivor health_report feed_union run_tree distill_transcript profile_tier hard_split".split()
 
 
 def main() -> None:
