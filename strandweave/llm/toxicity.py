@@ -55,19 +55,24 @@ def ngram_bins(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nd
     return found >> BITS, found & ((1 << BITS) - 1)
 
 
-def fit(texts: list[pa.Array], labels: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(bins, their weights, intercept) from the sampled texts; ``prior`` is the share of label 1 before sampling."""
-    pairs, base = [], 0
+def _sampled(texts: list[pa.Array], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bin) pairs of all columns, a slice at a time, so that memory follows the slice and not the sample."""
+    base = 0
     for column in texts:
         for first, part in slices(column):
-            d, b = ngram_bins(part)
-            pairs.append(np.stack([d + base + first, b]))
+            doc, bins = ngram_bins(part, wanted)
+            yield doc + base + first, bins
         base += len(column)
-    doc, bins = np.concatenate(pairs, axis=1)
+
+
+def fit(texts: list[pa.Array], labels: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(bins, their weights, intercept) from the sampled texts; ``prior`` is the share of label 1 before sampling."""
     y = labels == 1
     n1, n0 = int(y.sum()), int((~y).sum())
-    in1 = np.bincount(bins[y[doc]], minlength=1 << BITS)
-    in0 = np.bincount(bins[~y[doc]], minlength=1 << BITS)
+    in1, in0 = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for doc, bins in _sampled(texts):  # counts first; features are read again once they are chosen
+        in1 += np.bincount(bins[y[doc]], minlength=1 << BITS)
+        in0 += np.bincount(bins[~y[doc]], minlength=1 << BITS)
     ratio = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     z = np.abs(ratio) / np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
     z[(in1 + in0 < 5) | (z < LEAST_Z)] = 0
@@ -77,9 +82,9 @@ def fit(texts: list[pa.Array], labels: np.ndarray, prior: float) -> tuple[np.nda
         return kept, np.zeros(0), odds
     place = np.full(1 << BITS, -1)
     place[kept] = np.arange(len(kept))
-    some = place[bins] >= 0
     x = np.zeros((len(y), len(kept)), np.float32)
-    x[doc[some], place[bins[some]]] = ratio[bins[some]]
+    for doc, bins in _sampled(texts, place >= 0):
+        x[doc, place[bins]] = ratio[bins]
     weight = np.where(y, prior / n1, (1 - prior) / n0)
     w, b, m, v = np.zeros(len(kept)), odds, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     for step in range(1, 301):
