@@ -68,7 +68,7 @@ def profile_tier(degree: Column) -> Column:
 def humanize_days(days: Column) -> Column:
     """How far a day lies from today, in words; halves round up."""
     n = F.abs(days)
-    count = F.when(n <= 27, n).when(n < 330, F.floor(n / 30.44 + 0.5)).when(n < 400, F.lit(1)).otherwise(F.floor(n / 365.25 + 0.5)).cast("int")
+    count = F.when(n <= 27, n).when(n < 330, F.floor(n / 30 + 0.5)).when(n < 400, F.lit(1)).otherwise(F.floor(n / 365 + 0.5)).cast("int")
     name = F.when(n <= 27, "day").when(n < 330, "month").otherwise("year")
     words = F.concat(count.cast("string"), F.lit(" "), name, F.when(count == 1, "").otherwise("s"))
     return F.when(days == 0, "today").when(days == -1, "yesterday").when(days == 1, "tomorrow").when(days < 0, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))

@@ -609,7 +609,7 @@ def resolve_season(m):
 
 
 _N = "abs(days)"
-_COUNT = f"cast(case when {_N} <= 27 then {_N} when {_N} < 330 then floor({_N} / 30.44::double + 0.5) when {_N} < 400 then 1 else floor({_N} / 365.25::double + 0.5) end as int)"
+_COUNT = f"cast(case when {_N} <= 27 then {_N} when {_N} < 330 then floor({_N} / 30.0::double + 0.5) when {_N} < 400 then 1 else floor({_N} / 365.0::double + 0.5) end as int)"
 _UNIT = f"case when {_N} <= 27 then 'day' when {_N} < 330 then 'month' else 'year' end"
 _SAID = f"cast({_COUNT} as varchar) || ' ' || {_UNIT} || case when {_COUNT} = 1 then '' else 's' end"
 
