@@ -72,3 +72,38 @@ def humanize_days(days: Column) -> Column:
     name = F.when(n <= 27, "day").when(n < 330, "month").otherwise("year")
     words = F.concat(count.cast("string"), F.lit(" "), name, F.when(count == 1, "").otherwise("s"))
     return F.when(days == 0, "today").when(days == -1, "yesterday").when(days == 1, "tomorrow").when(days < 0, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))
+
+
+def ago(count: Column, unit: str, past: Column) -> Column:
+    words = F.concat(count.cast("int").cast("string"), F.lit(f" {unit}"), F.when(count == 1, "").otherwise("s"))
+    return F.when(past, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))
+
+
+def humanize_months(month: Column, now: Column) -> Column:
+    """How far a month lies from the present one; a year and more in years, halves up."""
+    d = F.year(month) * 12 + F.month(month) - F.year(now) * 12 - F.month(now)
+    far = F.when(F.abs(d) < 12, ago(F.abs(d), "month", d < 0)).otherwise(ago(F.floor(F.abs(d) / 12 + 0.5), "year", d < 0))
+    return F.when(d == 0, "this month").when(d == -1, "last month").when(d == 1, "next month").otherwise(far)
+
+
+def humanize_years(year: Column, now: Column) -> Column:
+    d = F.year(year) - F.year(now)
+    return F.when(d == 0, "this year").when(d == -1, "last year").when(d == 1, "next year").otherwise(ago(F.abs(d), "year", d < 0))
+
+
+def relative(anchor: Column, offset: Column, unit: str) -> Column:
+    """The date ``offset`` units from ``anchor``, as precise as the unit: a day, a month or a year."""
+    if unit in ("day", "week"):
+        return F.date_format(F.date_add(anchor, offset * (7 if unit == "week" else 1)), "yyyy-MM-dd")
+    if unit == "month":
+        return F.date_format(F.add_months(F.trunc(anchor, "month"), offset), "yyyy-MM")
+    year = F.year(anchor) + offset
+    return F.when(year.between(1, 9999), year.cast("string"))
+
+
+def collapse(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+
+def first_words(x: Column, most: int) -> Column:
+    return F.array_join(F.slice(F.split(x, " "), 1, most), " ")

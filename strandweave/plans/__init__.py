@@ -1,0 +1,5 @@
+"""Importing this package registers every query."""
+
+from . import catalog, records
+
+__all__ = ["catalog", "records"]
