@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import stage
-from .textkit import mix, runs, shingles, slices, strings, unit, words
+from .textkit import mix, runs, shingles, slices, strings, tidy, unit, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -135,6 +135,7 @@ def signed(documents: DataFrame) -> DataFrame:
     """(doc_id, key, bands) of every document; ``key`` is 0 and ``bands`` empty without words."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(strings(batch.column(1), lower=True)):
@@ -152,6 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     x = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     y = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
+    @tidy
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
@@ -207,6 +209,7 @@ def _rest(mixed: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     seats = seats.select("band", "key", "component", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
     rows = seats.join(texts.select("key", "text"), "key").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "key")
 
+    @tidy
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for pdf in batches:

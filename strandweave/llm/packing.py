@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import default_path, encoder
 from .ranks import buckets_for, positions
 from .store import stage
-from .textkit import slices, strings
+from .textkit import slices, strings, tidy
 
 CAPACITY, END_ID = 1024, 0
 PIECES = "array<struct<start: bigint, length: bigint, ids_crc32: bigint>>"
@@ -36,6 +36,7 @@ def cut(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"doc_tokens bigint, pieces {PIECES}"])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
+    @tidy
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:

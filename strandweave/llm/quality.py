@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .labelled import remainder, teaching
 from .store import stage
-from .textkit import runs, shingles, slices, strings, words
+from .textkit import runs, shingles, slices, strings, tidy, words
 
 THRESHOLD = 0.3
 MOD, HELD = 5, 0
@@ -79,6 +79,7 @@ def with_statistics(documents: DataFrame) -> DataFrame:
     rest = [f for f in documents.schema.fields if f.name not in ("text", "_stats")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "_stats array<double>"])
 
+    @tidy
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(batch.schema.get_field_index("text")))
@@ -131,6 +132,7 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Dis
     rows = measured.select("doc_id", "_stats").join(known, "doc_id").select("label", "_stats")
     k = len(NAMES)
 
+    @tidy
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 1 + k + k * k))
         for pdf in batches:
@@ -171,6 +173,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     cols = [f for f in documents.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols)
 
+    @tidy
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column(batch.schema.get_field_index("text")))

@@ -6,7 +6,9 @@ A word is a maximal run of bytes above 0x20; every text is read whole.  Texts ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +38,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * (2.0**-53)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives its freed memory back at the end.
+
+    Spark keeps Python workers for later tasks; without this each would hold the peak of every stage it has served.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def strings(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> pa.Array:
     """The column as one string array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import remainder, teaching
-from .textkit import slices, strings
+from .textkit import slices, strings, tidy
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -130,6 +130,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Mode
     chosen = part[0].union(part[1])  # 2 * MAX_PER_CLASS rows at most
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
+    @tidy
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = [], []
         for batch in batches:
@@ -151,6 +152,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     rest = [f for f in documents.schema.fields if f.name != "score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", score double"
 
+    @tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
@@ -172,6 +174,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(documents, labels)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
+    @tidy
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
