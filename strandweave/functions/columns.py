@@ -107,3 +107,8 @@ def collapse(x: Column) -> Column:
 
 def first_words(x: Column, most: int) -> Column:
     return F.array_join(F.slice(F.split(x, " "), 1, most), " ")
+
+
+def cursor(*keys: str) -> Column:
+    """A page's place as text: the compact JSON list of its keys in unpadded base64 for addresses."""
+    return F.rtrim(F.translate(F.base64(F.encode(F.to_json(F.array(*keys)), "UTF-8")), "+/", "-_"), F.lit("="))

@@ -74,3 +74,12 @@ def bounded_log(lines: DataFrame, most: int) -> DataFrame:
     kept = lines.withColumn("back", F.row_number().over(w)).where(F.col("back") <= most).select("session_id", "turn", F.col("content").alias("line"))
     over = lines.groupBy("session_id").agg((F.count("*") - most).alias("n")).where("n > 0")
     return kept.union(over.select("session_id", F.lit(-1).cast("long"), F.concat(F.lit("… "), F.col("n").cast("string"), F.lit(" lines dropped"))))
+
+
+def jaccard(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, shared, jaccard) of pairs (a, b, shared): shared neighbours over all of both; the two themselves don't count."""
+    n = links.groupBy("id").agg(F.count("*").alias("n"))
+    direct = links.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(2).alias("own"))
+    out = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").join(direct, ["a", "b"], "left")
+    rest = F.col("na") + F.col("nb") - F.col("shared") - F.coalesce("own", F.lit(0))
+    return out.select("a", "b", "shared", F.round(F.col("shared") / rest, 6).alias("jaccard"))

@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import records as R
-from .catalog import _LINKS, _TYPES, TODAY, query
+from .catalog import _AROUND, _LINKS, _SURF, _TYPES, ORACLE_SQL, QUERIES, TODAY, _near, query
 
 _LIVE = "nodes where merged_into is null"
 
@@ -168,3 +168,66 @@ def resolve_relative(m):
 
 
 __all__: list[str] = []
+
+
+@query(f"+ {_OBS} select center, max(since) as newest from obs group by 1 having max(since) < date '2022-01-01'", "nodes", "edges")
+def health_stale(m):
+    newest = _observations(m).groupBy("center").agg(F.max("since").alias("newest"))  # an undated hub is never stale
+    return newest.where(F.col("newest") < F.to_date(F.lit("2022-01-01")))
+
+
+@query(
+    f"""{_SURF}, {_LINKS}, k as (select stok.id, type, token, other from stok join links on links.id = stok.id),
+  met as (select distinct x.id as a, y.id as b, x.other from k x join k y on x.type = y.type and x.token = y.token and x.other = y.other and x.id < y.id),
+  p as (select a, b, count(*) as shared from met group by 1, 2), deg as (select id, count(*) as n from links group by 1)
+  select p.a, p.b, shared, round(shared / (x.n + y.n - shared - case when l.id is null then 0 else 2 end), 6) as jaccard
+  from p join deg x on x.id = p.a join deg y on y.id = p.b left join links l on l.id = p.a and l.other = p.b""",
+    "nodes",
+    "edges",
+)
+def entity_dedup_shared(m):
+    links = E.endpoints(m.nodes, m.edges)
+    return R.jaccard(E.duplicate_pairs(m.nodes, links), links)
+
+
+@query(f"select * from ({ORACLE_SQL['dedup_canonicalize']}) order by score desc, a, b limit 200")
+def dedup_cap(m):
+    return QUERIES["dedup_canonicalize"](m.spark, m.sf_dir).orderBy(F.desc("score"), "a", "b").limit(200)
+
+
+@query(
+    f"{_AROUND} select center, node_id, rtrim(translate(to_base64(encode(cast(to_json([origin, rel, dir, node_id]) as varchar))), '+/', '-_'), '=') as cursor from near",
+    "nodes",
+    "edges",
+)
+def neighbors_cursor(m):
+    return _near(m).select("center", "node_id", C.cursor("origin", "rel", "dir", "node_id").alias("cursor"))
+
+
+_SEEDS = "memory person idea conversation insight place event project topic".split()
+
+
+@query(f"select unnest([{', '.join(repr(t) for t in _SEEDS)}]) as type union select type from nodes", "nodes")
+def vocab_effective(m):
+    seeds = m.nodes.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, _SEEDS))).alias("type"))
+    return seeds.union(m.nodes.select("type").distinct()).distinct()
+
+
+@query(f"select id from {_LIVE} and type not in {_TYPES} and store_path like 'insight/%'", "nodes")
+def content_node_ids(m):
+    return G.live(m.nodes).where(~F.col("type").isin(E.ENTITY_TYPES) & F.col("store_path").startswith("insight/")).select("id")
+
+
+@query("select capture_id from captures where status = 'organizing' and created_at < timestamp '2024-01-10'", "captures")
+def draft_gc(m):
+    return m.captures.where("status = 'organizing' and created_at < timestamp_ntz '2024-01-10 00:00:00'").select("capture_id")
+
+
+@query("select session_id, max(at_minute) as newest from chat_messages group by 1 order by newest desc, session_id limit 10", "chat_messages")
+def sessions_list(m):
+    return m.chat_messages.groupBy("session_id").agg(F.max("at_minute").alias("newest")).orderBy(F.desc("newest"), "session_id").limit(10)
+
+
+@query("select run_id, agent, status from agent_runs where run_id > 100 order by run_id limit 50", "agent_runs")
+def run_logs_tail(m):
+    return m.agent_runs.where("run_id > 100").select("run_id", "agent", "status").orderBy("run_id").limit(50)
