@@ -5,8 +5,9 @@ some window of ``WINDOW`` runs.  All occurrences of a seed are joined with its f
 frequent passage costs one row an occurrence.  Per pair of documents, seeds on one diagonal merge into segments,
 and the best collinear chains of segments, with a gap cost in both documents, are read off a Fenwick tree of prefix
 maxima.  Each chain is then aligned on the two texts: words on the outer diagonals and in the gaps are compared, and
-the best-scoring stretch (``MATCH`` a word in common, ``MISS`` otherwise) is a passage if it has at least
-``LEAST_WORDS`` words in this document and at least ``SIMILARITY`` of them in common.
+every maximal stretch (``MATCH`` a word in common, ``MISS`` otherwise: the best-scoring one, then the best to its left
+and right, and so on) is a passage if it has at least ``LEAST_WORDS`` words in this document and at least
+``SIMILARITY`` of them in common.
 
 The document of the smaller doc_id keeps its passage; it is cut from the others.  Texts are read whole.  Null text
 counts as empty and null doc_ids are left alone, as are rows whose doc_id comes with several texts.  Rows equal in
@@ -30,6 +31,7 @@ from .textkit import shingles, slices, strings, tidy, words
 SEED, WINDOW, LEAST_WORDS, SIMILARITY = 6, 16, 50, 0.8
 GAP = 0.1  #: cost of a word skipped in either document
 MATCH, MISS = 1.0, -3.0
+STRICT = -SIMILARITY / (1 - SIMILARITY)  #: in place of MISS inside a stretch that falls short of SIMILARITY
 PAD = 500  #: code points around a chain in which its passage may go on, besides the chain itself
 BROADCAST_ROWS = 1_000_000  #: document ids (8 bytes each) that may be sent to every executor
 _WORD = re.compile(r"[^\x00-\x20]+")
@@ -165,68 +167,100 @@ def chained(matches: DataFrame) -> DataFrame:
 COLUMNS = [c.split()[0] for c in CHAIN.split(", ")]
 
 
-def _common(a: list[str], b: list[str]) -> np.ndarray:
-    """Which words of ``a`` a best alignment with ``b`` has in common."""
-    hit = np.zeros(len(a), bool)
-    if len(a) == len(b):
-        hit = np.array([x == y for x, y in zip(a, b, strict=True)], bool)
-    elif a and b and len(a) * len(b) <= 4096:
-        size = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                size[i, j] = size[i + 1, j + 1] + 1 if a[i] == b[j] else max(size[i + 1, j], size[i, j + 1])
+def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Words (number in ``a``, number in ``b``) that an alignment of the two has in common, in order."""
+    short = min(len(a), len(b))
+    head = next((k for k in range(short) if a[k] != b[k]), short)
+    tail = next((k for k in range(short - head) if a[-1 - k] != b[-1 - k]), short - head)
+    out = [(k, k) for k in range(head)]
+    n, m = len(a) - head - tail, len(b) - head - tail
+    if n == m:
+        out += [(head + k, head + k) for k in range(n) if a[head + k] == b[head + k]]
+    elif n and m and n * m <= 4096:
+        a_mid, b_mid = a[head : head + n], b[head : head + m]
+        size = np.zeros((n + 1, m + 1), int)
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                size[i, j] = size[i + 1, j + 1] + 1 if a_mid[i] == b_mid[j] else max(size[i + 1, j], size[i, j + 1])
         i = j = 0
-        while i < len(a) and j < len(b):
-            if a[i] == b[j]:
-                hit[i] = True
+        while i < n and j < m:
+            if a_mid[i] == b_mid[j]:
+                out.append((head + i, head + j))
                 i, j = i + 1, j + 1
             elif size[i + 1, j] >= size[i, j + 1]:
                 i += 1
             else:
                 j += 1
-    return hit
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
-def align(before: str, after: str, rep_before: str, rep_after: str, links: list[int]) -> tuple[int, int, int] | None:
-    """(start, stop, words) of the best stretch, in code points from the chain's first seed; None if it is no passage.
+def stretches(gain: list[float], loss: list[float]) -> list[tuple[int, int]]:
+    """(first, last) run of every maximal stretch: the best-scoring one, then the best to its left and right, and so on.
+
+    ``gain`` is the score of each run, ``loss`` (negative) that of what lies before it.  One pass (Ruzzo and Tompa).
+    """
+    out: list[tuple[float, float, int, int, int]] = []  # score before, score after, first, last, nearest with less before
+    total = 0.0
+    for k, (won, lost) in enumerate(zip(gain, loss, strict=True)):
+        low, first = total + lost, k
+        total = low + won
+        at = len(out) - 1
+        while True:
+            while at >= 0 and out[at][0] >= low:
+                at = out[at][4]
+            if at < 0 or out[at][1] >= total:
+                out.append((low, total, first, k, at))
+                break
+            low, first, before = out[at][0], out[at][2], out[at][4]
+            del out[at:]
+            at = before
+    return [(first, last) for _, _, first, last, _ in out]
+
+
+def align(before: str, after: str, rep_before: str, rep_after: str, links: list[int]) -> list[tuple[int, int, int]]:
+    """(start, stop, words) of every passage of a chain, in order, in code points from the chain's first seed.
 
     ``before`` and ``after`` are the text up to and from the first seed, in this document and in the other.
     """
-    left = list(_WORD.finditer(before))
-    right = list(_WORD.finditer(after))
-    a = [m.group() for m in right]
-    rep_left, b = _WORD.findall(rep_before), _WORD.findall(rep_after)
-    n = min(len(left), len(rep_left))
-    hits = [np.array([left[-k].group() == rep_left[-k] for k in range(n, 0, -1)], bool)]
-    seg = [links[k : k + 4] for k in range(0, len(links), 4)]
-    at, rep_at, extra = 0, 0, 0
-    costs: dict[int, int] = {}  # words of the other document that a gap skips, at the word after it
-    for x0, x1, y0, y1 in seg:
-        x0, y0 = max(x0, at), max(y0, rep_at)
-        hits.append(_common(a[at:x0], b[rep_at:y0]))
-        if (skipped := (y0 - rep_at) - (x0 - at)) > 0:
-            costs[n + x0] = skipped
+    left, right = list(_WORD.finditer(before)), list(_WORD.finditer(after))
+    rep_left = _WORD.findall(rep_before)
+    a, b = [m.group() for m in left + right], rep_left + _WORD.findall(rep_after)
+    at, rep_at = len(left), len(rep_left)
+    n = min(at, rep_at)
+    hits = [(at - k, rep_at - k) for k in range(n, 0, -1) if a[at - k] == b[rep_at - k]]
+    for k in range(0, len(links), 4):
+        x0, x1, y0, y1 = len(left) + links[k], len(left) + links[k + 1], len(rep_left) + links[k + 2], len(rep_left) + links[k + 3]
+        over = max(0, at - x0, rep_at - y0)
+        x0, y0 = x0 + over, y0 + over
+        hits += [(at + i, rep_at + j) for i, j in _matched(a[at:x0], b[rep_at:y0])]
         size = max(0, min(x1 - x0, y1 - y0))
-        hits.append(np.array([p == q for p, q in zip(a[x0 : x0 + size], b[y0 : y0 + size], strict=False)], bool))
-        at, rep_at = x0 + len(hits[-1]), y0 + len(hits[-1])
-    rest = min(len(a) - at, len(b) - rep_at)
-    hits.append(np.array([p == q for p, q in zip(a[at : at + rest], b[rep_at : rep_at + rest], strict=False)], bool))
-    hit = np.concatenate(hits)
-    if len(hit) < LEAST_WORDS:
-        return None
-    gain = np.where(hit, MATCH, MISS)
-    for k, skipped in costs.items():
-        if k < len(gain):
-            gain[k] += MISS * skipped
-    total = np.concatenate([[0.0], np.cumsum(gain)])
-    low = np.minimum.accumulate(total)
-    stop = int((total - low).argmax())
-    start = int(np.flatnonzero(total[: stop + 1] == low[stop])[-1])
-    if stop - start < LEAST_WORDS or hit[start:stop].sum() < SIMILARITY * (stop - start + extra):
-        return None
-    all_words = left[len(left) - n :] + right
-    first, last = all_words[start], all_words[stop - 1]
-    return (first.start() - len(before) if start < n else first.start()), (last.end() - len(before) if stop - 1 < n else last.end()), stop - start
+        hits += [(x0 + i, y0 + i) for i, (p, q) in enumerate(zip(a[x0 : x0 + size], b[y0 : y0 + size], strict=False)) if p == q]
+        at, rep_at = x0 + size, y0 + size
+    hits += [(at + i, rep_at + i) for i, (p, q) in enumerate(zip(a[at:], b[rep_at:], strict=False)) if p == q]
+    if len(hits) < SIMILARITY * LEAST_WORDS:
+        return []
+    x, y = np.array(hits).T
+    skipped = np.maximum(np.diff(x), np.diff(y)) - 1
+    first = np.append(0, np.flatnonzero(skipped) + 1)
+    size = np.diff(np.append(first, len(x)))
+    lost = np.append(0, skipped[first[1:] - 1])
+
+    def found(low: int, high: int, miss: float) -> Iterator[tuple[int, int, int]]:
+        """Passages among the runs from ``low`` to before ``high``."""
+        for s, e in stretches((MATCH * size[low:high]).tolist(), (miss * lost[low:high]).tolist()):
+            i, j = int(x[first[low + s]]), int(x[first[low + e] + size[low + e] - 1]) + 1
+            if j - i < LEAST_WORDS:
+                continue
+            if size[low + s : low + e + 1].sum() >= SIMILARITY * (j - i):
+                yield i, j, j - i
+            elif miss > STRICT:
+                yield from found(low + s, low + e + 1, STRICT)
+
+    def point(k: int, end: bool) -> int:
+        m = left[k] if k < len(left) else right[k - len(left)]
+        return (m.end() if end else m.start()) - (len(before) if k < len(left) else 0)
+
+    return [(point(i, False), point(j - 1, True), size) for i, j, size in found(0, len(first), MISS)]
 
 
 def passages(documents: DataFrame) -> DataFrame:
@@ -260,8 +294,8 @@ def passages(documents: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                if hit := align(r.before, r.after, r.rep_before, r.rep_after, list(r.links)):
-                    out.append((r.doc_id, r.start + hit[0], r.start + hit[1], hit[2], r.rep_id))
+                for start, stop, size in align(r.before, r.after, r.rep_before, r.rep_after, list(r.links)):
+                    out.append((r.doc_id, r.start + start, r.start + stop, size, r.rep_id))
             yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "words", "source_id"])
 
     return rows.mapInPandas(aligned, "doc_id bigint, start int, stop int, words int, source_id bigint")

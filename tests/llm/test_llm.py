@@ -336,6 +336,29 @@ def test_passages(spark):
     assert found[3].text.split()[-80:] == c and len(found[3].text.split()) <= 80 + 3
 
 
+def test_every_passage_of_a_chain(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(n)]
+    rows, wanted, k = [], {}, 0
+    for gap in (10, 20, 40, 80, 150, 300, 600, 1000):
+        for sizes in ((60, 70), (70, 60, 90)):
+            shared = [fresh(n) for n in sizes]
+            own = [[fresh(30), *[fresh(gap + d) for _ in sizes[1:]], fresh(30)] for d in (0, 7)]
+            for d in (0, 1):
+                text = own[d][0] + [w for p, o in zip(shared, own[d][1:], strict=True) for w in p + o]
+                rows.append((k + d, " ".join(text)))
+            wanted[k + 1] = [w for o in own[1] for w in o], gap
+            k += 2
+    found = {r.doc_id: r for r in chaining.without_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for d, (rest, gap) in wanted.items():
+        assert found[d - 1].spans is None
+        left = found[d].text.split()
+        if gap > 10:  # a gap of 17 words between two passages at SIMILARITY may go with them
+            assert left == rest, (d, gap)
+        else:
+            assert left[:30] == rest[:30] and left[-30:] == rest[-30:] and len(left) <= len(rest)
+
+
 def test_chains_against_brute_force():
     for seed in range(20):
         r = random.Random(seed)
