@@ -2,7 +2,8 @@
 
 Every document of ``LEAST_WORDS`` words or more is winnowed to seeds: runs of ``SEED`` words whose hash is smallest in
 some window of ``WINDOW`` runs.  All occurrences of a seed are joined with its first one (smallest doc_id), so a
-frequent passage costs one row an occurrence.  Per pair of documents, seeds on one diagonal merge into segments,
+frequent passage costs one row an occurrence.  Seeds that three or more documents hold and that end in no passage are
+then joined by pairs, each with the pair's first holder, then its next, until a round brings no new passage.  Per pair of documents, seeds on one diagonal merge into segments,
 and the best collinear chains of segments, with a gap cost in both documents, are read off a Fenwick tree of prefix
 maxima.  Each chain is then aligned on the two texts: words on the outer diagonals and in the gaps are compared, and
 every maximal stretch (``MATCH`` a word in common, ``MISS`` otherwise: the best-scoring one, then the best to its left
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import short_batches, stage
 from .textkit import shingles, slices, strings, tidy, words
 
 SEED, WINDOW, LEAST_WORDS, SIMILARITY = 6, 16, 50, 0.8
+PAIRS = 6  #: seeds that a seed is paired with, in further rounds
 GAP = 0.1  #: cost of a word skipped in either document
 MATCH, MISS = 1.0, -3.0
 STRICT = -SIMILARITY / (1 - SIMILARITY)  #: in place of MISS inside a stretch that falls short of SIMILARITY
@@ -138,6 +140,7 @@ def chained(matches: DataFrame) -> DataFrame:
         held = None
 
         def results(g: pd.DataFrame) -> list[tuple]:
+            g = g[np.append(True, (np.diff(g["word"]) != 0) | (np.diff(g["rep_word"]) != 0))]
             word, other = g["word"].to_numpy(), g["rep_word"].to_numpy()
             point, rep_point = g["point"].to_numpy(), g["rep_point"].to_numpy()
             out = []
@@ -272,9 +275,49 @@ def passages(documents: DataFrame) -> DataFrame:
     if not odd.isEmpty():
         docs = docs.join(odd.where("low <> high").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     found = stage(seeds(docs), "seeds")
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "word", "point")).alias("r"), F.max("doc_id").alias("last")).where("r.doc_id < last")
-    first = first.select("hash", F.col("r.doc_id").alias("rep_id"), F.col("r.word").alias("rep_word"), F.col("r.point").alias("rep_point"))
-    matches = found.join(first, "hash").where("doc_id > rep_id").drop("hash")
+    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "word", "point")).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("r.doc_id < last")
+    first = first.select("hash", "n", F.col("r.doc_id").alias("rep_id"), F.col("r.word").alias("rep_word"), F.col("r.point").alias("rep_point"))
+    held = stage(found.join(first, "hash"), "held")
+    every = accepted = stage(between(docs, held.where("doc_id > rep_id").drop("hash", "n")), "passages")
+    pairs = neighbours(held.where("n > 2"), accepted)
+    # every further round asks the next holders; one without a new passage ends it, but for the first, which may ask the same holders again
+    rounds = 0
+    while rounds < 2 or not accepted.isEmpty():
+        first = pairs.groupBy("key").agg(F.min(F.struct("doc_id", "word", "point", "word2", "point2")).alias("r"), F.max(F.expr("if(open, doc_id, null)")).alias("last")).where("r.doc_id < last")
+        pairs = stage(pairs.join(first.select("key", "r"), "key").where("doc_id > r.doc_id"), "pairs")
+        if pairs.isEmpty():
+            break
+        matches = pairs.where("open").selectExpr("doc_id", "r.doc_id as rep_id", "inline(array(struct(word, point, r.word as rep_word, r.point as rep_point), struct(word2 as word, point2 as point, r.word2 as rep_word, r.point2 as rep_point)))")
+        accepted = stage(between(docs, matches), "passages")
+        every = every.union(accepted)
+        pairs = uncovered(pairs.drop("r"), accepted, "point", "point2")
+        rounds += 1
+    return every
+
+
+def uncovered(rows: DataFrame, found: DataFrame, *points: str) -> DataFrame:
+    """``rows`` with ``open`` unset where one of the points lies in a passage of its document."""
+    inside = " or ".join(f"exists(spans, s -> s.start <= {p} and {p} < s.stop)" for p in points)
+    joined = rows.join(merged(found).select("doc_id", "spans"), "doc_id", "left")
+    return joined.withColumn("open", F.expr(f"open and not coalesce({inside}, false)")).drop("spans")
+
+
+def neighbours(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, word, point, word2, point2, open): pairs of seeds at most ``LEAST_WORDS`` words apart.
+
+    A stock sentence's first holder hides the later holders of its seeds; they are found by a pair across its border.
+    A pair may be asked for while it is open, that is, while neither seed lies in a passage that was found.
+    """
+    asked = stage(uncovered(held.withColumn("open", F.lit(True)), found, "point"), "asked")
+    asked = asked.join(asked.where("open and doc_id > rep_id").select("hash").distinct(), "hash", "left_semi")
+    w = Window.partitionBy("doc_id").orderBy("word")
+    after = F.array(*[F.lead(F.struct("hash", "word", "point", "open"), k).over(w) for k in range(1, PAIRS + 1)])
+    rows = asked.withColumn("after", after).withColumn("b", F.explode("after")).where(f"b.word - word <= {LEAST_WORDS}")
+    return stage(rows.select(F.xxhash64("hash", "b.hash").alias("key"), "doc_id", "word", "point", F.col("b.word").alias("word2"), F.col("b.point").alias("point2"), F.expr("open and b.open").alias("open")), "pairs")
+
+
+def between(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, words, source_id): passages along the chains of ``matches``."""
     chain = stage(chained(matches), "chains")
     ids = stage(chain.select("doc_id").union(chain.select(F.col("rep_id"))).distinct(), "ids")
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
