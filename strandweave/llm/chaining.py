@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .store import short_batches, stage
 from .textkit import shingles, slices, strings, tidy, words
 
-SEED, WINDOW, LEAST_WORDS, SIMILARITY = 6, 16, 50, 0.8
+SEED, WINDOW, LEAST_WORDS, SIMILARITY = 5, 8, 50, 0.8
 PAIRS = 6  #: seeds that a seed is paired with, in further rounds
 GAP = 0.1  #: cost of a word skipped in either document
 MATCH, MISS = 1.0, -3.0
@@ -170,31 +170,76 @@ def chained(matches: DataFrame) -> DataFrame:
 COLUMNS = [c.split()[0] for c in CHAIN.split(", ")]
 
 
+CELLS = 1 << 28  #: bits of an alignment's rows held at once; larger ones are halved first
+
+
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """Rows of the longest common subsequence, bit-parallel: bit j is 0 where word j of ``b`` makes it longer."""
+    places: dict[str, int] = {}
+    for j, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        use = row & places.get(w, 0)
+        row = ((row + use) | (row - use)) & full
+        yield row
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence of any two lists of words, as (number in ``a``, number in ``b``)."""
+    if not set(a) & set(b):
+        return []
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        half = len(a) // 2
+
+        def lengths(x: list[str], y: list[str]) -> np.ndarray:
+            for row in _rows(x, y):
+                pass
+            bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")
+            return np.append(0, np.cumsum(bits[: len(y)] == 0))
+
+        at = int((lengths(a[:half], b) + lengths(a[:half - 1 : -1], b[::-1])[::-1]).argmax())
+        return _longest(a[:half], b[:at]) + [(half + i, at + j) for i, j in _longest(a[half:], b[at:])]
+    rows = list(_rows(a, b))
+    i, j, out = len(a) - 1, len(b) - 1, []
+    while i >= 0 and j >= 0:
+        if rows[i] >> j & 1:
+            j -= 1
+        elif i and not rows[i - 1] >> j & 1:
+            i -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def _scores(pairs: list[tuple[int, int]], end: tuple[int, int]) -> np.ndarray:
+    """Score of an alignment up to each common word, and to ``end``, where one more is assumed."""
+    skipped = np.diff(np.array([(-1, -1), *pairs, end]), axis=0).max(1) - 1
+    return np.cumsum(MATCH + MISS * skipped)
+
+
 def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Words (number in ``a``, number in ``b``) that an alignment of the two has in common, in order."""
     short = min(len(a), len(b))
     head = next((k for k in range(short) if a[k] != b[k]), short)
     tail = next((k for k in range(short - head) if a[-1 - k] != b[-1 - k]), short - head)
-    out = [(k, k) for k in range(head)]
     n, m = len(a) - head - tail, len(b) - head - tail
-    if n == m:
-        out += [(head + k, head + k) for k in range(n) if a[head + k] == b[head + k]]
-    elif n and m and n * m <= 4096:
-        a_mid, b_mid = a[head : head + n], b[head : head + m]
-        size = np.zeros((n + 1, m + 1), int)
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                size[i, j] = size[i + 1, j + 1] + 1 if a_mid[i] == b_mid[j] else max(size[i + 1, j], size[i, j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if a_mid[i] == b_mid[j]:
-                out.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif size[i + 1, j] >= size[i, j + 1]:
-                i += 1
-            else:
-                j += 1
-    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    a_mid, b_mid = a[head : head + n], b[head : head + m]
+    mid = _longest(a_mid, b_mid)
+    if n == m and mid:
+        level = [(k, k) for k in range(n) if a_mid[k] == b_mid[k]]
+        mid = max(level, mid, key=lambda x: _scores(x, (n, m))[-1])
+    return [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in mid] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def _onward(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The same for what follows a chain, where only the beginnings need be alike: by diagonal or alignment, as scores more."""
+    level = [(k, k) for k, (p, q) in enumerate(zip(a, b, strict=False)) if p == q]
+    if len(level) == min(len(a), len(b)):
+        return level
+    return max(level, _longest(a, b), key=lambda x: _scores(x, x[-1])[:-1].max(initial=0.0) if x else 0.0)
 
 
 def stretches(gain: list[float], loss: list[float]) -> list[tuple[int, int]]:
@@ -229,8 +274,7 @@ def align(before: str, after: str, rep_before: str, rep_after: str, links: list[
     rep_left = _WORD.findall(rep_before)
     a, b = [m.group() for m in left + right], rep_left + _WORD.findall(rep_after)
     at, rep_at = len(left), len(rep_left)
-    n = min(at, rep_at)
-    hits = [(at - k, rep_at - k) for k in range(n, 0, -1) if a[at - k] == b[rep_at - k]]
+    hits = [(at - 1 - i, rep_at - 1 - j) for i, j in reversed(_onward(a[:at][::-1], b[:rep_at][::-1]))]
     for k in range(0, len(links), 4):
         x0, x1, y0, y1 = len(left) + links[k], len(left) + links[k + 1], len(rep_left) + links[k + 2], len(rep_left) + links[k + 3]
         over = max(0, at - x0, rep_at - y0)
@@ -239,7 +283,7 @@ def align(before: str, after: str, rep_before: str, rep_after: str, links: list[
         size = max(0, min(x1 - x0, y1 - y0))
         hits += [(x0 + i, y0 + i) for i, (p, q) in enumerate(zip(a[x0 : x0 + size], b[y0 : y0 + size], strict=False)) if p == q]
         at, rep_at = x0 + size, y0 + size
-    hits += [(at + i, rep_at + i) for i, (p, q) in enumerate(zip(a[at:], b[rep_at:], strict=False)) if p == q]
+    hits += [(at + i, rep_at + j) for i, j in _onward(a[at:], b[rep_at:])]
     if len(hits) < SIMILARITY * LEAST_WORDS:
         return []
     x, y = np.array(hits).T

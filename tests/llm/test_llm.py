@@ -375,6 +375,43 @@ def test_passages_behind_stock_sentences(spark):
     assert not missed
 
 
+def test_changed_passages(spark):
+    r = random.Random(13)
+    fresh = lambda n: [f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(n)]
+    rows, passage = [], {}
+    for k in range(0, 80, 2):
+        p = fresh(200 if k < 20 else 80)
+        q = list(p)
+        if k < 20:  # a word put in, in the middle of 80 words with one change in five
+            q = q[:100] + fresh(1) + q[100:]
+            at = range(65, 136, 5)
+        else:
+            at = r.sample(range(1, 79), 8)
+        for i in at:
+            q[i] = fresh(1)[0]
+        passage[k + 1] = q
+        rows += [(k, fresh(70) + p + fresh(90)), (k + 1, fresh(80) + q + fresh(60))]
+    found = {x.doc_id: x for x in chaining.without_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id bigint, text string")).collect()}
+    left = {k: len(set(q) & set(found[k].text.split())) / len(q) for k, q in passage.items()}
+    assert all(left[k] < 0.1 for k in left if k < 20)
+    assert sum(v < 0.5 for k, v in left.items() if k > 20) >= 27
+
+
+def test_longest_common_subsequence(monkeypatch):
+    for seed in range(100):
+        r = random.Random(seed)
+        a, b = ([str(r.randrange(6)) for _ in range(r.randrange(1, 40))] for _ in range(2))
+        size = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                size[i + 1, j + 1] = size[i, j] + 1 if p == q else max(size[i, j + 1], size[i + 1, j])
+        for cells in (1 << 28, 30):
+            monkeypatch.setattr(chaining, "CELLS", cells)
+            pairs = chaining._longest(a, b)
+            assert len(pairs) == size[-1, -1] and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def test_chains_against_brute_force():
     for seed in range(20):
         r = random.Random(seed)
