@@ -362,15 +362,15 @@ def test_every_passage_of_a_chain(spark):
 def test_passages_behind_stock_sentences(spark):
     r = random.Random(12)
     fresh = lambda n: [f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(n)]
-    stock = [fresh(25), fresh(25)]
-    rows = [(k, fresh(40) + stock[k % 2] + fresh(60)) for k in range(6)]
+    stock = [fresh(25) for _ in range(60)]
+    rows = [(k, fresh(40) + stock[k] + fresh(60)) for k in range(60)]
     own = {}
     for k in range(30):
-        p = fresh(5) + stock[0] + fresh(20) + stock[1] + fresh(5)
+        p = fresh(3) + stock[2 * k] + fresh(4) + stock[2 * k + 1] + fresh(2)
         own[200 + k] = fresh(30), fresh(40)
         rows += [(100 + k, fresh(50) + p + fresh(50)), (200 + k, own[200 + k][0] + p + own[200 + k][1])]
     found = {x.doc_id: x for x in chaining.without_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id bigint, text string")).collect()}
-    assert all(found[k].spans is None for k in range(6))
+    assert all(found[k].spans is None for k in range(60))
     missed = [k for k, (a, b) in own.items() if found[k].text.split() != a + b]
     assert not missed
 
