@@ -1,41 +1,47 @@
 """Repeated passages by collinear chaining, and their removal.
 
 Every document of ``LEAST_WORDS`` words or more is winnowed to seeds: runs of ``SEED`` words whose hash is smallest in
-some window of ``WINDOW`` runs.  All occurrences of a seed are joined with its first one (smallest doc_id), so a
-frequent passage costs one row an occurrence.  Seeds that three or more documents hold and that end in no passage are
-then joined by pairs, each with the pair's first holder, then its next, until a round brings no new passage.  Per pair of documents, seeds on one diagonal merge into segments,
-and the best collinear chains of segments, with a gap cost in both documents, are read off a Fenwick tree of prefix
-maxima.  Each chain is then aligned on the two texts: words on the outer diagonals and in the gaps are compared, and
-every maximal stretch (``MATCH`` a word in common, ``MISS`` otherwise: the best-scoring one, then the best to its left
-and right, and so on) is a passage if it has at least ``LEAST_WORDS`` words in this document and at least
-``SIMILARITY`` of them in common.
+some window of ``WINDOW`` runs.  Each occurrence of a seed is joined with the seed's first holder, so a frequent
+passage costs one row an occurrence.  A stock sentence's first holder would hide later holders of a passage that goes
+on beyond the sentence; therefore sequences of seeds whose first holders don't agree are keys of their own (two
+neighbours, and as many as span ``SPAN`` words), and each is joined with the sequence's first holder.
+
+Per pair of documents, seeds on one diagonal merge into segments, and the best collinear chains of segments, with a
+gap cost in both documents, are read off a Fenwick tree of prefix maxima.  Each chain is then aligned on the two
+texts, ``EDGE_WORDS`` words beyond its ends (whatever goes on for longer has seeds of its own): words on the outer
+diagonals and in the gaps are compared, and every maximal stretch (``MATCH`` a word in common, less for others: the
+best-scoring one, then the best to its left and right, and so on) is a passage if it has at least ``LEAST_WORDS`` words
+in this document and at least ``SIMILARITY`` of them in common.
 
 The document of the smaller doc_id keeps its passage; it is cut from the others.  Texts are read whole.  Null text
-counts as empty and null doc_ids are left alone, as are rows whose doc_id comes with several texts.  Rows equal in
-doc_id and text are one document.  Passages repeated inside one document only are not looked for.
+counts as empty and null doc_ids are left alone.  Rows equal in doc_id and text are one document.  Rows of a doc_id
+with several texts are documents of their own; they, and ids that are no integers, take their turn by a 64-bit hash
+of id and text.  Passages repeated inside one document only are not looked for.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import short_batches, stage
-from .textkit import shingles, slices, strings, tidy, words
+from .textkit import mix, shingles, slices, strings, tidy, words
 
 SEED, WINDOW, LEAST_WORDS, SIMILARITY = 5, 8, 50, 0.8
-PAIRS = 6  #: seeds that a seed is paired with, in further rounds
+SPAN = LEAST_WORDS - 2 * (WINDOW - 1)  #: every exact passage holds a sequence of seeds that spans so many words
+EDGE_WORDS = LEAST_WORDS + 2 * WINDOW
 GAP = 0.1  #: cost of a word skipped in either document
-MATCH, MISS = 1.0, -3.0
-STRICT = -SIMILARITY / (1 - SIMILARITY)  #: in place of MISS inside a stretch that falls short of SIMILARITY
-PAD = 500  #: code points around a chain in which its passage may go on, besides the chain itself
-BROADCAST_ROWS = 1_000_000  #: document ids (8 bytes each) that may be sent to every executor
+MATCH = 1.0
+MISS, MISS_LONG, LONG = -2.0, -3.0, 8  #: score of each word not in common, and where more than ``LONG`` of them stand together
+STRICT = -SIMILARITY / (1 - SIMILARITY)  #: in place of both inside a stretch that falls short of SIMILARITY
 _WORD = re.compile(r"[^\x00-\x20]+")
 
 
@@ -49,9 +55,8 @@ def winnow(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.unique(at[doc[first] == doc[first + WINDOW - 1]])
 
 
-def seeds(documents: DataFrame) -> DataFrame:
-    """(hash, doc_id, word, point): winnowed seeds with their first word's number and code point."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def seeds(docs: DataFrame) -> DataFrame:
+    """(key, doc, word, point): winnowed seeds of ``docs`` (doc, text) with their first word's number and code point."""
 
     @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,107 +72,200 @@ def seeds(documents: DataFrame) -> DataFrame:
                 point = points[w.start[first[pick]]] - points[w.offsets[own]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[pick].view(np.int64)), batch.column(0).slice(at, len(part)).take(pa.array(own)), pa.array((first[pick] - w.first[own]).astype(np.int32)), pa.array(point.astype(np.int32))],
-                    ["hash", "doc_id", "word", "point"],
+                    ["key", "doc", "word", "point"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(made, f"hash bigint, doc_id {kind}, word int, point int")
+    return docs.select("doc", "text").mapInArrow(made, "key bigint, doc bigint, word int, point int")
 
 
-def segments(word: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """(first, last) match of each run of matches on one diagonal, by word; matches are sorted by word."""
-    diagonal = other - word
-    order = np.lexsort((word, diagonal))
-    d, w = diagonal[order], word[order]
-    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(w) > 2 * WINDOW + SEED)) + 1
+def with_first(rows: DataFrame, *places: str) -> DataFrame:
+    """The stored ``rows`` whose key two documents hold, with the key's first holder ``rep``, its number of rows ``n``
+    and the columns ``places`` of the first holder's first row as ``rep_...``.  ``rows`` is dropped.
+
+    The keys are counted first and stored, so that a join is dealt anew where one key has a large share of the rows.
+    """
+    keys = rows.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.count("*").alias("n")).where("rep < last")
+    keys = stage(keys.select("key", "rep", "n"), "keys")
+    held = stage(rows.join(keys, "key"), "held", rows, keys)
+    own = held.where("doc = rep").groupBy("key").agg(F.min(F.struct(*places)).alias("r"))
+    own = stage(own.select("key", *[F.col(f"r.{p}").alias(f"rep_{p}") for p in places]), "first")
+    return stage(held.join(own, "key"), "shared", held, own)
+
+
+def sequences(rows: DataFrame) -> DataFrame:
+    """(key, doc, word, point, word2, point2): sequences of shared seeds (two, or spanning ``SPAN`` words) that do not
+    lie on one diagonal of one first holder, and that no seed of two holders ties to their holder already.  All this
+    depends on the words alone, so the holders of a sequence agree on it."""
+    rows = rows.select("doc", "word", "point", "key", "rep", "rep_word", "n").repartition("doc").sortWithinPartitions("doc", "word")
+
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def results(c: list[np.ndarray]) -> pa.RecordBatch:
+            doc, word, point, key, rep, rep_word, holders = c
+            n = len(doc)
+            line = word.astype(np.int64) - rep_word
+            turn = np.append(0, np.cumsum((rep[1:] != rep[:-1]) | (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])))
+            place = np.cumsum(np.append(0, doc[1:] != doc[:-1])).astype(np.int64) << 32
+            reach = np.searchsorted(place + word, place + word + (SPAN - SEED))
+            two = np.append(0, np.cumsum(holders == 2))  # the first holder of such a seed is the only other one
+            out = []
+            with np.errstate(over="ignore"):
+                step = mix(key.view(np.uint64)) * np.uint64(0xD1342543DE82EF95)
+                total = np.append(np.uint64(0), np.cumsum(step * (2 * word.astype(np.uint64) + np.uint64(1))))
+                plain = np.append(np.uint64(0), np.cumsum(step))
+                for kind, last in ((1, np.arange(1, n + 1)), (2, reach)):
+                    i = np.flatnonzero(last < n)
+                    j = last[i]
+                    ok = (doc[i] == doc[j]) & (word[j] - word[i] <= LEAST_WORDS) & (turn[i] != turn[j])
+                    ok &= two[j + 1] - two[i] < 2 if kind == 1 else (two[j + 1] == two[i]) & (j > i + 1)
+                    i, j = i[ok], j[ok]
+                    # seeds and their distances from the first one
+                    inside = total[j + 1] - total[i] - (plain[j + 1] - plain[i]) * (2 * word[i].astype(np.uint64))
+                    out.append((mix(inside + np.uint64(kind)).view(np.int64), i, j))
+            k, i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, doc[i], word[i], point[i], word[j], point[j])], names)
+
+        names = ["key", "doc", "word", "point", "word2", "point2"]
+        for batch in batches:
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if kept is not None:
+                c = [np.concatenate(x) for x in zip(kept, c, strict=True)]
+            if not len(c[0]):
+                continue
+            cut = int(np.flatnonzero(c[0] != c[0][-1])[-1]) + 1 if (c[0] != c[0][-1]).any() else 0
+            kept = [x[cut:] for x in c]
+            if cut:
+                yield results([x[:cut] for x in c])
+        if kept is not None:
+            yield results(kept)
+
+    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, word2 int, point2 int")
+
+
+def segments(word: np.ndarray, other: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """(first, last) match of each run of matches on one diagonal of a group, by group and word; matches are sorted so."""
+    group = np.zeros(len(word), np.int64) if group is None else group
+    diagonal = other.astype(np.int64) - word
+    order = np.lexsort((word, diagonal, group))
+    d, w, g = diagonal[order], word[order], group[order]
+    cut = np.flatnonzero((np.diff(g) != 0) | (np.diff(d) != 0) | (np.diff(w) > 2 * WINDOW + SEED)) + 1
     first, last = order[np.append(0, cut)], order[np.append(cut, len(order)) - 1]
-    by = np.argsort(word[first], kind="stable")
+    by = np.argsort(first, kind="stable")
     return np.stack([first[by], last[by]], 1)
 
 
-def chains(word: np.ndarray, other: np.ndarray) -> list[list[tuple[int, int]]]:
+def chains(word: np.ndarray, other: np.ndarray, seg: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
     """Best disjoint collinear chains of a pair's matches, as lists of (first match, last match) segments."""
-    seg = segments(word, other)
+    seg = segments(word, other) if seg is None else seg
     if len(seg) == 1:
         return [[tuple(seg[0].tolist())]]
-    x0, x1, y0, y1 = word[seg[:, 0]], word[seg[:, 1]] + SEED, other[seg[:, 0]], other[seg[:, 1]] + SEED
-    weight = (x1 - x0).astype(float)
-    ranks = np.unique(y1)
-    tree_value, tree_item = np.full(len(ranks) + 1, -np.inf), np.full(len(ranks) + 1, -1)
-    score, back = weight.copy(), np.full(len(seg), -1)
+    x0, x1, y0, y1 = (x.tolist() for x in (word[seg[:, 0]], word[seg[:, 1]] + SEED, other[seg[:, 0]], other[seg[:, 1]] + SEED))
+    weight = [float(b - a) for a, b in zip(x0, x1, strict=True)]
+    ranks = sorted(set(y1))
+    below = {y: k + 1 for k, y in enumerate(ranks)}
+    limit = np.searchsorted(ranks, np.array(y0) + SEED - 1, "right").tolist()
+    tree_value, tree_item = [-np.inf] * (len(ranks) + 1), [-1] * (len(ranks) + 1)
+    score, back = list(weight), [-1] * len(seg)
     # a segment may follow those that end before it starts in both documents: enter them by their end
-    enter = np.argsort(x1, kind="stable")
+    enter = sorted(range(len(seg)), key=x1.__getitem__)
     entered = 0
-    for k in np.argsort(x0, kind="stable").tolist():
+    for k in sorted(range(len(seg)), key=x0.__getitem__):
         while entered < len(enter) and x1[enter[entered]] <= x0[k] + SEED - 1:
-            j = int(enter[entered])
+            j = enter[entered]
             if x0[j] >= x0[k]:
                 break
-            value, at = score[j] + GAP * (x1[j] + y1[j]), int(np.searchsorted(ranks, y1[j])) + 1
+            value, at = score[j] + GAP * (x1[j] + y1[j]), below[y1[j]]
             while at < len(tree_value):
                 if value > tree_value[at]:
                     tree_value[at], tree_item[at] = value, j
                 at += at & -at
             entered += 1
-        at, best, item = int(np.searchsorted(ranks, y0[k] + SEED - 1, "right")), 0.0, -1
+        at, best, item = limit[k], 0.0, -1
         while at > 0:
             if tree_value[at] - GAP * (x0[k] + y0[k]) > best:
-                best, item = tree_value[at] - GAP * (x0[k] + y0[k]), int(tree_item[at])
+                best, item = tree_value[at] - GAP * (x0[k] + y0[k]), tree_item[at]
             at -= at & -at
         if item >= 0 and y0[item] < y0[k]:
             score[k], back[k] = weight[k] + best, item
-    used, out = np.zeros(len(seg), bool), []
-    for k in np.argsort(-score, kind="stable").tolist():
+    used, out = [False] * len(seg), []
+    for k in sorted(range(len(seg)), key=lambda k: -score[k]):
         chain = []
         while k >= 0 and not used[k]:
             used[k] = True
-            chain.append(tuple(seg[k].tolist()))
-            k = int(back[k])
+            chain.append((int(seg[k, 0]), int(seg[k, 1])))
+            k = back[k]
         if chain:
             out.append(chain[::-1])
     return out
 
 
-CHAIN = "doc_id bigint, rep_id bigint, start int, stop int, rep_start int, rep_stop int, links array<int>"
+CHAIN = "doc bigint, rep bigint, start int, stop int, rep_start int, rep_stop int, links array<int>"
+COLUMNS = [c.split()[0] for c in CHAIN.split(", ")]
 
 
 def chained(matches: DataFrame) -> DataFrame:
     """Chains of at least two seeds.  ``links``: word numbers (from the first seed's) where segments start and end,
     in this document and in the other: x0, x1, y0, y1 for each segment."""
-    rows = matches.repartition("doc_id").sortWithinPartitions("doc_id", "rep_id", "word", "rep_word")
+    rows = matches.select("doc", "rep", "word", "rep_word", "point", "rep_point").repartition("doc", "rep").sortWithinPartitions("doc", "rep", "word", "rep_word")
 
     @tidy
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
-        def results(g: pd.DataFrame) -> list[tuple]:
-            g = g[np.append(True, (np.diff(g["word"]) != 0) | (np.diff(g["rep_word"]) != 0))]
-            word, other = g["word"].to_numpy(), g["rep_word"].to_numpy()
-            point, rep_point = g["point"].to_numpy(), g["rep_point"].to_numpy()
-            out = []
-            for chain in chains(word, other) if len(g) > 1 else []:
-                a, z = chain[0][0], chain[-1][1]
-                if a == z:
-                    continue
-                links = [n for s, e in chain for n in (word[s] - word[a], word[e] + SEED - word[a], other[s] - other[a], other[e] + SEED - other[a])]
-                out.append((g["doc_id"].iat[0], g["rep_id"].iat[0], point[a], point[z], rep_point[a], rep_point[z], [int(n) for n in links]))
-            return out
-
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            d, r = pdf["doc_id"].to_numpy(), pdf["rep_id"].to_numpy()
-            at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])])) if len(pdf) else np.zeros(0, int)
-            sizes = np.diff(np.append(at, len(pdf)))
-            rows = [x for s, n in zip(at[:-1].tolist(), sizes[:-1].tolist(), strict=True) if n > 1 for x in results(pdf.iloc[s : s + n])]
-            held = pdf.iloc[at[-1] :] if len(at) else None
-            if rows:
-                yield pd.DataFrame(rows, columns=COLUMNS)
-        if held is not None and len(held) and (rows := results(held)):
-            yield pd.DataFrame(rows, columns=COLUMNS)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        kept: list[np.ndarray] | None = None
+
+        def results(c: list[np.ndarray]) -> pd.DataFrame:
+            new = np.append(True, (np.diff(c[0]) != 0) | (np.diff(c[1]) != 0))
+            once = new | np.append(True, (np.diff(c[2]) != 0) | (np.diff(c[3]) != 0))
+            group = np.cumsum(new)[once] - 1
+            c = [x[once] for x in c]
+            many = (np.bincount(group, minlength=1) > 1)[group] if len(group) else np.zeros(0, bool)
+            doc, rep, word, other, point, rep_point = (x[many] for x in c)
+            group = group[many]
+            out: list[tuple] = []
+            if not len(group):
+                return pd.DataFrame(out, columns=COLUMNS)
+            seg = segments(word, other, group)
+            owner = group[seg[:, 0]]
+            at = np.flatnonzero(np.append(True, np.diff(owner) != 0))
+            size = np.diff(np.append(at, len(seg)))
+            several = seg[:, 0] != seg[:, 1]
+            # chains of several segments exist only where all the group's matches outweigh a gap between neighbours
+            weight = np.add.reduceat((word[seg[:, 1]] - word[seg[:, 0]] + SEED).astype(float), at)
+            gap = np.full(len(seg), np.inf)
+            gap[1:] = np.where(np.diff(owner) == 0, word[seg[1:, 0]] - np.maximum.accumulate((owner << 33) + word[seg[:, 1]])[:-1] % (1 << 33) - SEED, np.inf)
+            near = np.minimum.reduceat(gap, at) * GAP < weight
+            for g in np.flatnonzero((size > 1) & near | np.logical_or.reduceat(several, at)).tolist():
+                own = seg[at[g] : at[g] + size[g]]
+                picked = chains(word, other, own) if size[g] > 1 and near[g] else [[(int(s), int(e))] for s, e in own]
+                for chain in picked:
+                    a, z = chain[0][0], chain[-1][1]
+                    if a != z:
+                        links = [int(n) for s, e in chain for n in (word[s] - word[a], word[e] + SEED - word[a], other[s] - other[a], other[e] + SEED - other[a])]
+                        out.append((doc[a], rep[a], point[a], point[z], rep_point[a], rep_point[z], links))
+            return pd.DataFrame(out, columns=COLUMNS)
 
-    return rows.mapInPandas(found, CHAIN)
+        for batch in batches:
+            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if kept is not None:
+                c = [np.concatenate(x) for x in zip(kept, c, strict=True)]
+            if not len(c[0]):
+                continue
+            other = (c[0] != c[0][-1]) | (c[1] != c[1][-1])
+            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+            kept = [x[cut:] for x in c]
+            if cut:
+                yield results([x[:cut] for x in c])
+        if kept is not None:
+            yield results(kept)
 
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in found(batches):
+            yield pa.RecordBatch.from_pandas(pdf, kind, preserve_index=False)
 
-COLUMNS = [c.split()[0] for c in CHAIN.split(", ")]
+    kind = pa.schema([(c, pa.list_(pa.int32()) if c == "links" else pa.int64() if c in ("doc", "rep") else pa.int32()) for c in COLUMNS])
+    return rows.mapInArrow(made, CHAIN)
 
 
 CELLS = 1 << 28  #: bits of an alignment's rows held at once; larger ones are halved first
@@ -217,7 +315,11 @@ def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def _scores(pairs: list[tuple[int, int]], end: tuple[int, int]) -> np.ndarray:
     """Score of an alignment up to each common word, and to ``end``, where one more is assumed."""
     skipped = np.diff(np.array([(-1, -1), *pairs, end]), axis=0).max(1) - 1
-    return np.cumsum(MATCH + MISS * skipped)
+    return np.cumsum(MATCH + _missed(skipped))
+
+
+def _missed(skipped: np.ndarray) -> np.ndarray:
+    return np.where(skipped > LONG, MISS_LONG, MISS) * skipped
 
 
 def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -273,6 +375,8 @@ def align(before: str, after: str, rep_before: str, rep_after: str, links: list[
     left, right = list(_WORD.finditer(before)), list(_WORD.finditer(after))
     rep_left = _WORD.findall(rep_before)
     a, b = [m.group() for m in left + right], rep_left + _WORD.findall(rep_after)
+    if (Counter(a) & Counter(b)).total() < SIMILARITY * LEAST_WORDS:
+        return []
     at, rep_at = len(left), len(rep_left)
     hits = [(at - 1 - i, rep_at - 1 - j) for i, j in reversed(_onward(a[:at][::-1], b[:rep_at][::-1]))]
     for k in range(0, len(links), 4):
@@ -292,89 +396,62 @@ def align(before: str, after: str, rep_before: str, rep_after: str, links: list[
     size = np.diff(np.append(first, len(x)))
     lost = np.append(0, skipped[first[1:] - 1])
 
-    def found(low: int, high: int, miss: float) -> Iterator[tuple[int, int, int]]:
+    def found(low: int, high: int, strict: bool) -> Iterator[tuple[int, int, int]]:
         """Passages among the runs from ``low`` to before ``high``."""
-        for s, e in stretches((MATCH * size[low:high]).tolist(), (miss * lost[low:high]).tolist()):
+        miss = STRICT * lost[low:high] if strict else _missed(lost[low:high])
+        for s, e in stretches((MATCH * size[low:high]).tolist(), miss.tolist()):
             i, j = int(x[first[low + s]]), int(x[first[low + e] + size[low + e] - 1]) + 1
             if j - i < LEAST_WORDS:
                 continue
             if size[low + s : low + e + 1].sum() >= SIMILARITY * (j - i):
                 yield i, j, j - i
-            elif miss > STRICT:
-                yield from found(low + s, low + e + 1, STRICT)
+            elif not strict:
+                yield from found(low + s, low + e + 1, True)
 
     def point(k: int, end: bool) -> int:
         m = left[k] if k < len(left) else right[k - len(left)]
         return (m.end() if end else m.start()) - (len(before) if k < len(left) else 0)
 
-    return [(point(i, False), point(j - 1, True), size) for i, j, size in found(0, len(first), MISS)]
-
-
-def passages(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, words, source_id): passages of a document that an earlier one holds, in code points."""
-    short_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).where("n > 1")
-    odd = stage(odd, "repeated")
-    if not odd.isEmpty():
-        docs = docs.join(odd.where("low <> high").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    found = stage(seeds(docs), "seeds")
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "word", "point")).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("r.doc_id < last")
-    first = first.select("hash", "n", F.col("r.doc_id").alias("rep_id"), F.col("r.word").alias("rep_word"), F.col("r.point").alias("rep_point"))
-    held = stage(found.join(first, "hash"), "held")
-    every = accepted = stage(between(docs, held.where("doc_id > rep_id").drop("hash", "n")), "passages")
-    pairs = neighbours(held.where("n > 2"), accepted)
-    # every further round asks the next holders; one without a new passage ends it, but for the first, which may ask the same holders again
-    rounds = 0
-    while rounds < 2 or not accepted.isEmpty():
-        first = pairs.groupBy("key").agg(F.min(F.struct("doc_id", "word", "point", "word2", "point2")).alias("r"), F.max(F.expr("if(open, doc_id, null)")).alias("last")).where("r.doc_id < last")
-        pairs = stage(pairs.join(first.select("key", "r"), "key").where("doc_id > r.doc_id"), "pairs")
-        if pairs.isEmpty():
-            break
-        matches = pairs.where("open").selectExpr("doc_id", "r.doc_id as rep_id", "inline(array(struct(word, point, r.word as rep_word, r.point as rep_point), struct(word2 as word, point2 as point, r.word2 as rep_word, r.point2 as rep_point)))")
-        accepted = stage(between(docs, matches), "passages")
-        every = every.union(accepted)
-        pairs = uncovered(pairs.drop("r"), accepted, "point", "point2")
-        rounds += 1
-    return every
-
-
-def uncovered(rows: DataFrame, found: DataFrame, *points: str) -> DataFrame:
-    """``rows`` with ``open`` unset where one of the points lies in a passage of its document."""
-    inside = " or ".join(f"exists(spans, s -> s.start <= {p} and {p} < s.stop)" for p in points)
-    joined = rows.join(merged(found).select("doc_id", "spans"), "doc_id", "left")
-    return joined.withColumn("open", F.expr(f"open and not coalesce({inside}, false)")).drop("spans")
-
-
-def neighbours(held: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc_id, word, point, word2, point2, open): pairs of seeds at most ``LEAST_WORDS`` words apart.
-
-    A stock sentence's first holder hides the later holders of its seeds; they are found by a pair across its border.
-    A pair may be asked for while it is open, that is, while neither seed lies in a passage that was found.
+    return [(point(i, False), point(j - 1, True), size) for i, j, size in found(0, len(first), False)]
+
+
+def _keyed(documents: DataFrame) -> tuple[DataFrame, Column]:
+    """``documents`` and the 64-bit key of a row's document (null for a null id).
+
+    The key is the doc_id where ids are integers and come with one text; a column ``_odd`` may be added for others.
     """
-    asked = stage(uncovered(held.withColumn("open", F.lit(True)), found, "point"), "asked")
-    asked = asked.join(asked.where("open and doc_id > rep_id").select("hash").distinct(), "hash", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("word")
-    after = F.array(*[F.lead(F.struct("hash", "word", "point", "open"), k).over(w) for k in range(1, PAIRS + 1)])
-    rows = asked.withColumn("after", after).withColumn("b", F.explode("after")).where(f"b.word - word <= {LEAST_WORDS}")
-    return stage(rows.select(F.xxhash64("hash", "b.hash").alias("key"), "doc_id", "word", "point", F.col("b.word").alias("word2"), F.col("b.point").alias("point2"), F.expr("open and b.open").alias("open")), "pairs")
-
-
-def between(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, words, source_id): passages along the chains of ``matches``."""
-    chain = stage(chained(matches), "chains")
-    ids = stage(chain.select("doc_id").union(chain.select(F.col("rep_id"))).distinct(), "ids")
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    texts = stage(texts, "passage-texts")
-
-    def window(start: str, stop: str, name: str) -> list:
-        low = F.greatest(F.col(start) - PAD, F.lit(0))
-        before = F.substring("text", low + 1, F.col(start) - low)
-        after = F.substring("text", F.col(start) + 1, F.col(stop) - F.col(start) + PAD)
-        return [before.alias(f"{name}before"), after.alias(f"{name}after")]
-
-    rows = chain.join(texts.withColumnRenamed("doc_id", "rep_id"), "rep_id").select(*COLUMNS, *window("rep_start", "rep_stop", "rep_"))
-    rows = rows.join(texts, "doc_id").select("doc_id", "rep_id", "start", "links", "rep_before", "rep_after", *window("start", "stop", ""))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", text))
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        return documents, hashed
+    own = F.col("doc_id").cast("long")
+    several = documents.where("doc_id is not null").groupBy(own.alias("_odd")).agg(F.min(F.xxhash64(text)).alias("low"), F.max(F.xxhash64(text)).alias("high")).where("low <> high")
+    several = stage(several.select("_odd"), "odd")
+    if several.isEmpty():
+        return documents, own
+    return documents.join(several, own == F.col("_odd"), "left"), F.when(F.col("_odd").isNull(), own).otherwise(hashed)
+
+
+def between(docs: DataFrame, matches: DataFrame, *used: DataFrame) -> DataFrame:
+    """(doc, start, stop, words, source): passages along the chains of ``matches``; the stored tables ``used`` are dropped."""
+    chain = stage(chained(matches), "chains", *used)
+    ids = stage(chain.select("doc").union(chain.select("rep")).distinct(), "ids")
+    texts = stage(docs.join(ids, "doc", "left_semi"), "passage-texts")
+    edge = 4096  # code points that hold the words wanted nearly always; else all text is looked at
+    some = f"^[\\x00-\\x20]*(?:[^\\x00-\\x20]+[\\x00-\\x20]*){{0,{EDGE_WORDS}}}"
+
+    def window(start: str, stop: str, name: str) -> list[Column]:
+        def words_of(part: Column, whole: Column) -> Column:
+            found = F.regexp_extract(part, some, 0)
+            return F.when((F.char_length(part) < edge) | (F.char_length(found) < F.char_length(part)), found).otherwise(F.regexp_extract(whole, some, 0))
+
+        low = F.greatest(F.col(start) - edge, F.lit(0))
+        before = words_of(F.reverse(F.substring("text", low + 1, F.col(start) - low)), F.reverse(F.substring("text", F.lit(1), F.col(start))))
+        after = words_of(F.substring("text", F.col(stop) + 1, F.lit(edge)), F.substring("text", F.col(stop) + 1, F.char_length("text")))
+        return [F.reverse(before).alias(f"{name}before"), F.concat(F.substring("text", F.col(start) + 1, F.col(stop) - F.col(start)), after).alias(f"{name}after")]
+
+    rows = chain.join(texts.withColumnRenamed("doc", "rep"), "rep").select(*COLUMNS, *window("rep_start", "rep_stop", "rep_"))
+    rows = rows.join(texts, "doc").select("doc", "rep", "start", "links", "rep_before", "rep_after", *window("start", "stop", ""))
 
     @tidy
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,20 +459,32 @@ def between(docs: DataFrame, matches: DataFrame) -> DataFrame:
             out = []
             for r in pdf.itertuples():
                 for start, stop, size in align(r.before, r.after, r.rep_before, r.rep_after, list(r.links)):
-                    out.append((r.doc_id, r.start + start, r.start + stop, size, r.rep_id))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "words", "source_id"])
+                    out.append((r.doc, r.start + start, r.start + stop, size, r.rep))
+            yield pd.DataFrame(out, columns=["doc", "start", "stop", "words", "source"])
+
+    return stage(rows.mapInPandas(aligned, "doc bigint, start int, stop int, words int, source bigint"), "passages", chain, ids, texts)
+
 
-    return rows.mapInPandas(aligned, "doc_id bigint, start int, stop int, words int, source_id bigint")
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc, start, stop, words, source): passages of a document that an earlier one holds, in code points.
+
+    ``docs``: one row (doc, text) of each document."""
+    short_batches(docs.sparkSession)
+    single = with_first(stage(seeds(docs), "seeds"), "word", "point")
+    longer = with_first(stage(sequences(single), "sequences"), "word", "point", "word2", "point2")
+    ends = "inline(array(struct(word, rep_word, point, rep_point), struct(word2 as word, rep_word2 as rep_word, point2 as point, rep_point2 as rep_point)))"
+    matches = single.where("doc > rep").select("doc", "rep", "word", "rep_word", "point", "rep_point").union(longer.where("doc > rep").selectExpr("doc", "rep", ends))
+    return between(docs, matches, single, longer)
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """(doc_id, spans, source_ids): a document's passages without overlap, in order."""
-    own = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("all"), F.sort_array(F.collect_set("source_id")).alias("source_ids"))
+    """(doc, spans, sources): a document's passages without overlap, in order."""
+    own = found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("all"), F.sort_array(F.collect_set("source_id")).alias("source_ids"))
     join = """aggregate(all, cast(array() as array<struct<start: int, stop: int>>), (acc, x) ->
         if(size(acc) > 0 and element_at(acc, -1).stop >= x.start,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'stop', greatest(element_at(acc, -1).stop, x.stop)))),
            concat(acc, array(named_struct('start', x.start, 'stop', x.stop)))))"""
-    return own.select("doc_id", F.expr(join).alias("spans"), "source_ids")
+    return own.select("doc", F.expr(join).alias("spans"), "source_ids")
 
 
 #: the text outside the spans
@@ -406,12 +495,28 @@ KEPT = """if(spans is null, text, aggregate(spans, named_struct('at', 1, 'kept',
 
 def without_passages(documents: DataFrame) -> DataFrame:
     """``documents`` with the passages cut from ``text`` (and ``n_chars``, where it is a column, counted anew), plus
-    ``spans`` and ``source_ids`` (null where nothing was cut)."""
-    spans = stage(merged(passages(documents)), "spans")
-    single = stage(documents.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64(F.coalesce("text", F.lit("")))).alias("_low"), F.max(F.xxhash64(F.coalesce("text", F.lit("")))).alias("_high")).where("_low = _high").select(F.col("doc_id").alias("_id")).join(spans, F.col("_id") == F.col("doc_id")).drop("doc_id"), "cut")
+    ``spans`` and ``source_ids`` (null where nothing was cut).  Columns of these two names are replaced."""
     names = [c for c in documents.columns if c not in ("spans", "source_ids")]
-    small = single.count() <= BROADCAST_ROWS // 10
-    joined = documents.select(*[f"`{c}`" for c in names]).join(F.broadcast(single) if small else single, F.col("doc_id") == F.col("_id"), "left")
+    kinds = {f.name: f.dataType for f in documents.schema.fields}
+    plain = documents.select(F.col("doc_id"), F.col("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]).alias("rest"))
+    rows, key = _keyed(plain)
+    docs = rows.select(key.alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
+    found = passages(docs.select("doc", "text").dropDuplicates(["doc"]))
+    if isinstance(kinds["doc_id"], T.IntegralType) and "_odd" not in rows.columns:
+        named = found.withColumn("source_id", F.col("source").cast(kinds["doc_id"]))
+    else:  # keys that are hashes are turned back into ids
+        ids = docs.select(F.col("doc").alias("source"), F.col("doc_id").alias("source_id")).distinct()
+        named = found.join(ids, "source")
+    spans = stage(merged(named), "spans")
+    joined = rows.withColumn("doc", key).join(spans, "doc", "left")
     kept = F.expr(KEPT)
-    out = [kept.alias("text") if c == "text" else F.when(F.col("spans").isNull(), F.col(c)).otherwise(F.char_length(kept)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return joined.select(*out, "spans", "source_ids")
+
+    def column(c: str) -> Column:
+        if c == "doc_id":
+            return F.col("doc_id")
+        if c == "text":
+            return kept.alias("text")
+        own = F.col("rest").getField(c)
+        return (F.when(F.col("spans").isNull(), own).otherwise(F.char_length(kept).cast(kinds[c])) if c == "n_chars" else own).alias(c)
+
+    return joined.select(*[column(c) for c in names], "spans", "source_ids")
