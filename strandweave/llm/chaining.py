@@ -38,6 +38,7 @@ from .textkit import mix, shingles, slices, strings, tidy, words
 SEED, WINDOW, LEAST_WORDS, SIMILARITY = 5, 8, 50, 0.8
 SPAN = LEAST_WORDS - 2 * (WINDOW - 1)  #: every exact passage holds a sequence of seeds that spans so many words
 EDGE_WORDS = LEAST_WORDS + 2 * WINDOW
+LEAST_SPAN = 2 * SEED  #: words that a chain spans at least, in this document; shorter ones are chance phrases
 GAP = 0.1  #: cost of a word skipped in either document
 MATCH = 1.0
 MISS, MISS_LONG, LONG = -2.0, -3.0, 8  #: score of each word not in common, and where more than ``LONG`` of them stand together
@@ -206,7 +207,7 @@ COLUMNS = [c.split()[0] for c in CHAIN.split(", ")]
 
 
 def chained(matches: DataFrame) -> DataFrame:
-    """Chains of at least two seeds.  ``links``: word numbers (from the first seed's) where segments start and end,
+    """Chains that span at least ``LEAST_SPAN`` words.  ``links``: word numbers (from the first seed's) where segments start and end,
     in this document and in the other: x0, x1, y0, y1 for each segment."""
     rows = matches.select("doc", "rep", "word", "rep_word", "point", "rep_point").repartition("doc", "rep").sortWithinPartitions("doc", "rep", "word", "rep_word")
 
@@ -240,7 +241,7 @@ def chained(matches: DataFrame) -> DataFrame:
                 picked = chains(word, other, own) if size[g] > 1 and near[g] else [[(int(s), int(e))] for s, e in own]
                 for chain in picked:
                     a, z = chain[0][0], chain[-1][1]
-                    if a != z:
+                    if word[z] + SEED - word[a] >= LEAST_SPAN:
                         links = [int(n) for s, e in chain for n in (word[s] - word[a], word[e] + SEED - word[a], other[s] - other[a], other[e] + SEED - other[a])]
                         out.append((doc[a], rep[a], point[a], point[z], rep_point[a], rep_point[z], links))
             return pd.DataFrame(out, columns=COLUMNS)
