@@ -56,8 +56,17 @@ def winnow(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.unique(at[doc[first] == doc[first + WINDOW - 1]])
 
 
+def _fresh(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their key in their document."""
+    order = np.lexsort((key, doc))  # stable
+    out = np.ones(len(doc), bool)
+    out[order[1:]] = (np.diff(doc[order]) != 0) | (key[order[1:]] != key[order[:-1]])
+    return out
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(key, doc, word, point): winnowed seeds of ``docs`` (doc, text) with their first word's number and code point."""
+    """(key, doc, word, point, fresh): winnowed seeds of ``docs`` (doc, text) with their first word's number and code
+    point; ``fresh`` at the first of a seed's places in a document."""
 
     @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,78 +80,78 @@ def seeds(docs: DataFrame) -> DataFrame:
                 points = w.points()
                 own = doc[pick]
                 point = points[w.start[first[pick]]] - points[w.offsets[own]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[pick].view(np.int64)), batch.column(0).slice(at, len(part)).take(pa.array(own)), pa.array((first[pick] - w.first[own]).astype(np.int32)), pa.array(point.astype(np.int32))],
-                    ["key", "doc", "word", "point"],
-                )
+                columns = [pa.array(h[pick].view(np.int64)), batch.column(0).slice(at, len(part)).take(pa.array(own)), pa.array((first[pick] - w.first[own]).astype(np.int32)), pa.array(point.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(_fresh(own, h[pick]))], ["key", "doc", "word", "point", "fresh"])
 
-    return docs.select("doc", "text").mapInArrow(made, "key bigint, doc bigint, word int, point int")
+    return docs.select("doc", "text").mapInArrow(made, "key bigint, doc bigint, word int, point int, fresh boolean")
 
 
-def with_first(rows: DataFrame, *places: str) -> DataFrame:
-    """The stored ``rows`` whose key two documents hold, with the key's first holder ``rep``, its number of rows ``n``
-    and the columns ``places`` of the first holder's first row as ``rep_...``.  ``rows`` is dropped.
+def with_first(rows: DataFrame) -> DataFrame:
+    """The stored ``rows`` whose key two documents hold, with the key's first holder ``rep`` and the
+    ``rep_word`` and ``rep_point`` of its first row there.  ``rows`` is dropped.
 
-    The keys are counted first and stored, so that a join is dealt anew where one key has a large share of the rows.
+    The keys are stored, so that the join is dealt anew where one key has a large share of the rows.  They grow with
+    the input and are never broadcast.
     """
-    keys = rows.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), F.count("*").alias("n")).where("rep < last")
-    keys = stage(keys.select("key", "rep", "n"), "keys")
-    held = stage(rows.join(keys, "key"), "held", rows, keys)
-    own = held.where("doc = rep").groupBy("key").agg(F.min(F.struct(*places)).alias("r"))
-    own = stage(own.select("key", *[F.col(f"r.{p}").alias(f"rep_{p}") for p in places]), "first")
-    return stage(held.join(own, "key"), "shared", held, own)
+    place = F.expr("min_by(shiftleft(cast(word as bigint), 32) + point, if(fresh, doc, null))")
+    keys = rows.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"), place.alias("place")).where("rep < last")
+    keys = stage(keys.selectExpr("key", "rep", "cast(shiftright(place, 32) as int) as rep_word", "cast(place & 2147483647 as int) as rep_point"), "keys")
+    return stage(rows.drop("fresh").join(keys.hint("merge"), "key"), "shared", rows, keys)
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """(key, doc, word, point, word2, point2): sequences of shared seeds (two, or spanning ``SPAN`` words) that do not
-    lie on one diagonal of one first holder, and that no seed of two holders ties to their holder already.  All this
-    depends on the words alone, so the holders of a sequence agree on it."""
-    rows = rows.select("doc", "word", "point", "key", "rep", "rep_word", "n").repartition("doc").sortWithinPartitions("doc", "word")
+    """(key, doc, word, point, words, points, fresh): sequences of shared seeds, two or spanning ``SPAN`` words, without
+    a window that has no seed in between, that do not lie on one diagonal of one first holder; with the distances of
+    the last seed from the first.  Which they are depends on the words alone, so all holders of a sequence agree."""
+    rows = rows.select("doc", "word", "point", "key", "rep", "rep_word").repartition("doc").sortWithinPartitions("doc", "word")
 
     @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-
-        def results(c: list[np.ndarray]) -> pa.RecordBatch:
-            doc, word, point, key, rep, rep_word, holders = c
+        for c in whole_groups(batches, 1):
+            once = np.append(True, (np.diff(c[0]) != 0) | (np.diff(c[1]) != 0))
+            doc, word, point, key, rep, rep_word = (x[once] for x in c)
             n = len(doc)
             line = word.astype(np.int64) - rep_word
-            turn = np.append(0, np.cumsum((rep[1:] != rep[:-1]) | (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])))
-            place = np.cumsum(np.append(0, doc[1:] != doc[:-1])).astype(np.int64) << 32
-            reach = np.searchsorted(place + word, place + word + (SPAN - SEED))
-            two = np.append(0, np.cumsum(holders == 2))  # the first holder of such a seed is the only other one
+            new = np.append(False, np.diff(doc) != 0)
+            turn = np.cumsum(new | np.append(False, (np.diff(rep) != 0) | (np.diff(line) != 0)))
+            hole = np.cumsum(new | np.append(False, np.diff(word) > WINDOW))
+            place = (np.cumsum(new).astype(np.int64) << 32) + word
             out = []
             with np.errstate(over="ignore"):
                 step = mix(key.view(np.uint64)) * np.uint64(0xD1342543DE82EF95)
                 total = np.append(np.uint64(0), np.cumsum(step * (2 * word.astype(np.uint64) + np.uint64(1))))
                 plain = np.append(np.uint64(0), np.cumsum(step))
-                for kind, last in ((1, np.arange(1, n + 1)), (2, reach)):
+                for kind, last in ((1, np.arange(1, n + 1)), (2, np.searchsorted(place, place + (SPAN - SEED)))):
                     i = np.flatnonzero(last < n)
                     j = last[i]
-                    ok = (doc[i] == doc[j]) & (word[j] - word[i] <= LEAST_WORDS) & (turn[i] != turn[j])
-                    ok &= two[j + 1] - two[i] < 2 if kind == 1 else (two[j + 1] == two[i]) & (j > i + 1)
+                    ok = (hole[i] == hole[j]) & (turn[i] != turn[j]) & (j - i >= kind)
                     i, j = i[ok], j[ok]
                     # seeds and their distances from the first one
                     inside = total[j + 1] - total[i] - (plain[j + 1] - plain[i]) * (2 * word[i].astype(np.uint64))
                     out.append((mix(inside + np.uint64(kind)).view(np.int64), i, j))
             k, i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, doc[i], word[i], point[i], word[j], point[j])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, doc[i], word[i], point[i], word[j] - word[i], point[j] - point[i], _fresh(doc[i], k))], names)
 
-        names = ["key", "doc", "word", "point", "word2", "point2"]
-        for batch in batches:
-            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if kept is not None:
-                c = [np.concatenate(x) for x in zip(kept, c, strict=True)]
-            if not len(c[0]):
-                continue
-            cut = int(np.flatnonzero(c[0] != c[0][-1])[-1]) + 1 if (c[0] != c[0][-1]).any() else 0
-            kept = [x[cut:] for x in c]
-            if cut:
-                yield results([x[:cut] for x in c])
-        if kept is not None:
-            yield results(kept)
+    names = ["key", "doc", "word", "point", "words", "points", "fresh"]
+    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, words int, points int, fresh boolean")
 
-    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, word2 int, point2 int")
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The batches' columns with rows that are equal in the first ``keys`` columns kept together (they come sorted)."""
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if kept is not None:
+            c = [np.concatenate(x) for x in zip(kept, c, strict=True)]
+        if not len(c[0]):
+            continue
+        other = np.logical_or.reduce([x != x[-1] for x in c[:keys]])
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        kept = [x[cut:] for x in c]
+        if cut:
+            yield [x[:cut] for x in c]
+    if kept is not None:
+        yield kept
 
 
 def segments(word: np.ndarray, other: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
@@ -211,59 +220,41 @@ def chained(matches: DataFrame) -> DataFrame:
     in this document and in the other: x0, x1, y0, y1 for each segment."""
     rows = matches.select("doc", "rep", "word", "rep_word", "point", "rep_point").repartition("doc", "rep").sortWithinPartitions("doc", "rep", "word", "rep_word")
 
-    @tidy
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        kept: list[np.ndarray] | None = None
-
-        def results(c: list[np.ndarray]) -> pd.DataFrame:
-            new = np.append(True, (np.diff(c[0]) != 0) | (np.diff(c[1]) != 0))
-            once = new | np.append(True, (np.diff(c[2]) != 0) | (np.diff(c[3]) != 0))
-            group = np.cumsum(new)[once] - 1
-            c = [x[once] for x in c]
-            many = (np.bincount(group, minlength=1) > 1)[group] if len(group) else np.zeros(0, bool)
-            doc, rep, word, other, point, rep_point = (x[many] for x in c)
-            group = group[many]
-            out: list[tuple] = []
-            if not len(group):
-                return pd.DataFrame(out, columns=COLUMNS)
-            seg = segments(word, other, group)
-            owner = group[seg[:, 0]]
-            at = np.flatnonzero(np.append(True, np.diff(owner) != 0))
-            size = np.diff(np.append(at, len(seg)))
-            several = seg[:, 0] != seg[:, 1]
-            # chains of several segments exist only where all the group's matches outweigh a gap between neighbours
-            weight = np.add.reduceat((word[seg[:, 1]] - word[seg[:, 0]] + SEED).astype(float), at)
-            gap = np.full(len(seg), np.inf)
-            gap[1:] = np.where(np.diff(owner) == 0, word[seg[1:, 0]] - np.maximum.accumulate((owner << 33) + word[seg[:, 1]])[:-1] % (1 << 33) - SEED, np.inf)
-            near = np.minimum.reduceat(gap, at) * GAP < weight
-            for g in np.flatnonzero((size > 1) & near | np.logical_or.reduceat(several, at)).tolist():
-                own = seg[at[g] : at[g] + size[g]]
-                picked = chains(word, other, own) if size[g] > 1 and near[g] else [[(int(s), int(e))] for s, e in own]
-                for chain in picked:
-                    a, z = chain[0][0], chain[-1][1]
-                    if word[z] + SEED - word[a] >= LEAST_SPAN:
-                        links = [int(n) for s, e in chain for n in (word[s] - word[a], word[e] + SEED - word[a], other[s] - other[a], other[e] + SEED - other[a])]
-                        out.append((doc[a], rep[a], point[a], point[z], rep_point[a], rep_point[z], links))
+    def results(c: list[np.ndarray]) -> pd.DataFrame:
+        new = np.append(True, (np.diff(c[0]) != 0) | (np.diff(c[1]) != 0))
+        once = new | np.append(True, (np.diff(c[2]) != 0) | (np.diff(c[3]) != 0))
+        group = np.cumsum(new)[once] - 1
+        c = [x[once] for x in c]
+        many = (np.bincount(group, minlength=1) > 1)[group] if len(group) else np.zeros(0, bool)
+        doc, rep, word, other, point, rep_point = (x[many] for x in c)
+        group = group[many]
+        out: list[tuple] = []
+        if not len(group):
             return pd.DataFrame(out, columns=COLUMNS)
-
-        for batch in batches:
-            c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            if kept is not None:
-                c = [np.concatenate(x) for x in zip(kept, c, strict=True)]
-            if not len(c[0]):
-                continue
-            other = (c[0] != c[0][-1]) | (c[1] != c[1][-1])
-            cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-            kept = [x[cut:] for x in c]
-            if cut:
-                yield results([x[:cut] for x in c])
-        if kept is not None:
-            yield results(kept)
+        seg = segments(word, other, group)
+        owner = group[seg[:, 0]]
+        at = np.flatnonzero(np.append(True, np.diff(owner) != 0))
+        size = np.diff(np.append(at, len(seg)))
+        several = seg[:, 0] != seg[:, 1]
+        # chains of several segments exist only where all the group's matches outweigh a gap between neighbours
+        weight = np.add.reduceat((word[seg[:, 1]] - word[seg[:, 0]] + SEED).astype(float), at)
+        gap = np.full(len(seg), np.inf)
+        gap[1:] = np.where(np.diff(owner) == 0, word[seg[1:, 0]] - np.maximum.accumulate((owner << 33) + word[seg[:, 1]])[:-1] % (1 << 33) - SEED, np.inf)
+        near = np.minimum.reduceat(gap, at) * GAP < weight
+        for g in np.flatnonzero((size > 1) & near | np.logical_or.reduceat(several, at)).tolist():
+            own = seg[at[g] : at[g] + size[g]]
+            picked = chains(word, other, own) if size[g] > 1 and near[g] else [[(int(s), int(e))] for s, e in own]
+            for chain in picked:
+                a, z = chain[0][0], chain[-1][1]
+                if word[z] + SEED - word[a] >= LEAST_SPAN:
+                    links = [int(n) for s, e in chain for n in (word[s] - word[a], word[e] + SEED - word[a], other[s] - other[a], other[e] + SEED - other[a])]
+                    out.append((doc[a], rep[a], point[a], point[z], rep_point[a], rep_point[z], links))
+        return pd.DataFrame(out, columns=COLUMNS)
 
     @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in found(batches):
-            yield pa.RecordBatch.from_pandas(pdf, kind, preserve_index=False)
+        for c in whole_groups(batches, 2):
+            yield pa.RecordBatch.from_pandas(results(c), kind, preserve_index=False)
 
     kind = pa.schema([(c, pa.list_(pa.int32()) if c == "links" else pa.int64() if c in ("doc", "rep") else pa.int32()) for c in COLUMNS])
     return rows.mapInArrow(made, CHAIN)
@@ -437,7 +428,7 @@ def between(docs: DataFrame, matches: DataFrame, *used: DataFrame) -> DataFrame:
     """(doc, start, stop, words, source): passages along the chains of ``matches``; the stored tables ``used`` are dropped."""
     chain = stage(chained(matches), "chains", *used)
     ids = stage(chain.select("doc").union(chain.select("rep")).distinct(), "ids")
-    texts = stage(docs.join(ids, "doc", "left_semi"), "passage-texts")
+    texts = stage(docs.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "passage-texts")
     edge = 4096  # code points that hold the words wanted nearly always; else all text is looked at
     some = f"^[\\x00-\\x20]*(?:[^\\x00-\\x20]+[\\x00-\\x20]*){{0,{EDGE_WORDS}}}"
 
@@ -469,11 +460,12 @@ def between(docs: DataFrame, matches: DataFrame, *used: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """(doc, start, stop, words, source): passages of a document that an earlier one holds, in code points.
 
-    ``docs``: one row (doc, text) of each document."""
+    ``docs``: rows (doc, text), equal ones for one document."""
     short_batches(docs.sparkSession)
-    single = with_first(stage(seeds(docs), "seeds"), "word", "point")
-    longer = with_first(stage(sequences(single), "sequences"), "word", "point", "word2", "point2")
-    ends = "inline(array(struct(word, rep_word, point, rep_point), struct(word2 as word, rep_word2 as rep_word, point2 as point, rep_point2 as rep_point)))"
+    single = with_first(stage(seeds(docs), "seeds"))
+    longer = with_first(stage(sequences(single), "sequences"))
+    # a sequence stands for its first and last seed
+    ends = "inline(array(struct(word, rep_word, point, rep_point), struct(word + words as word, rep_word + words as rep_word, point + points as point, rep_point + points as rep_point)))"
     matches = single.where("doc > rep").select("doc", "rep", "word", "rep_word", "point", "rep_point").union(longer.where("doc > rep").selectExpr("doc", "rep", ends))
     return between(docs, matches, single, longer)
 
@@ -502,7 +494,7 @@ def without_passages(documents: DataFrame) -> DataFrame:
     plain = documents.select(F.col("doc_id"), F.col("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]).alias("rest"))
     rows, key = _keyed(plain)
     docs = rows.select(key.alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
-    found = passages(docs.select("doc", "text").dropDuplicates(["doc"]))
+    found = passages(docs.select("doc", "text"))
     if isinstance(kinds["doc_id"], T.IntegralType) and "_odd" not in rows.columns:
         named = found.withColumn("source_id", F.col("source").cast(kinds["doc_id"]))
     else:  # keys that are hashes are turned back into ids
