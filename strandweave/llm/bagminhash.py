@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stage
+from .store import free_name, stage
 from .textkit import mix, runs, shingles, slices, strings, tidy, unit, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -132,7 +132,8 @@ def text_bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def signed(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, bands) of every document; ``key`` is 0 and ``bands`` empty without words."""
+    """(doc_id, mark, key, bands) of every row of ``documents`` (doc_id, text, mark); ``key``, of the word sequence, is 0
+    and ``bands`` empty without words."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     @tidy
@@ -143,9 +144,9 @@ def signed(documents: DataFrame) -> DataFrame:
                 keys = band_keys(signatures(which, h, count, len(part)))
                 size = np.where(key == 0, 0, BANDS)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), keys[key != 0].ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(key.view(np.int64)), lists], ["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array(key.view(np.int64)), lists], ["doc_id", "mark", "key", "bands"])
 
-    return documents.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key bigint, bands array<bigint>")
+    return documents.select("doc_id", "text", "mark").mapInArrow(made, f"doc_id {kind}, mark bigint, key bigint, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,41 +226,60 @@ def _rest(mixed: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("band", "x", "y", "key", "component", "part", "text").mapInPandas(found, "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, class_id, kept) of every row: ``class_id`` is the smallest doc_id of its near-duplicate class.
+def _mark() -> Column:
+    """A hash of a row's text: doc_id and mark name a document, also where a doc_id comes with several texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
-    A row without words or id is its own class (``class_id`` is its doc_id) and is kept; of other classes the row
-    of the smallest doc_id is kept.
-    """
-    docs = documents.select("doc_id", "text")
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """(doc_id, mark, key, class_id, kept) of every row of ``documents``."""
+    docs = documents.select("doc_id", "text", _mark().alias("mark"))
     rows = stage(signed(docs), "signed")
     known = rows.where("key <> 0 and doc_id is not null")
-    reps = stage(known.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.bands").alias("bands")), "classes")
+    reps = known.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "bands")).alias("r"))
+    reps = stage(reps.select("key", F.col("r.doc_id").alias("doc_id"), F.col("r.mark").alias("mark"), F.col("r.bands").alias("bands")), "classes")
     bands = reps.select("key", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     seats = stage(bands.join(buckets.select("band", "pivot"), "band"), "seats")
     pairs = stage(seats.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    wanted = seats.select("key").distinct().join(reps.select("key", "doc_id"), "key")
-    texts = stage(docs.join(wanted, "doc_id").groupBy("key").agg(F.min("text").alias("text")), "texts")
-    links = stage(_verified(pairs, texts), "star")
+    wanted = seats.select("key").distinct().join(reps.select("key", "doc_id", "mark"), "key")
+    texts = stage(docs.join(wanted, ["doc_id", "mark"]).groupBy("key").agg(F.min("text").alias("text")), "texts")
+    links = stage(_verified(pairs, texts), "star", pairs)
     labels = components(links)
-    more = stage(_rest(seats.select("band", "key"), labels, texts), "rest")
+    more = stage(_rest(seats.select("band", "key"), labels, texts), "rest", seats, texts)
     labels = components(links.union(more))
     named = reps.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    classes = stage(named.join(smallest, "component").select("key", "class_id"), "class")
-    own = rows.where("doc_id is not null and key <> 0").join(classes, "key").select("doc_id", "class_id")
-    rest = rows.where("doc_id is null or key = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    return own.union(rest).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    smallest = named.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("s"))
+    classes = stage(named.join(smallest, "component").select("key", F.col("s.doc_id").alias("class_id"), F.col("s.key").alias("class_key")), "class", reps)
+    own = rows.where("doc_id is not null and key <> 0").join(classes, "key")
+    own = own.select("doc_id", "mark", "key", "class_id", (F.col("key").eqNullSafe(F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    rest = rows.where("doc_id is null or key = 0").select("doc_id", "mark", "key", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
+    return stage(own.union(rest), "named", rows, classes)
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """(doc_id, class_id, kept) of every row: ``class_id`` is the smallest doc_id of its near-duplicate class.
+
+    A row without words or id is its own class (``class_id`` is its doc_id) and is kept; of other classes the rows
+    of the smallest doc_id are kept, and of those the ones with one word sequence.
+    """
+    return _classes(documents).select("doc_id", "class_id", "kept")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay, one of each class, with their columns; of equal doc_ids in a class one row stays."""
-    found = near_duplicates(documents)
-    gone = stage(found.where("not kept").select("doc_id").distinct(), "gone")
-    kept = documents.join(gone, "doc_id", "left_anti")
-    again = stage(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept.select(*[f"`{c}`" for c in documents.columns])
-    once = kept.join(again, "doc_id").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*[f"`{c}`" for c in documents.columns])
+    """The rows of ``documents`` that stay, one of each class, with their columns; of rows equal in doc_id and words one
+    stays, and rows without id all do.  A doc_id with several texts keeps those that stand for a class."""
+    found = _classes(documents)
+    some = found.where("doc_id is not null and kept").groupBy("doc_id", "key").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), F.count("*").alias("n")).where("n > 1")
+    some = stage(some, "again")
+    gone = found.where("not kept").select("doc_id", "mark")
+    again = not some.isEmpty()
+    if again:  # copies under one doc_id
+        gone = gone.union(found.where("kept").join(some.where("low <> high"), ["doc_id", "key"]).where("mark <> low").select("doc_id", "mark"))
+    own = free_name("_mark", documents.columns)
+    gone = stage(gone.distinct().withColumnRenamed("mark", own), "gone", found)
+    kept = documents.withColumn(own, _mark()).join(gone, ["doc_id", own], "left_anti")
+    if again:
+        once = kept.join(some.select("doc_id", F.col("low").alias(own)), ["doc_id", own]).dropDuplicates(["doc_id", own])
+        kept = kept.join(some.select("doc_id", F.col("low").alias(own)), ["doc_id", own], "left_anti").unionByName(once)
+    return kept.select(*[f"`{c}`" for c in documents.columns])

@@ -428,7 +428,7 @@ def between(docs: DataFrame, matches: DataFrame, *used: DataFrame) -> DataFrame:
     """(doc, start, stop, words, source): passages along the chains of ``matches``; the stored tables ``used`` are dropped."""
     chain = stage(chained(matches), "chains", *used)
     ids = stage(chain.select("doc").union(chain.select("rep")).distinct(), "ids")
-    texts = stage(docs.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "passage-texts")
+    texts = stage(docs.join(ids.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]), "passage-texts")
     edge = 4096  # code points that hold the words wanted nearly always; else all text is looked at
     some = f"^[\\x00-\\x20]*(?:[^\\x00-\\x20]+[\\x00-\\x20]*){{0,{EDGE_WORDS}}}"
 
@@ -442,8 +442,8 @@ def between(docs: DataFrame, matches: DataFrame, *used: DataFrame) -> DataFrame:
         after = words_of(F.substring("text", F.col(stop) + 1, F.lit(edge)), F.substring("text", F.col(stop) + 1, F.char_length("text")))
         return [F.reverse(before).alias(f"{name}before"), F.concat(F.substring("text", F.col(start) + 1, F.col(stop) - F.col(start)), after).alias(f"{name}after")]
 
-    rows = chain.join(texts.withColumnRenamed("doc", "rep"), "rep").select(*COLUMNS, *window("rep_start", "rep_stop", "rep_"))
-    rows = rows.join(texts, "doc").select("doc", "rep", "start", "links", "rep_before", "rep_after", *window("start", "stop", ""))
+    rows = chain.join(texts.withColumnRenamed("doc", "rep").hint("merge"), "rep").select(*COLUMNS, *window("rep_start", "rep_stop", "rep_"))
+    rows = rows.join(texts.hint("merge"), "doc").select("doc", "rep", "start", "links", "rep_before", "rep_after", *window("start", "stop", ""))
 
     @tidy
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,3 +55,10 @@ def short_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_ROWS`` rows from here on: a task holds few whole texts at once, in either process."""
     if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name

@@ -95,6 +95,35 @@ def test_near_duplicates_brute_force(spark):
     assert of == {d: root(d) for d in ids}
 
 
+def test_one_id_with_several_texts(spark):
+    a, b = (rng.choices(VOCAB, k=120) for _ in range(2))
+    more = lambda t: " ".join([*t, "plus"])
+    rows = [(1, " ".join(a)), (5, " ".join(b)), (5, more(a)), (7, more(b)), (9, "c d"), (9, "c  d"), (9, "c d"), (9, "e f"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("mark", F.lit("own")).withColumn("key", F.lit(3))
+    found = sorted((r.doc_id, r.class_id, r.kept) for r in bagminhash.near_duplicates(df).collect() if r.doc_id < 9)
+    assert found == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False)]
+    left = bagminhash.keep_one(df).collect()
+    assert sorted((r.doc_id, " ".join(r.text.split())) for r in left) == [(1, " ".join(a)), (5, " ".join(b)), (9, ""), (9, "c d"), (9, "e f")]
+    assert {(r.mark, r.key) for r in left} == {("own", 3)}
+
+
+def test_brute_force_of_repeated_ids(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = r.choices(VOCAB, k=80)
+        texts += [" ".join(base), " ".join(base[:-1]), " ".join(changed(base, 70))]
+    rows = [(r.randrange(14), t) for t in texts]
+    found = collections.Counter((x.doc_id, x.class_id) for x in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    bags, label = [bag(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similarity(bags[i], bags[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    low = {x: min(d for (d, _), y in zip(rows, label, strict=True) if x == y) for x in label}
+    assert found == collections.Counter((d, low[x]) for (d, _), x in zip(rows, label, strict=True))
+
+
 def test_signatures_estimate_weighted_similarity():
     texts = [" ".join(["a b c d e"] * 7 + BASE), " ".join(["a b c d e"] * 3 + changed(BASE, 40))]
     which, h, n, _ = bagminhash.bags(strings(pa.array(texts)))
