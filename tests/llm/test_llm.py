@@ -152,25 +152,49 @@ def test_page_text(spark):
     assert hostarray.main_text(df.where("1 = 0")).count() == 0
 
 
-def test_boilerplate_without_article():
-    junk = "subscribe to our daily letter and never miss a single story again"
-    pages = [f"<body><p>{junk}</p><p>{' '.join(rng.choices(VOCAB, k=30))}</p></body>" for _ in range(4)]
-    for page, (text, _, hit) in zip(pages, hostarray.main_texts(pages), strict=True):
-        assert junk not in text and text in page and hit >= 12
-
-
-def test_repeated_runs_brute_force():
-    tokens = np.array(rng.choices(range(3), k=400))
-    page = np.repeat(np.arange(8), 50)
-    expected = np.zeros(400, bool)
-    where = collections.defaultdict(set)
-    starts = [k for k in range(400 - 7) if page[k] == page[k + 7]]
-    for k in starts:
-        where[tuple(tokens[k : k + 8])].add(page[k])
-    for k in starts:
-        if len(where[tuple(tokens[k : k + 8])]) > 1:
-            expected[k : k + 8] = True
-    assert (hostarray.repeated(tokens, page) == expected).all()
+def test_boilerplate_without_article(spark):
+    """Whole pages of nameless blocks against brute force over all pairs of pages; it needs the repeats on every page."""
+    r = random.Random(8)
+    junk = [" ".join(r.choices(VOCAB, k=14)) for _ in range(6)]
+    story = [" ".join(r.choices(VOCAB, k=40)) for _ in range(40)]
+    rows = []
+    for k in range(40):
+        parts = [junk[k % 3], story[k], junk[3 + k % 3] + f" tail{k}"]
+        rows.append((k, f"http://{'a' if k < 34 else 'b'}.example/{k}", "<body>" + "".join(f"<div><p>{p}</p></div>" for p in parts)))
+    rows.append((90, "http://a.example/x", rows[0][2]))
+    rows.append((91, "http://a.example/y", f"<body><div>{story[1]}</div><div>{junk[1]}</div>"))  # a copy: structure decides
+
+    def streams(html):
+        return [b.text.split() for b in hostarray.blocks(html)]
+
+    grams = collections.defaultdict(set)
+    for k, url, html in rows:
+        t = [w for b in streams(html) for w in b]
+        for at in range(len(t) - 7):
+            grams[url[:9], tuple(t[at : at + 8])].add(html)
+    expected = {}
+    for k, url, html in rows:
+        t = [w for b in streams(html) for w in b]
+        hit = [False] * len(t)
+        for at in range(len(t) - 7):
+            if len(grams[url[:9], tuple(t[at : at + 8])]) > 1:
+                hit[at : at + 8] = [True] * 8
+        kept, at = [], 0
+        for b in streams(html):
+            if sum(hit) > 0.9 * len(t) or sum(hit[at : at + len(b)]) <= len(b) / 2:
+                kept.append(" ".join(b))
+            at += len(b)
+        expected[k] = "\n".join(kept)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 7):
+        assert {x.page_id: x.text for x in hostarray.main_text(df.repartition(parts)).collect()} == expected
+    assert expected[5] == story[5] and expected[90] == story[0] and expected[91] == f"{story[1]}\n{junk[1]}"
+
+
+def test_repeated_menu_of_few_words(spark):
+    pages = [(k, "http://a.example/", f"<body><div><a>Home</a> <a>News</a> now</div><div>{' '.join(rng.choices(VOCAB, k=30))}</div>") for k in range(4)]
+    found = hostarray.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert all("News" not in x.text and len(x.text.split()) == 30 for x in found)
 
 
 def test_pieces_find_the_best_segmentation():
