@@ -7,7 +7,7 @@ run of fixed-stride records (16-bit little-endian ids behind a 24-byte head), so
 ``(s % slots) * stride`` of shard ``s // slots`` and can resume anywhere.
 
 Null text counts as empty: one sequence with the end id alone.  Repeated and null doc_ids are separate documents.
-An empty table gives no shards.
+An empty table gives no shards; a vocabulary whose ids do not fit in 16 bits raises an error.
 """
 
 from __future__ import annotations
@@ -69,6 +69,8 @@ def sequences(documents: DataFrame, path: str | None = None, length: int = LENGT
                 ids, sizes = enc.encode(part.to_pylist())
                 at = 0
                 for size in sizes.tolist():
+                    if size and ids[at : at + size].max() > 0xFFFF:
+                        raise ValueError("the vocabulary has ids above 65,535, which do not fit in 16 bits")
                     tokens.append(np.append(ids[at : at + size], END_ID).astype("<u2").tobytes())
                     n.append(-(-(size + 1) // length))
                     at += size

@@ -128,7 +128,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Mode
     order = F.xxhash64("doc_id")
     part = [known.where(F.col("label") == c).orderBy(order, "doc_id").limit(MAX_PER_CLASS) for c in (0, 1)]
     chosen = part[0].union(part[1])  # 2 * MAX_PER_CLASS rows at most
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")  # one text an id
 
     @tidy
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,9 +17,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textkit import slices, strings, tidy
+
 PACKET, UNIT, PTS_STEP, RANDOM_EVERY = 188, 16384, 3600, 8
 PID_PAT, PID_PMT, PID_ES, STREAM_TYPE, STREAM_ID = 0, 0x1000, 0x100, 0x06, 0xBD
 BLOCK = 64
@@ -95,8 +97,9 @@ class Stream:
     units: int
     stamps: list[int]
     random_access: list[int]  #: units that a reader may start at
-    counter_errors: int
+    counter_errors: int  #: gaps in the continuity counters, and a stream that does not begin with a start
     packets: int
+    damaged: list[int]  #: units whose length is not the announced one
 
 
 def _parse_section(packet: np.ndarray) -> bytes:
@@ -111,7 +114,11 @@ def _parse_section(packet: np.ndarray) -> bytes:
 
 
 def demux(media: bytes) -> Stream:
-    """Parse a transport stream.  Raises ValueError for lost sync, wrong checksums or broken packets."""
+    """Parse a transport stream.
+
+    Lost packets show in ``counter_errors`` and ``damaged``; a packet that is sent twice counts once.  Lost sync, wrong
+    checksums and missing start codes raise ValueError.
+    """
     if not media or len(media) % PACKET:
         raise ValueError("not a whole number of packets")
     p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -132,34 +139,40 @@ def demux(media: bytes) -> Stream:
                 kind, es, info = struct.unpack(">BHH", body[place : place + 5])
                 streams[es & 0x1FFF] = kind
                 place += 5 + (info & 0xFFF)
-    payload, stamps, access, errors, units = [], [], [], 0, 0
+    payload, stamps, access, errors, units, damaged = [], [], [], 0, 0, []
     for es in streams:
         own = p[pid == es]
-        first = begins[pid == es]
         has = (own[:, 3] & 0x10) > 0
+        same = np.zeros(len(own), bool)  # a packet may be sent twice in a row
+        same[1:] = (own[1:] == own[:-1]).all(1) & has[1:]
+        same[2:] &= ~same[1:-1]
+        own, has = own[~same], has[~same]
+        first = (own[:, 1] & 0x40) > 0
         counter = (own[:, 3] & 15).astype(np.int32)[has]
         errors += int(((np.diff(counter) - 1) % 16 != 0).sum())
+        lost = int(first.argmax()) if first.any() else len(own)  # packets before the first start belong to no unit
+        errors += lost > 0
+        own, first, has = own[lost:], first[lost:], has[lost:]
         adaptation = (own[:, 3] & 0x20) > 0
         start = np.where(adaptation, 5 + own[:, 4].astype(np.int32), 4)
         start[~has] = PACKET
         marks = np.where(adaptation & (own[:, 4] > 0), own[:, 5], 0)
         size = PACKET - start
         data = own[np.arange(PACKET) >= start[:, None]].tobytes()
-        at = np.append(np.concatenate([[0], np.cumsum(size)[:-1]])[first], len(data))
+        at = np.append((np.cumsum(size) - size)[first], len(data))
         for k, marked in enumerate(marks[first]):
             pes = memoryview(data)[at[k] : at[k + 1]]
             if pes[:3] != b"\0\0\1":
                 raise ValueError("an elementary packet's start code is missing")
-            length = struct.unpack(">H", pes[4:6])[0]
-            if len(pes) != 6 + length:
-                raise ValueError("an elementary packet is cut short")
+            if len(pes) != 6 + struct.unpack(">H", pes[4:6])[0]:
+                damaged.append(units)
             if pes[7] & 0x80:
                 stamps.append((pes[9] >> 1 & 7) << 30 | pes[10] << 22 | (pes[11] >> 1) << 15 | pes[12] << 7 | pes[13] >> 1)
             if marked & 0x40:
                 access.append(units)
             payload.append(bytes(pes[9 + pes[8] :]))
             units += 1
-    return Stream(b"".join(payload), programs, streams, units, stamps, access, errors, len(p))
+    return Stream(b"".join(payload), programs, streams, units, stamps, access, errors, len(p), damaged)
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -172,19 +185,20 @@ def encode_media(documents: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``documents`` but ``text``, with ``n_bytes`` and the transport stream ``media``.
 
     Null text counts as empty; an empty text is one block of zeros.  Rows are independent, so repeated rows give
-    equal streams.
+    equal streams.  Columns named ``n_bytes`` or ``media`` are replaced.
     """
     rest = [f for f in documents.schema.fields if f.name not in (text, "n_bytes", "media")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_bytes bigint, media binary"])
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                stored = [padded(t if isinstance(t, str) else None) for t in part[text]]
-                yield part.drop(columns=[text]).assign(n_bytes=[n for _, n in stored], media=[mux(b) for b, _ in stored])
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(strings(batch.column(0)), 1 << 24):
+                stored = [padded(t) for t in part.to_pylist()]
+                own = [c.slice(at, len(part)) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([n for _, n in stored], pa.int64()), pa.array([mux(b) for b, _ in stored], pa.binary())], [*(f.name for f in rest), "n_bytes", "media"])
 
-    return documents.select(*[f"`{f.name}`" for f in rest], f"`{text}`").mapInPandas(made, schema)
+    return documents.select(f"`{text}`", *[f"`{f.name}`" for f in rest]).mapInArrow(made, schema)
 
 
 def features(stream: Stream) -> str:
@@ -192,31 +206,32 @@ def features(stream: Stream) -> str:
     counts = np.bincount(np.frombuffer(stream.payload, np.uint8), minlength=256)
     share = counts[counts > 0] / max(1, counts.sum())
     entropy = float(-(share * np.log2(share)).sum())
-    return f"packets={stream.packets};units={stream.units};random={len(stream.random_access)};pts={stream.stamps[0]}-{stream.stamps[-1]};errors={stream.counter_errors};type={','.join(map(str, stream.streams.values()))};entropy={entropy:.6f}"
+    return f"packets={stream.packets};units={stream.units};random={len(stream.random_access)};pts={stream.stamps[0] if stream.stamps else ''}-{stream.stamps[-1] if stream.stamps else ''};errors={stream.counter_errors};type={','.join(map(str, stream.streams.values()))};entropy={entropy:.6f}"
+
+
+FOUND = {"payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string", "units": "int", "random_access": "array<int>", "first_pts": "bigint", "last_pts": "bigint", "counter_errors": "int", "damaged": "array<int>"}
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests and features of the column ``media``, from the bytes that its streams give back."""
-    rest = [f for f in media.schema.fields if f.name != "media"]
-    schema = ", ".join(
-        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, units int, random_access array<int>, first_pts bigint, last_pts bigint, counter_errors int"]
-    )
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            s = [demux(m) for m in pdf["media"]]
-            yield pdf.drop(columns=["media"]).assign(
-                payload_bytes=[len(x.payload) for x in s],
-                payload_sha256=[hashlib.sha256(x.payload).hexdigest() for x in s],
-                tail_crc32=[zlib.crc32(x.payload[-BLOCK:]) for x in s],
-                media_bytes=[len(m) for m in pdf["media"]],
-                media_sha256=[hashlib.sha256(m).hexdigest() for m in pdf["media"]],
-                feature=[features(x) for x in s],
-                units=[x.units for x in s],
-                random_access=[x.random_access for x in s],
-                first_pts=[x.stamps[0] for x in s],
-                last_pts=[x.stamps[-1] for x in s],
-                counter_errors=[x.counter_errors for x in s],
-            )
-
-    return media.mapInPandas(read, schema)
+    """Digests and features of the column ``media``, from the bytes that its streams give back.
+
+    Other columns stay, but for those that have a name of ``FOUND``; null media counts as no bytes and raises.
+    """
+    rest = [f for f in media.schema.fields if f.name != "media" and f.name not in FOUND]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), *(f"{n} {t}" for n, t in FOUND.items())])
+
+    def row(m: bytes) -> tuple:
+        x = demux(m)
+        ends = (x.stamps[0], x.stamps[-1]) if x.stamps else (None, None)
+        return len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), features(x), x.units, x.random_access, *ends, x.counter_errors, x.damaged
+
+    kinds = [{"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}[t] for t in FOUND.values()]
+
+    @tidy
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row(m.as_py()) for m in batch.column(0)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*(f.name for f in rest), *FOUND])
+
+    return media.select("media", *[f"`{f.name}`" for f in rest]).mapInArrow(read, schema)
