@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing of an entity, and letters with their plain forms.
+#: Words that say nothing of an entity.
 STOP_WORDS = "the and for with from this that have was were are not but you his her its our their".split()
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿăâîșțşţ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaiststst"[: len(ACCENTED)]
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Marked Latin letters and their plain forms, then the combining marks, which have none."""
+    marked, bare = [], []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            marked.append(chr(code))
+            bare.append(base)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(bare)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def double(x: Column) -> Column:
@@ -26,8 +40,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(x), ACCENTED, PLAIN)
+    """Lower case without the marks of Latin letters."""
+    return F.lower(F.translate(x, ACCENTED, PLAIN))
 
 
 def display_key(x: Column) -> Column:

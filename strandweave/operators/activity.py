@@ -70,7 +70,7 @@ def delta(messages: DataFrame, marks: DataFrame, most: int) -> DataFrame:
 
 def transcripts(rows: DataFrame) -> DataFrame:
     """(session_id, n, transcript) of delta messages in order."""
-    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring("content", 1, 40))
+    line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("content"))
     packed = rows.groupBy("session_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at_minute", "turn", line.alias("line")))).alias("lines"))
     return packed.select("session_id", "n", F.array_join("lines.line", "\n").alias("transcript"))
 

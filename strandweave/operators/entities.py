@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_key, normalize_alias, significant_tokens
 from .graph import live
 
+#: Least letters of a token that tells names apart, ratios of similar spellings, neighbours of a sure pair.
+LEAST_TOKEN, FUZZY, FUZZY_HIGH, HIGH_SHARED = 4, 0.82, 0.92, 2
 ENTITY_TYPES = ["person", "place", "topic", "event", "project"]
 
 
@@ -23,11 +28,22 @@ def exact_matches(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
     return m.join(surfaces(nodes), ["type", "form"]).select("mention", "type", "id").distinct()
 
 
-def token_matches(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(mention, type, id, shared) of entities that share a significant token with the mention, by an equi-join on tokens."""
-    t = surfaces(nodes).select("id", "type", F.explode(significant_tokens(F.col("form"))).alias("token")).distinct()
+def token_matches(nodes: DataFrame, mentions: DataFrame, most: int = 100) -> DataFrame:
+    """(mention, type, id, is_exact, n): entities with the mention's name or a significant token of it, exact ones
+    first, then by title, ``most`` a mention.
+
+    That order does not depend on the mention, so a token's first ``most`` entities are all that can count: a word that
+    every name has costs ``most`` rows a mention, not the square of the table.
+    """
+    title = nodes.select("id", "title")
+    t = surfaces(nodes).select("id", "type", F.explode(significant_tokens(F.col("form"))).alias("token")).distinct().join(title, "id")
+    t = first_by(t, ["type", "token"], ["title", "id"], most).select("type", "token", "id")
     m = mentions.select("mention", "type", F.explode(significant_tokens(F.col("mention"))).alias("token")).distinct()
-    return m.join(t, ["type", "token"]).groupBy("mention", "type", "id").agg(F.count("*").alias("shared"))
+    exact = exact_matches(nodes, mentions).withColumn("is_exact", F.lit(True))
+    every = m.join(t, ["type", "token"]).select("mention", "type", "id", F.lit(False).alias("is_exact")).union(exact)
+    every = every.groupBy("mention", "type", "id").agg(F.max("is_exact").alias("is_exact")).join(title, "id")
+    w = Window.partitionBy("mention", "type").orderBy(F.desc("is_exact"), "title", "id")
+    return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("mention", "type", "id", "is_exact", F.col("n").cast("long").alias("n"))
 
 
 def decide(mentions: DataFrame, exact: DataFrame, token: DataFrame) -> DataFrame:
@@ -39,18 +55,38 @@ def decide(mentions: DataFrame, exact: DataFrame, token: DataFrame) -> DataFrame
     return out.select("mention", "type", n.alias("candidates"), x.alias("exact"), F.when(n == 0, "mint").when(x == 1, F.concat(F.lit("link:"), "only")).otherwise("review").alias("outcome"))
 
 
+def _identity(nodes: DataFrame) -> DataFrame:
+    """(id, key): type and sorted surface forms, joined by characters that no form can hold."""
+    forms = surfaces(nodes).groupBy("id", "type").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    return forms.select("id", F.concat("type", F.lit("\x00"), F.array_join("forms", "\x01")).alias("key"))
+
+
 def loser_keys(nodes: DataFrame) -> DataFrame:
     """(id, key): a merge decision's key, from type and sorted surface forms and not from ids."""
-    forms = surfaces(nodes).groupBy("id", "type").agg(F.sort_array(F.collect_set("form")).alias("forms"))
-    return forms.select("id", F.concat("type", F.lit("|"), F.array_join("forms", "~")).alias("key"))
+    return _identity(nodes)
+
+
+def keep_keys(nodes: DataFrame) -> DataFrame:
+    """(id, key): the same for a decision to keep, fit for an address."""
+    return _identity(nodes).select("id", F.rtrim(F.translate(F.base64(F.encode("key", "UTF-8")), "+/", "-_"), F.lit("=")).alias("key"))
 
 
 def merge_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """Edges after merges (loser, survivor): inbound ones move, the loser's own go, doubles and loops are dropped."""
+    """Edges after merges (loser, survivor): inbound ones move with all their columns, the loser's own go, loops and
+    doubles of (src, dst, rel, origin) are dropped, the earliest staying.  ``merges`` is free of chains."""
     m = merges.select("loser", "survivor")
     kept = edges.join(m, edges.src == m.loser, "left_anti")
-    moved = kept.join(m, kept.dst == m.loser, "left").select("src", F.coalesce("survivor", "dst").alias("dst"), "rel", "origin")
-    return moved.where("src <> dst").distinct()
+    moved = kept.join(m, kept.dst == m.loser, "left").withColumn("dst", F.coalesce("survivor", "dst")).drop("loser", "survivor").where("src <> dst")
+    return first_by(moved, ["src", "dst", "rel", "origin"], [F.asc_nulls_last("since"), F.asc_nulls_last("until")])
+
+
+def final_survivors(merges: DataFrame, most: int = 32) -> DataFrame:
+    """(loser, survivor) with chains of merges followed to their end by doubling; a ring has no end and stays as it is."""
+    at = merges.select("loser", "survivor")
+    for _ in range(most.bit_length()):
+        step = at.select(F.col("loser").alias("survivor"), F.col("survivor").alias("next"))
+        at = at.join(step, "survivor", "left").select("loser", F.coalesce("next", "survivor").alias("survivor"))
+    return at
 
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,16 +96,73 @@ def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(live(nodes).select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
 
 
-def duplicate_pairs(nodes: DataFrame, links: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, shared): entities of one type with a significant name token and at least ``least`` live neighbours in common.
+def name_candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b) of one type, a before b, whose names may match: pairs that one of two keys brings together.
 
-    A pair must agree on token and neighbour at once to meet, so neither a frequent word nor a hub with many
-    neighbours alone brings rows together.
+    A form whose tokens are a subset of another's has its rarest token there, so every form is looked up by that one
+    token among all.  A similar spelling shares one of a form's three rarest trigrams.  Frequent words and syllables
+    thus bring nobody together unless a name has no other.
     """
-    tokens = surfaces(nodes).select("id", "type", F.explode(significant_tokens(F.col("form"))).alias("token")).distinct()
-    keys = tokens.join(links, "id")
-    met = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), ["type", "token", "other"]).where("a < b")
-    return met.select("a", "b", "other").distinct().groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    forms = surfaces(nodes)
+
+    def met(parts: DataFrame, keep: int) -> DataFrame:
+        often = parts.groupBy("type", "key").agg(F.count("*").alias("often"))
+        rare = first_by(parts.join(often, ["type", "key"]), ["id", "type", "form"], ["often", "key"], keep)
+        pairs = rare.select(F.col("id").alias("x"), "type", "key").distinct().join(parts.select(F.col("id").alias("y"), "type", "key").distinct(), ["type", "key"])
+        return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    words = forms.select("id", "type", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("key"))
+    grams = forms.where(F.length("form") >= 4).select("id", "type", "form", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.substring("form", i, F.lit(3))))).alias("key"))
+    return met(words, 1).union(met(grams, 3)).distinct()
+
+
+@F.pandas_udf("struct<kind: string, score: double>")
+def name_match(a_forms: pd.Series, b_forms: pd.Series) -> pd.DataFrame:
+    """How two lists of forms match: ``exact`` or ``containment`` of token sets, else ``fuzzy``; null kind for neither."""
+    out = []
+    for xs, ys in zip(a_forms, b_forms, strict=True):
+        best: tuple[str | None, float] = (None, 0.0)
+        sets = [(set(x.split()), set(y.split())) for x in xs for y in ys]
+        shares = [min(len(p), len(q)) / max(len(p), len(q)) for p, q in sets if p and q and (p <= q or q <= p) and any(len(t) >= LEAST_TOKEN for t in p & q)]
+        if shares:
+            best = ("exact" if max(shares) == 1.0 else "containment", max(shares))
+        else:
+            ratio = max((SequenceMatcher(None, x, y).ratio() for x in xs for y in ys if min(len(x), len(y)) >= LEAST_TOKEN), default=0.0)
+            if ratio >= FUZZY:
+                best = ("fuzzy", ratio)
+        out.append(best)
+    return pd.DataFrame(out, columns=["kind", "score"])
+
+
+def shared_neighbours(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, shared, jaccard) of pairs with neighbours in common, the two themselves not counted."""
+    x, y = links.select(F.col("id").alias("a"), "other"), links.select(F.col("id").alias("b"), "other")
+    common = pairs.select("a", "b").join(x, "a").join(y, ["b", "other"]).where("other <> a and other <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    n = links.groupBy("id").agg(F.count("*").alias("n"))
+    direct = links.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(2).alias("own"))
+    out = common.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").join(direct, ["a", "b"], "left")
+    rest = F.col("na") + F.col("nb") - F.col("shared") - F.coalesce("own", F.lit(0))
+    return out.select("a", "b", "shared", (F.col("shared") / rest).alias("jaccard"))
+
+
+def named_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b, kind, score): candidates that pass the name gate."""
+    forms = surfaces(nodes).groupBy("id").agg(F.collect_list("form").alias("forms"))
+    rows = name_candidates(nodes).join(forms.toDF("a", "xs"), "a").join(forms.toDF("b", "ys"), "b").withColumn("m", name_match("xs", "ys"))
+    return rows.select("a", "b", "m.kind", "m.score").where("kind is not null")
+
+
+def duplicate_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, kind, score, shared, jaccard, high): entities with matching names and a neighbour in common; ``high`` for
+    strong names with two or more."""
+    named = named_pairs(nodes)
+    strong = F.col("kind").isin("exact", "containment") | (F.col("score") >= FUZZY_HIGH)
+    return named.join(shared_neighbours(named, links), ["a", "b"]).withColumn("high", (F.col("shared") >= HIGH_SHARED) & strong)
+
+
+def ranked_pairs(pairs: DataFrame, filed: DataFrame, most: int = 200) -> DataFrame:
+    """The best ``most`` pairs that are not in ``filed`` (a, b): high ones, more neighbours, better names first."""
+    return pairs.join(filed.select("a", "b"), ["a", "b"], "left_anti").orderBy(F.desc("high"), F.desc("shared"), F.desc("score"), F.desc("a"), F.desc("b")).limit(most)
 
 
 def survivors(pairs: DataFrame, nodes: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -98,6 +191,6 @@ def degrees(links: DataFrame) -> DataFrame:
     return links.groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row a key, the first in order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def first_by(df: DataFrame, keys: list[str], order: list, most: int = 1) -> DataFrame:
+    """The first ``most`` rows of a key, in order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")

@@ -1,5 +1,5 @@
 """Importing this package registers every query."""
 
-from . import catalog, records
+from . import catalog, matching, records
 
-__all__ = ["catalog", "records"]
+__all__ = ["catalog", "matching", "records"]

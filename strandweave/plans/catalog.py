@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import markdown as MD
 from ..operators import activity as A
 from ..operators import entities as E
 from ..operators import graph as G
@@ -20,11 +21,13 @@ TODAY = "2024-12-31"
 TERMS = S.query_terms("the a of that")
 
 
-def query(sql: str, *views: str):
-    """Register a query of the bound model with its twin; ``views`` are what the twin reads."""
+def query(sql: str | None, *views: str):
+    """Register a query of the bound model with its twin (none where SQL can't say it); ``views`` are what the twin reads."""
 
     def put(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
+        if sql is None:
+            return f
         ORACLE_SQL[f.__name__] = f"{duck(*views)}{',' if views and sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}" if views else sql
         return f
 
@@ -53,9 +56,6 @@ def search_vec_leg(m):
     return S.vector_scores(m.chunks, _query_vector(m)).select("node_id", "chunk_index", F.round("dist", 6).alias("dist"))
 
 
-@query(f"{_VEC} select node_id, min(chunk_index) as chunk_index, round(min(dist), 6) as dist from vec group by 1", "chunks")
-def search_best_per_node(m):
-    return S.best_per_node(S.vector_scores(m.chunks, _query_vector(m)), F.col("dist")).select("node_id", "chunk_index", F.round("dist", 6).alias("dist"))
 
 
 @query(f"{_LEGS} select node_id, vec_rank as rank from v", "chunks", "nodes")
@@ -68,9 +68,6 @@ def search_fts_leg(m):
     return S.legs(m.nodes, m.chunks, _query_vector(m), TERMS, PARAMS)[1].select("node_id", F.col("rank").cast("long").alias("rank"), "text_rank")
 
 
-@query("select node_id, chunk_index from chunks where 1 = 0", "chunks")
-def search_fts_suppress(m):
-    return S.lexical_scores(m.chunks, S.query_terms("and the")).select("node_id", "chunk_index")
 
 
 @query(f"{_LEGS} select node_id, vec_rank, fts_rank, round(rrf, 8) as rrf from fused", "chunks", "nodes")
@@ -134,14 +131,14 @@ def embed_prefixes(m):
 
 # graph reads
 
-_CENTERS = "centers as (select distinct id as center from nodes where id like 'c:00000000%')"
+_CENTERS = "centers as (select distinct id as center from nodes where type = 'person')"
 _AROUND = f"""+ {_CENTERS}, around as (select dst as center, rel, origin, 'in' as dir, src as node_id, since, until from edges where dst in (select center from centers)
 union all select src, rel, origin, 'out', dst, since, until from edges where src in (select center from centers)),
 near as (select around.*, type, title from around join nodes on id = node_id and merged_into is null)"""
 
 
 def _near(m: Model) -> DataFrame:
-    ids = m.nodes.where("id like 'c:00000000%'").select(F.col("id").alias("center")).distinct()
+    ids = m.nodes.where("type = 'person'").select(F.col("id").alias("center")).distinct()
     return G.neighbors(m.nodes, m.edges, ids)
 
 
@@ -174,14 +171,14 @@ def center_header(m):
 @query(
     """+ a1 as (select src as center, rel, origin, 'out' as dir, dst as node_id from edges union all select dst, rel, origin, 'in', src from edges),
   a as (select a1.* from a1 join nodes on id = node_id and merged_into is null),
-  l1 as (select center as root, center || '>' || node_id as path, node_id as leaf, rel from (select *, row_number() over (partition by center order by origin, rel, dir, node_id) as n from (select distinct * from a where center in ('c:0000000001', 'c:0000000002') and node_id <> center)) where n <= 10),
+  l1 as (select center as root, center || '>' || node_id as path, node_id as leaf, rel from (select *, row_number() over (partition by center order by origin, rel, dir, node_id) as n from (select distinct * from a where center in (select id from nodes where type = 'project') and node_id <> center)) where n <= 10),
   l2 as (select root, path || '>' || node_id as path, node_id as leaf, rel from (select l1.root, l1.path, a.rel, a.node_id, row_number() over (partition by l1.path order by origin, a.rel, dir, node_id) as n from l1 join (select distinct * from a) a on a.center = l1.leaf where a.node_id <> l1.root and a.node_id <> l1.leaf) where n <= 10)
   select root, 1 as depth, path, leaf, rel from l1 union all select root, 2, path, leaf, rel from l2""",
     "nodes",
     "edges",
 )
 def build_context(m):
-    ids = m.nodes.where("id in ('c:0000000001', 'c:0000000002')").select(F.col("id").alias("center"))
+    ids = m.nodes.where("type = 'project'").select(F.col("id").alias("center"))
     return G.context(m.nodes, m.edges, ids)
 
 
@@ -217,10 +214,6 @@ def hard_split(m):
     return m.documents.select("doc_id", F.posexplode(C.hard_split(F.col("text"))).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-@query("select label, pos, round(avg(x), 6) as mean from (select label, unnest(cast(embedding as double[])) as x, unnest(range(0, len(embedding))) as pos from embeddings) group by 1, 2")
-def mean_pool(m):
-    parts = m.embeddings.select("label", F.posexplode(C.double(F.col("embedding"))).alias("pos", "x"))
-    return parts.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
 @query("select distinct src, dst, rel from edges where origin = 'canonical' and dst in (select id from nodes) and src in (select id from nodes)", "edges", "nodes")
@@ -230,26 +223,13 @@ def canonical_edges(m):
     return canon.join(ids, canon.dst == ids.id, "left_semi").join(ids, F.col("src") == ids.id, "left_semi").select("src", "dst", "rel").distinct()
 
 
-@query("select id, store_path from nodes where type = 'insight' and cast(substring(id, 3) as bigint) not in (select vec_id from embeddings)", "nodes")
-def reconcile_deletes(m):
-    own = m.nodes.where("type = 'insight'").select("id", "store_path", F.substring("id", 3, 20).cast("long").alias("vec_id"))
-    return own.join(m.embeddings.select("vec_id"), "vec_id", "left_anti").select("id", "store_path")
 
 
 _OUTCOME = "case when l.doc_id is null then 'indexed' when d.doc_id % 7 = 0 then 'moved' when l.quality = 0 then 'changed' else 'skipped' end"
 
 
-@query(f"select {_OUTCOME} as action, count(*) as n from documents d left join labels l on l.doc_id = d.doc_id group by 1")
-def index_outcome(m):
-    known = m.labels.select("doc_id", "quality", F.lit(True).alias("known"))
-    action = F.when(F.col("known").isNull(), "indexed").when(F.col("doc_id") % 7 == 0, "moved").when(F.col("quality") == 0, "changed").otherwise("skipped")
-    return m.documents.select("doc_id").join(known, "doc_id", "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
-@query("select o_orderkey, cast(date_trunc('month', o_orderdate) as date) as first_day, last_day(o_orderdate) as last_day, cast(year(o_orderdate) as varchar) || '-12-31' as year_end from orders")
-def expand_occurred(m):
-    d = F.to_date("o_orderdate")
-    return m.orders.select("o_orderkey", F.trunc(d, "month").alias("first_day"), F.last_day(d).alias("last_day"), F.concat(F.year(d).cast("string"), F.lit("-12-31")).alias("year_end"))
 
 
 @query("select id, case when interiority in ('internal', 'external', 'mixed') then interiority end as interiority from nodes", "nodes")
@@ -257,12 +237,12 @@ def interiority_clean(m):
     return m.nodes.select("id", F.when(F.col("interiority").isin("internal", "external", "mixed"), F.col("interiority")).alias("interiority"))
 
 
-_FOLD = "translate(lower({x}), '" + C.ACCENTED + "', '" + C.PLAIN + "')"
+_FOLD = "lower(strip_accents({x}))"
 
 
-@query(f"select doc_id, {_FOLD.format(x='substring(text, 1, 200)')} as folded from documents")
+@query("select doc_id, strip_accents(text) as folded from documents")
 def fold_diacritics(m):
-    return m.documents.select("doc_id", C.fold(F.substring("text", 1, 200)).alias("folded"))
+    return m.documents.select("doc_id", MD.fold_marks("text").alias("folded"))
 
 
 @query(rf"select id, trim(regexp_replace({_FOLD.format(x='title')}, '\s+', ' ', 'g')) as form from nodes", "nodes")
@@ -281,16 +261,17 @@ _DISP = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
 _TYPES = "('person', 'place', 'topic', 'event', 'project')"
 _STOP = "(" + ", ".join(f"'{w}'" for w in C.STOP_WORDS) + ")"
 _SURF = f"""+ surf as (select distinct id, type, {_DISP.format(x='form')} as form from (select id, type, unnest(list_concat([title], aliases)) as form from nodes where merged_into is null and type in {_TYPES}) where {_DISP.format(x='form')} <> ''),
-ment as (select distinct * from (select 'Cust ' || cast(c_custkey as varchar) as mention, 'person' as type from customer where c_custkey % 3 = 0 union all select p_name, 'topic' from part where p_partkey % 5 = 0 union all select 'Nobody ' || n_name, 'person' from nation)),
+ment as (select distinct * from (select 'Cust ' || cast(c_custkey as varchar) as mention, 'person' as type from customer union all select p_name, 'topic' from part union all select 'Nobody ' || n_name, 'person' from nation)),
 exact as (select distinct mention, ment.type, id from ment join surf on surf.type = ment.type and surf.form = {_DISP.format(x='mention')}),
 stok as (select distinct id, type, token from (select id, type, unnest(string_split(form, ' ')) as token from surf) where length(token) >= 4 and token not in {_STOP}),
 mtok as (select distinct mention, type, token from (select mention, type, unnest(string_split({_DISP.format(x='mention')}, ' ')) as token from ment) where length(token) >= 4 and token not in {_STOP}),
-tok as (select mention, mtok.type, id, count(*) as shared from mtok join stok on stok.type = mtok.type and stok.token = mtok.token group by 1, 2, 3)"""
+tok0 as (select distinct mention, mtok.type, stok.id, (mention, mtok.type, stok.id) in (select (mention, type, id) from exact) as is_exact from mtok join stok on stok.type = mtok.type and stok.token = mtok.token union select mention, type, id, true from exact),
+tok as (select mention, type, id, is_exact, n from (select tok0.*, row_number() over (partition by mention, tok0.type order by is_exact desc, title, tok0.id) as n from tok0 join nodes on nodes.id = tok0.id) where n <= 100)"""
 
 
 def _mentions(m: Model) -> DataFrame:
-    c = m.customer.where("c_custkey % 3 = 0").select(F.concat(F.lit("Cust "), F.col("c_custkey").cast("string")).alias("mention"), F.lit("person").alias("type"))
-    p = m.part.where("p_partkey % 5 = 0").select("p_name", F.lit("topic"))
+    c = m.customer.select(F.concat(F.lit("Cust "), F.col("c_custkey").cast("string")).alias("mention"), F.lit("person").alias("type"))
+    p = m.part.select("p_name", F.lit("topic"))
     n = m.nation.select(F.concat(F.lit("Nobody "), "n_name"), F.lit("person"))
     return c.union(p).union(n).distinct()
 
@@ -300,7 +281,7 @@ def alias_exact(m):
     return E.exact_matches(m.nodes, _mentions(m))
 
 
-@query(f"{_SURF} select mention, type, id, shared from tok", "nodes")
+@query(f"{_SURF} select mention, type, id, is_exact, n from tok", "nodes")
 def alias_token_overlap(m):
     return E.token_matches(m.nodes, _mentions(m))
 
@@ -333,27 +314,18 @@ def surface_forms(m):
     return E.surfaces(m.nodes).groupBy("id").agg(F.count("*").alias("n"), F.min("form").alias("low"), F.max("form").alias("high"))
 
 
-@query(f"{_SURF} select id, type || '|' || string_agg(form, '~' order by form) as key from surf group by id, type", "nodes")
-def loser_key(m):
-    return E.loser_keys(m.nodes)
 
 
-@query("select dst, count(*) as n from edges join nodes on id = src and merged_into is null where origin = 'canonical' group by 1", "edges", "nodes")
-def inbound_edges(m):
-    return m.edges.where("origin = 'canonical'").join(G.live(m.nodes).select(F.col("id").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("n"))
 
 
-@query("+ mg as (select id as loser, merged_into as survivor from nodes where merged_into is not null) select distinct src, coalesce(survivor, dst) as dst, rel, origin from edges left join mg on loser = dst where src not in (select loser from mg) and src <> coalesce(survivor, dst)", "edges", "nodes")
-def entity_merge(m):
-    return E.merge_edges(m.edges, m.nodes.where("merged_into is not null").select(F.col("id").alias("loser"), F.col("merged_into").alias("survivor")))
 
 
 _LINKS = "links as (select distinct id, other from (select src as id, dst as other from edges where origin = 'canonical' union all select dst, src from edges where origin = 'canonical') where other in (select id from nodes where merged_into is null))"
 
 
-@query(f"+ {_LINKS} select id, other from links where id like 'n:%'", "nodes", "edges")
+@query(f"+ {_LINKS} select id, other from links", "nodes", "edges")
 def neighborhood(m):
-    return E.endpoints(m.nodes, m.edges).where("id like 'n:%'")
+    return E.endpoints(m.nodes, m.edges)
 
 
 @query(f"select id, type, title from nodes where merged_into is null and type in {_TYPES}", "nodes")
@@ -373,9 +345,6 @@ def entity_browse(m):
     return E.browse(m.nodes, "Cust  12")
 
 
-@query(f"+ {_LINKS} select id, count(*) as degree, case when count(*) >= 8 then 'full' when count(*) >= 3 then 'snapshot' else 'stub' end as tier from links group by 1", "nodes", "edges")
-def profile_tier(m):
-    return E.degrees(E.endpoints(m.nodes, m.edges)).withColumn("tier", C.profile_tier(F.col("degree")))
 
 
 @query(f"+ {_LINKS} select n.id, n.type, count(other) as neighbors from nodes n left join links on links.id = n.id where merged_into is null and type in {_TYPES} group by 1, 2", "nodes", "edges")
@@ -384,11 +353,6 @@ def entity_dedup_hubs(m):
     return hubs.join(E.endpoints(m.nodes, m.edges), "id", "left").groupBy("id", "type").agg(F.count("other").alias("neighbors"))
 
 
-@query(f"{_SURF}, {_LINKS}, k as (select stok.id, type, token, other from stok join links on links.id = stok.id) select a, b, count(*) as shared from (select distinct x.id as a, y.id as b, x.other from k x join k y on x.type = y.type and x.token = y.token and x.other = y.other and x.id < y.id) group by 1, 2", "nodes", "edges")
-def entity_dedup_pairs(m):
-    return E.duplicate_pairs(m.nodes, E.endpoints(m.nodes, m.edges))
-
-
 # content duplicates
 
 _PAIRS = f"p as (select node_id as id, embedding from chunks where embedding is not null), s as (select a.id, b.id as other, {_COS} as score from p a, p b where a.id <> b.id), near as (select least(id, other) as a, greatest(id, other) as b, max(score) as score from (select *, row_number() over (partition by id order by score desc, other) as n from s where score >= 0.3) where n <= 10 group by 1, 2)"
@@ -466,25 +430,6 @@ def health_orphans(m):
     return A.orphans(m.nodes, m.edges)
 
 
-@query("select id, merged_into from nodes where merged_into is not null and merged_into not in (select id from nodes)", "nodes")
-def health_tombstones(m):
-    return A.dangling_tombstones(m.nodes)
-
-
-@query(
-    f"""select finding, count(*) as n from (
-  select 'orphans' as finding from nodes where merged_into is null and store_path not like 'inbox/%' and id not in (select src from edges where origin = 'canonical' union select dst from edges where origin = 'canonical')
-  union all select 'inbox' from nodes where merged_into is null and store_path like 'inbox/%'
-  union all select 'review-aging' from review_queue where status in ('pending', 'maybe') and datediff('day', created_on, date '2024-01-31') > 14
-  union all select 'missing-occurred' from nodes where merged_into is null and type = 'memory' and occurred_start is null
-  union all select 'alias-less' from nodes where merged_into is null and type in {_TYPES} and len(aliases) = 0
-  union all select 'tombstones' from nodes where merged_into is not null and merged_into not in (select id from nodes)) group by 1""",
-    "nodes",
-    "edges",
-    "review_queue",
-)
-def health_report(m):
-    return A.health(m.nodes, m.edges, m.review_queue, "2024-01-31")
 
 
 @query("select kind, count(*) as n, min(created_on) as oldest, max(datediff('day', created_on, date '2024-12-31')) as age from review_queue where status = 'maybe' group by 1", "review_queue")
@@ -524,14 +469,8 @@ def run_tree(m):
     return G.run_tree(m.agent_runs)
 
 
-@query("select agent, status, max(run_id) as run_id, count(*) as n from agent_runs group by 1, 2", "agent_runs")
-def run_latest(m):
-    return m.agent_runs.groupBy("agent", "status").agg(F.max("run_id").alias("run_id"), F.count("*").alias("n"))
 
 
-@query("select run_id, cast(json_extract_string(details, '$.k') as bigint) as k, agent, status from agent_runs", "agent_runs")
-def capture_interactions(m):
-    return m.agent_runs.select("run_id", F.get_json_object("details", "$.k").cast("long").alias("k"), "agent", "status")
 
 
 @query("select capture_id, case when status in ('indexed', 'failed') then status else 'failed' end as status from captures", "captures")
@@ -539,9 +478,6 @@ def sweep_orphans(m):
     return m.captures.select("capture_id", F.when(F.col("status").isin("indexed", "failed"), F.col("status")).otherwise("failed").alias("status"))
 
 
-@query("select user_id, count(*) as n, count(distinct kind) as kinds, count(*) filter (where removed) as removed from captures group by 1", "captures")
-def captures_list(m):
-    return m.captures.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("kind").alias("kinds"), F.count_if("removed").alias("removed"))
 
 
 # conversations
@@ -578,7 +514,7 @@ def watermark_advance(m):
     return done.join(newest, "session_id").select("session_id", "mark", "newest", ((F.col("n") >= 4) & (F.col("mark") < F.col("newest"))).alias("truncated"))
 
 
-@query(f"{_DELTA} select session_id, count(*) as n, string_agg(case when role = 'user' then 'User: ' else 'Assistant: ' end || substring(content, 1, 40), chr(10) order by at_minute, turn) as transcript from delta group by 1", "chat_messages")
+@query(f"{_DELTA} select session_id, count(*) as n, string_agg(case when role = 'user' then 'User: ' else 'Assistant: ' end || content, chr(10) order by at_minute, turn) as transcript from delta group by 1", "chat_messages")
 def distill_transcript(m):
     return A.transcripts(A.delta(m.chat_messages, _marks(m), 4))
 

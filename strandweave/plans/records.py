@@ -40,9 +40,6 @@ def profile_stub(m):
     return R.stubs(_observations(m))
 
 
-@query(f"+ {_OBS} select center, sha256('stub' || chr(10) || text) as signature from texts", "nodes", "edges")
-def profile_hash(m):
-    return R.stubs(_observations(m)).select("center", F.sha2(F.concat(F.lit("stub\n"), "text"), 256).alias("signature"))
 
 
 @query(f"+ {_LINKS} select n.id, title, count(*) as degree from nodes n join links on links.id = n.id where merged_into is null and type in {_TYPES} group by 1, 2 order by degree desc, n.id limit 20", "nodes", "edges")
@@ -105,9 +102,6 @@ def review_list(m):
     return waiting.orderBy(F.desc("created_at"), F.desc("item_id")).limit(50)
 
 
-@query(f"select id from {_LIVE} and type in {_TYPES} and id not in (select src from edges union select dst from edges)", "nodes", "edges")
-def node_delete_guard(m):
-    return R.deletable(m.nodes, m.edges)
 
 
 @query("select agent, max(started_at) as watermark from agent_runs where status = 'succeeded' group by 1", "agent_runs")
@@ -115,12 +109,6 @@ def dedup_watermark(m):
     return m.agent_runs.where("status = 'succeeded'").groupBy("agent").agg(F.max("started_at").alias("watermark"))
 
 
-@query(
-    "select agent, arg_max(status, run_id) as latest, arg_max(status, run_id) <> 'failed' and coalesce(datediff('day', cast(max(started_at) filter (where status = 'succeeded') as date), date '2024-01-31') <= 10, false) as healthy from agent_runs group by 1",
-    "agent_runs",
-)
-def drill_health(m):
-    return R.run_health(m.agent_runs, "2024-01-31", 10)
 
 
 @query("""+ numbered as (select *, row_number() over (partition by session_id order by at_minute desc, turn desc) as back from chat_messages),
@@ -176,18 +164,6 @@ def health_stale(m):
     return newest.where(F.col("newest") < F.to_date(F.lit("2022-01-01")))
 
 
-@query(
-    f"""{_SURF}, {_LINKS}, k as (select stok.id, type, token, other from stok join links on links.id = stok.id),
-  met as (select distinct x.id as a, y.id as b, x.other from k x join k y on x.type = y.type and x.token = y.token and x.other = y.other and x.id < y.id),
-  p as (select a, b, count(*) as shared from met group by 1, 2), deg as (select id, count(*) as n from links group by 1)
-  select p.a, p.b, shared, round(shared / (x.n + y.n - shared - case when l.id is null then 0 else 2 end), 6) as jaccard
-  from p join deg x on x.id = p.a join deg y on y.id = p.b left join links l on l.id = p.a and l.other = p.b""",
-    "nodes",
-    "edges",
-)
-def entity_dedup_shared(m):
-    links = E.endpoints(m.nodes, m.edges)
-    return R.jaccard(E.duplicate_pairs(m.nodes, links), links)
 
 
 @query(f"select * from ({ORACLE_SQL['dedup_canonicalize']}) order by score desc, a, b limit 200")
@@ -207,10 +183,6 @@ def neighbors_cursor(m):
 _SEEDS = "memory person idea conversation insight place event project topic".split()
 
 
-@query(f"select unnest([{', '.join(repr(t) for t in _SEEDS)}]) as type union select type from nodes", "nodes")
-def vocab_effective(m):
-    seeds = m.nodes.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, _SEEDS))).alias("type"))
-    return seeds.union(m.nodes.select("type").distinct()).distinct()
 
 
 @query(f"select id from {_LIVE} and type not in {_TYPES} and store_path like 'insight/%'", "nodes")

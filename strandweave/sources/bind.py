@@ -74,6 +74,40 @@ select {_ident("n", "n_nationkey")}, {_ident("r", "n_regionkey")}, 'part_of', 'c
 union all
 select {_ident("d", "doc_id")}, {_ident("d", "doc_id + 1")}, 'similar', 'derived', cast(null as date), cast(null as date) from documents where doc_id % 3 = 0""",
     "chunks": f"select {_ident('d', 'doc_id')} as node_id, 0 as chunk_index, text as content, embedding from documents left join embeddings on vec_id = doc_id",
+    "notes": f"""
+select 'insight/' || cast(doc_id as string) || '.md' as path, doc_id,
+  '---\nid: ' || {_ident("d", "doc_id")} || '\ntype: insight\ncreated: 2024-05-0' || cast(1 + doc_id % 9 as string) || 'T08:00:00\ntags: [' || lang || ', "' || coalesce(source, '') || ', quoted"]\noccurred: '
+  || case doc_id % 4 when 0 then '2024' when 1 then '2024-02' when 2 then '2024-02-30' else '2024-03-0' || cast(1 + doc_id % 9 as string) end
+  || case when doc_id % 5 = 0 then '\noccurred_end: 2024-11' else '' end || '\ninteriority: ' || case doc_id % 3 when 0 then 'Internal' when 1 then 'odd' else 'mixed' end
+  || '\nedges:\n  - {{rel: about, to: ' || {_ident("n", "doc_id % 25")} || ', conf: 0.' || cast(doc_id % 10 as string) || ', since: 2024-0' || cast(1 + doc_id % 9 as string) || '}}\n  - {{rel: broken}}\n---\n# Note '
+  || cast(doc_id as string) || '\n\n' || replace(coalesce(text, ''), '. ', '.\n\n') as content
+from documents""",
+    "parts": f"select {_ident('d', 'cast(floor(doc_id / 3) as bigint)')} as node_id, doc_id % 3 as chunk_index, text as content, embedding from documents join embeddings on vec_id = doc_id",
+    "bodies": f"""
+select {_ident("o", "o_orderkey")} as node_id, cast(o_orderdate as date) as recorded, 'Met [[t:' || cast(cast(o_orderdate as date) as string) || ']] then [[t:2024-0' || cast(1 + o_orderkey % 9 as string) || '/2024-11|late ' || o_orderstatus || ']], [[t:'
+  || case o_orderkey % 5 when 0 then '2023' when 1 then '2023-13|odd' when 2 then 'soon' when 3 then '2022-06/2023' else '2024-02-29T07:05' end || ']] end' as body
+from orders""",
+    "media": """
+select event_id as media_id, event_id - event_id % 3 as capture_id, case event_id % 2 when 0 then 'photo' else 'voice' end as kind,
+  case event_id % 4 when 0 then 'pending' when 1 then 'unavailable' else 'derived' end as status, cast(event_id % 5 as int) as attempts,
+  case when event_id % 7 <> 0 then cast(event_id % 3 as int) end as part_ordinal, ts as created_at, case when event_id % 4 > 1 then ' seen ' || event_type || ' ' end as derived_text
+from events where event_type in ('signup', 'purchase', 'view')""",
+    "node_media": f"select {_ident('o', 'event_id')} as node_id, event_id as media_id from events where event_type <> 'click' and event_id % 2 = 0",
+    "capture_nodes": """
+select event_id as capture_id, 0 as pos, case when event_id % 50 = 0 then 'inbox/' else 'memory/' end || cast(event_id as string) || '.md' as path from events where event_type in ('signup', 'purchase')
+union all
+select event_id, 1, 'person/' || cast(event_id % 150 as string) || '.md' from events where event_type in ('signup', 'purchase') and event_id % 3 = 0""",
+    "run_logs": "select l_orderkey as run_id, l_linenumber as seq, l_returnflag || ' ' || l_linestatus as line from lineitem",
+    "capture_runs": """
+select event_id as run_id, case when event_id % 4 = 0 then 'reindex' else 'capture' end as agent, 'succeeded' as status, ts as started_at, event_id % 6 = 0 as fallback_used,
+  '{"capture_id": "' || cast(event_id - event_id % 3 as string) || '", "kind": "voice", "stt": {"provider": "p' || cast(event_id % 3 as string) || '", "fallback_used": ' || case when event_id % 2 = 0 then 'true' else 'false' end
+  || '}, "organize": {"model": "m", "inbox_fallback": false}, "timings_ms": {"total": ' || cast(event_id % 9000 as string) || '}}' as details
+from events where event_type in ('signup', 'purchase', 'view')""",
+    "replies": """
+select conv_id as session_id, '{"candidates": [{"candidate_text": " Likes thing ' || cast(conv_id % 50 as string) || '! ", "stance": "' || case conv_id % 4 when 0 then 'Endorsed' when 1 then 'rejected' when 2 then 'dunno' else 'endorsed' end
+  || '", "salience": "' || case conv_id % 3 when 0 then 'medium' when 1 then 'HIGH' else '' end || '", "evidence_excerpt": "' || case when conv_id % 5 = 0 then 'maybe so' else replace(replace(replace(substring(text, 3, 30), '"', ' '), chr(92), ' '), chr(10), ' ') end
+  || '"}, {"candidate_text": "likes  thing ' || cast(conv_id % 50 as string) || '", "stance": "endorsed"}, {"stance": "endorsed"}]}' as reply
+from conversations where turn = 1""",
     "chat_messages": "select conv_id as session_id, turn, conv_id * 60 + turn as at_minute, case when role = 'user' then 'user' else 'assistant' end as role, text as content from conversations where role <> 'system'",
     "agent_runs": """
 select event_id as run_id, case event_id % 5 when 0 then 'reindex' when 1 then 'dedup-sweep' when 2 then 'graph-health' when 3 then 'chat-distiller' else 'nightly' end as agent,
@@ -108,7 +142,7 @@ class Model:
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             used = {t: self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet") for t in TABLES if f" {t} " in f"{VIEWS[name]} ".replace("\n", " ")}
-            sql = _words(VIEWS[name], SPARK)
+            sql = _words(VIEWS[name], SPARK).replace("{", "{{").replace("}", "}}")
             for t in used:
                 sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
                 sql = sql[: -len(t)] + f"{{{t}}}" if sql.endswith(f"from {t}") else sql
