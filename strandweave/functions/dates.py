@@ -66,7 +66,7 @@ def inner(x: Column) -> Column:
 
 def token_text(t: Column) -> Column:
     """A token's absolute words: its label, its range, or its date."""
-    return F.when(t["label"].isNotNull(), t["label"]).when(t["end"].isNotNull(), F.concat(absolute(t["start"]), F.lit(" – "), absolute(t["end"]))).otherwise(absolute(t["start"]))
+    return F.when(t.isNull(), F.lit(None)).when(t["label"].isNotNull(), t["label"]).when(t["end"].isNotNull(), F.concat(absolute(t["start"]), F.lit(" – "), absolute(t["end"]))).otherwise(absolute(t["start"]))
 
 
 def occurred(t: Column) -> tuple[Column, Column]:

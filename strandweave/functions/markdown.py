@@ -14,7 +14,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
+_TEXT, _TEXTS = StringType(), ArrayType(StringType())
+_FIELDS = StructType([StructField("scalars", MapType(_TEXT, _TEXT)), StructField("lists", MapType(_TEXT, _TEXTS))])
+_EDGES = ArrayType(StructType([StructField(k, _TEXT) for k in ("rel", "to", "conf", "since", "until")]))
 FRONT = r"(?s)\A---[ \t]*\n(.*?\n|)---[ \t]*(?:\n|\z)"
 _BREAK = re.compile(r"^(?:[ \t]*(?P<fence>```|~~~)|(?P<mark>#{1,6})[ \t]+(?P<title>\S.*))", re.M)
 _BLANK = re.compile(r"\n[ \t]*\n\s*")
@@ -76,7 +80,7 @@ def fields_of(inner: str | None) -> tuple[dict[str, str], dict[str, list[str]]]:
     return scalars, lists
 
 
-@F.pandas_udf("struct<scalars: map<string, string>, lists: map<string, array<string>>>")
+@F.pandas_udf(_FIELDS)
 def parse_front(inner: pd.Series) -> pd.DataFrame:
     rows = [fields_of(x) for x in inner]
     return pd.DataFrame({"scalars": [s for s, _ in rows], "lists": [x for _, x in rows]})
@@ -95,7 +99,7 @@ def edges_of(inner: str | None) -> list[dict[str, str | None]]:
     return out
 
 
-@F.pandas_udf("array<struct<rel: string, to: string, conf: string, since: string, until: string>>")
+@F.pandas_udf(_EDGES)
 def parse_edges(inner: pd.Series) -> pd.Series:
     return inner.map(edges_of)
 
@@ -110,7 +114,7 @@ def _marks(text: str) -> Iterator[re.Match]:
             yield m
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def first_heading(text: pd.Series) -> pd.Series:
     return text.map(lambda t: next((m["title"].strip() for m in _marks(t or "") if m["mark"] == "#"), None))
 
@@ -145,20 +149,20 @@ def chunks(text: Column, size: int = 1200, overlap: int = 200) -> Column:
     if size <= 0 or overlap < 0:
         raise ValueError("a chunk's size is positive and its overlap not negative")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(_TEXTS)
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks_of(t, size, overlap))
 
     return cut(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def fold_marks(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; case stays."""
     return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def path_id(path: pd.Series) -> pd.Series:
     """The stable id of a file that names none."""
     return path.map(lambda p: str(uuid.uuid5(NAMESPACE, p)))

@@ -22,21 +22,33 @@ def dangling_tombstones(nodes: DataFrame) -> DataFrame:
     return nodes.where("merged_into is not null").join(there, "merged_into", "left_anti").select("id", "merged_into")
 
 
+FINDINGS = ["orphans", "inbox", "review-aging", "missing-occurred", "alias-less", "tombstones", "stale-hubs"]
+
+
 def health(nodes: DataFrame, edges: DataFrame, review: DataFrame, today: str, aging_days: int = 14) -> DataFrame:
-    """(finding, n): one row a finding."""
+    """(finding, n, flagged): one row a finding, also where nothing was found.
+
+    Nodes are read once: their degree and open inbound edges join them, and every rule is a condition on the row.
+    """
+    canon = edges.where("origin = 'canonical'").select("src", "dst", F.col("until").isNull().alias("current"))
+    ends = canon.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(False).alias("inbound"), "current"), F.struct(F.col("dst").alias("id"), F.lit(True).alias("inbound"), "current"))).alias("e")).select("e.*")
+    touch = ends.groupBy("id").agg(F.count_if("inbound").alias("inbound"), F.count_if(F.col("inbound") & F.col("current")).alias("current"))
+    rows = nodes.join(touch, "id", "left")
+    alive, inbox, hub = F.col("merged_into").isNull(), F.col("store_path").startswith("inbox/"), F.col("type").isin(ENTITY_TYPES)
+    rules = {
+        "orphans": alive & ~inbox & F.col("inbound").isNull(),
+        "inbox": alive & inbox,
+        "missing-occurred": alive & (F.col("type") == "memory") & F.col("occurred_start").isNull(),
+        "alias-less": alive & hub & (F.size("aliases") == 0),
+        "stale-hubs": alive & hub & (F.col("inbound") > 0) & (F.col("current") == 0),
+    }
+    counts = rows.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
     old = F.datediff(F.to_date(F.lit(today)), F.col("created_on")) > aging_days
-    found = [
-        orphans(nodes, edges).select(F.lit("orphans").alias("finding")),
-        live(nodes).where("store_path like 'inbox/%'").select(F.lit("inbox")),
-        review.where(F.col("status").isin("pending", "maybe") & old).select(F.lit("review-aging")),
-        live(nodes).where("type = 'memory' and occurred_start is null").select(F.lit("missing-occurred")),
-        live(nodes).where(F.col("type").isin(ENTITY_TYPES) & (F.size("aliases") == 0)).select(F.lit("alias-less")),
-        dangling_tombstones(nodes).select(F.lit("tombstones")),
-    ]
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    return every.groupBy("finding").agg(F.count("*").alias("n"))
+    aging = review.agg(F.count_if(F.col("status").isin("pending", "maybe") & old).alias("review-aging"))
+    lost = dangling_tombstones(nodes).agg(F.count("*").alias("tombstones"))
+    one = counts.crossJoin(aging).crossJoin(lost)  # one row each
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("finding"), F.col(f"`{k}`").alias("n")) for k in FINDINGS])).alias("f")
+    return one.select(listed).select("f.finding", "f.n", (F.col("f.n") > 0).alias("flagged"))
 
 
 def feed(runs: DataFrame, captures: DataFrame, review: DataFrame) -> DataFrame:
@@ -109,3 +121,35 @@ def season_of(anchor: Column, season: str) -> tuple[Column, Column]:
 
 
 __all__ = ["delta", "distillable", "endpoints", "feed", "feed_page", "health", "last_n", "month_of", "orphans", "season_of", "transcripts", "weekday_of"]
+
+
+def explicit_day(anchor: Column, month: Column, day: Column, back: int = 8) -> Column:
+    """The latest real ``day`` of ``month`` at or before ``anchor``, within ``back`` years; else null."""
+    years = F.sequence(F.year(anchor) - back, F.year(anchor))
+    real = F.filter(F.transform(years, lambda y: F.when(day <= F.day(F.last_day(F.make_date(y, month, F.lit(1)))), F.date_add(F.make_date(y, month, F.lit(1)), day - 1))), lambda d: d.isNotNull() & (d <= anchor))
+    return F.when(F.size(real) > 0, F.array_max(real))
+
+
+def month_named(anchor: Column, month: Column, which: str) -> Column:
+    """First day of last (this one included), this year's or next ``month``."""
+    shift = {"last": F.when(month <= F.month(anchor), 0).otherwise(-1), "next": F.when(month > F.month(anchor), 0).otherwise(1), "this": F.lit(0)}[which]
+    return F.make_date(F.year(anchor) + shift, month, F.lit(1))
+
+
+def splice(body: Column, phrases: dict[str, str]) -> Column:
+    """``body`` with the first occurrence of each phrase as a token; where phrases overlap the longest stays.
+
+    Longer phrases go first, and what is a token already is not looked at again.
+    """
+    def once(text: Column, phrase: str) -> Column:
+        parts = F.split(text, r"(?=\[\[t:)|(?<=\]\])", -1)
+        plain = lambda i: ~F.startswith(F.element_at(parts, i), F.lit("[[t:")) & (F.instr(F.element_at(parts, i), phrase) > 0)
+        hit = F.filter(F.sequence(F.lit(1), F.size(parts)), plain)
+        at = F.when(F.size(hit) > 0, F.element_at(hit, 1))
+        token = F.lit(f"[[t:{phrases[phrase]}|{phrase}]]")
+        put = lambda x: F.concat(F.substring_index(x, phrase, 1), token, F.substring(x, F.instr(x, phrase) + len(phrase), F.length(x)))
+        return F.when(at.isNotNull(), F.array_join(F.transform(parts, lambda x, i: F.when(i + 1 == at, put(x)).otherwise(x)), "")).otherwise(text)
+
+    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
+        body = once(body, phrase)
+    return body

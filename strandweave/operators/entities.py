@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.columns import display_key, normalize_alias, significant_tokens
 from .graph import live
@@ -81,10 +82,13 @@ def merge_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def final_survivors(merges: DataFrame, most: int = 32) -> DataFrame:
-    """(loser, survivor) with chains of merges followed to their end by doubling; a ring has no end and stays as it is."""
+    """(loser, survivor) with chains of merges followed to their end, one step a round while any leads on; a ring has no
+    end and stops after ``most`` steps."""
     at = merges.select("loser", "survivor")
-    for _ in range(most.bit_length()):
-        step = at.select(F.col("loser").alias("survivor"), F.col("survivor").alias("next"))
+    step = merges.select(F.col("loser").alias("survivor"), F.col("survivor").alias("next"))
+    for _ in range(most):
+        if at.join(step, "survivor", "left_semi").isEmpty():
+            break
         at = at.join(step, "survivor", "left").select("loser", F.coalesce("next", "survivor").alias("survivor"))
     return at
 
@@ -96,8 +100,9 @@ def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(live(nodes).select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
 
 
-def name_candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) of one type, a before b, whose names may match: pairs that one of two keys brings together.
+def name_candidates(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(a, b) of one type, a before b, whose names may match: pairs that one of two keys brings together, and with
+    ``links`` a neighbour at once, so that neither a frequent name nor a hub alone does.
 
     A form whose tokens are a subset of another's has its rarest token there, so every form is looked up by that one
     token among all.  A similar spelling shares one of a form's three rarest trigrams.  Frequent words and syllables
@@ -108,7 +113,11 @@ def name_candidates(nodes: DataFrame) -> DataFrame:
     def met(parts: DataFrame, keep: int) -> DataFrame:
         often = parts.groupBy("type", "key").agg(F.count("*").alias("often"))
         rare = first_by(parts.join(often, ["type", "key"]), ["id", "type", "form"], ["often", "key"], keep)
-        pairs = rare.select(F.col("id").alias("x"), "type", "key").distinct().join(parts.select(F.col("id").alias("y"), "type", "key").distinct(), ["type", "key"])
+        x, y = rare.select("id", "type", "key").distinct(), parts.select("id", "type", "key").distinct()
+        on = ["type", "key"]
+        if links is not None:
+            x, y, on = x.join(links, "id"), y.join(links, "id"), [*on, "other"]
+        pairs = x.withColumnRenamed("id", "x").join(y.withColumnRenamed("id", "y"), on)
         return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     words = forms.select("id", "type", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("key"))
@@ -116,7 +125,7 @@ def name_candidates(nodes: DataFrame) -> DataFrame:
     return met(words, 1).union(met(grams, 3)).distinct()
 
 
-@F.pandas_udf("struct<kind: string, score: double>")
+@F.pandas_udf(StructType([StructField("kind", StringType()), StructField("score", DoubleType())]))
 def name_match(a_forms: pd.Series, b_forms: pd.Series) -> pd.DataFrame:
     """How two lists of forms match: ``exact`` or ``containment`` of token sets, else ``fuzzy``; null kind for neither."""
     out = []
@@ -145,17 +154,17 @@ def shared_neighbours(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("a", "b", "shared", (F.col("shared") / rest).alias("jaccard"))
 
 
-def named_pairs(nodes: DataFrame) -> DataFrame:
+def named_pairs(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(a, b, kind, score): candidates that pass the name gate."""
     forms = surfaces(nodes).groupBy("id").agg(F.collect_list("form").alias("forms"))
-    rows = name_candidates(nodes).join(forms.toDF("a", "xs"), "a").join(forms.toDF("b", "ys"), "b").withColumn("m", name_match("xs", "ys"))
+    rows = name_candidates(nodes, links).join(forms.toDF("a", "xs"), "a").join(forms.toDF("b", "ys"), "b").withColumn("m", name_match("xs", "ys"))
     return rows.select("a", "b", "m.kind", "m.score").where("kind is not null")
 
 
 def duplicate_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b, kind, score, shared, jaccard, high): entities with matching names and a neighbour in common; ``high`` for
     strong names with two or more."""
-    named = named_pairs(nodes)
+    named = named_pairs(nodes, links)
     strong = F.col("kind").isin("exact", "containment") | (F.col("score") >= FUZZY_HIGH)
     return named.join(shared_neighbours(named, links), ["a", "b"]).withColumn("high", (F.col("shared") >= HIGH_SHARED) & strong)
 

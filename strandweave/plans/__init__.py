@@ -1,5 +1,5 @@
 """Importing this package registers every query."""
 
-from . import catalog, matching, records
+from . import captures, catalog, files, health, matching, records, times
 
-__all__ = ["catalog", "matching", "records"]
+__all__ = ["captures", "catalog", "files", "health", "matching", "records", "times"]

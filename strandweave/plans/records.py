@@ -185,9 +185,6 @@ _SEEDS = "memory person idea conversation insight place event project topic".spl
 
 
 
-@query(f"select id from {_LIVE} and type not in {_TYPES} and store_path like 'insight/%'", "nodes")
-def content_node_ids(m):
-    return G.live(m.nodes).where(~F.col("type").isin(E.ENTITY_TYPES) & F.col("store_path").startswith("insight/")).select("id")
 
 
 @query("select capture_id from captures where status = 'organizing' and created_at < timestamp '2024-01-10'", "captures")
@@ -200,6 +197,3 @@ def sessions_list(m):
     return m.chat_messages.groupBy("session_id").agg(F.max("at_minute").alias("newest")).orderBy(F.desc("newest"), "session_id").limit(10)
 
 
-@query("select run_id, agent, status from agent_runs where run_id > 100 order by run_id limit 50", "agent_runs")
-def run_logs_tail(m):
-    return m.agent_runs.where("run_id > 100").select("run_id", "agent", "status").orderBy("run_id").limit(50)
