@@ -10,16 +10,24 @@ TOKEN = r"\[\[t:(.*?)\]\]"
 MONTHS = "January February March April May June July August September October November December".split()
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _part(x: Column, k: int) -> Column:
     return F.nullif(F.regexp_extract(F.trim(x), PARTIAL, k), F.lit("")).cast("int")
 
 
 def partial(x: Column) -> Column:
     """(year, month, day, hour, minute) of a partial ISO date; null if it is malformed or no real date."""
-    y, m, d, h, n = (_part(x, k) for k in range(1, 6))
-    first = F.make_date(F.greatest(y, F.lit(1)), F.coalesce(F.when(m.between(1, 12), m), F.lit(1)), F.lit(1))
-    ok = (y >= 1) & (m.isNull() | m.between(1, 12)) & (d.isNull() | d.between(1, F.day(F.last_day(first)))) & (h.isNull() | h.between(0, 23)) & (n.isNull() | n.between(0, 59))
-    return F.when(ok, F.struct(y.alias("year"), m.alias("month"), d.alias("day"), h.alias("hour"), n.alias("minute")))
+
+    def checked(p: Column) -> Column:
+        first = F.make_date(F.greatest(p["year"], F.lit(1)), F.coalesce(F.when(p["month"].between(1, 12), p["month"]), F.lit(1)), F.lit(1))
+        real = [p["month"].isNull() | p["month"].between(1, 12), p["day"].isNull() | p["day"].between(1, F.day(F.last_day(first))), p["hour"].isNull() | p["hour"].between(0, 23), p["minute"].isNull() | p["minute"].between(0, 59)]
+        return F.when((p["year"] >= 1) & real[0] & real[1] & real[2] & real[3], p)
+
+    return let(F.struct(*[_part(x, k).alias(n) for k, n in enumerate(("year", "month", "day", "hour", "minute"), 1)]), checked)
 
 
 def floor_day(p: Column) -> Column:
@@ -59,9 +67,9 @@ def inner(x: Column) -> Column:
     dates = F.substring_index(x, "|", 1)
     label = F.when(F.contains(x, F.lit("|")), F.nullif(F.trim(F.regexp_replace(x, r"(?s)^[^|]*\|", "")), F.lit("")))
     ranged = F.contains(dates, F.lit("/"))
-    start = partial(F.substring_index(dates, "/", 1))
     end = F.when(ranged, partial(F.regexp_replace(dates, r"(?s)^[^/]*/", "")))
-    return F.when(start.isNotNull() & (~ranged | end.isNotNull()), F.struct(start.alias("start"), end.alias("end"), label.alias("label")))
+    parts = F.struct(partial(F.substring_index(dates, "/", 1)).alias("start"), end.alias("end"), label.alias("label"))
+    return let(parts, lambda t: F.when(t["start"].isNotNull() & (~ranged | t["end"].isNotNull()), t))
 
 
 def token_text(t: Column) -> Column:
@@ -80,7 +88,7 @@ def expand(body: Column, say) -> Column:
 
     def shown(x: Column) -> Column:
         bare = F.when(F.contains(x, F.lit("|")), F.nullif(F.trim(F.regexp_replace(x, r"(?s)^[^|]*\|", "")), F.lit("")))
-        return F.coalesce(say(inner(x)), bare, x)
+        return F.coalesce(let(inner(x), say), bare, x)
 
     said = F.transform(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(1)), shown)
     plain = F.split(body, TOKEN, -1)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .entities import ENTITY_TYPES, endpoints
 from .graph import live
@@ -137,19 +139,25 @@ def month_named(anchor: Column, month: Column, which: str) -> Column:
 
 
 def splice(body: Column, phrases: dict[str, str]) -> Column:
-    """``body`` with the first occurrence of each phrase as a token; where phrases overlap the longest stays.
-
-    Longer phrases go first, and what is a token already is not looked at again.
-    """
-    def once(text: Column, phrase: str) -> Column:
-        parts = F.split(text, r"(?=\[\[t:)|(?<=\]\])", -1)
-        plain = lambda i: ~F.startswith(F.element_at(parts, i), F.lit("[[t:")) & (F.instr(F.element_at(parts, i), phrase) > 0)
-        hit = F.filter(F.sequence(F.lit(1), F.size(parts)), plain)
-        at = F.when(F.size(hit) > 0, F.element_at(hit, 1))
-        token = F.lit(f"[[t:{phrases[phrase]}|{phrase}]]")
-        put = lambda x: F.concat(F.substring_index(x, phrase, 1), token, F.substring(x, F.instr(x, phrase) + len(phrase), F.length(x)))
-        return F.when(at.isNotNull(), F.array_join(F.transform(parts, lambda x, i: F.when(i + 1 == at, put(x)).otherwise(x)), "")).otherwise(text)
-
-    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
-        body = once(body, phrase)
-    return body
+    """``body`` with the first occurrence of each phrase as a token; where phrases overlap the longest stays."""
+    longest = sorted(phrases, key=lambda p: (-len(p), p))
+
+    def spliced(text: str | None) -> str | None:
+        if text is None:
+            return None
+        taken: list[tuple[int, int, str]] = []
+        for p in longest:
+            at = text.find(p)
+            while at >= 0 and any(s < at + len(p) and at < e for s, e, _ in taken):
+                at = text.find(p, at + 1)
+            if at >= 0:
+                taken.append((at, at + len(p), p))
+        for s, e, p in sorted(taken, reverse=True):
+            text = f"{text[:s]}[[t:{phrases[p]}|{p}]]{text[e:]}"
+        return text
+
+    @F.pandas_udf(StringType())
+    def put(texts: pd.Series) -> pd.Series:
+        return texts.map(spliced)
+
+    return put(body)

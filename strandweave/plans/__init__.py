@@ -1,5 +1,5 @@
 """Importing this package registers every query."""
 
-from . import captures, catalog, files, health, matching, records, times
+from . import captures, catalog, files, health, matching, records, talk, times
 
-__all__ = ["captures", "catalog", "files", "health", "matching", "records", "times"]
+__all__ = ["captures", "catalog", "files", "health", "matching", "records", "talk", "times"]

@@ -107,5 +107,5 @@ def date_token_edit(m):
 
 @query(r"+ spans as (select node_id, strpos(body, 'Met') as p, strpos(body, 'then') as q, body from bodies) select node_id, replace(replace(body, 'Met ', '[[t:2024-01-01|Met]] '), ' then ', ' [[t:2024-01-02|then]] ') as body from spans", "bodies")
 def splice_tokens(m):
-    phrases = {"Met": "2024-01-01", "then": "2024-01-02", "the": "2024-01-03", "absent": "2024-01-04"}
+    phrases = {"Met": "2024-01-01", "then": "2024-01-02", "hen": "2024-01-03", "absent": "2024-01-04"}
     return m.bodies.select("node_id", A.splice(F.col("body"), phrases).alias("body"))
