@@ -23,12 +23,14 @@ def part_body() -> Column:
     return F.when((F.col("status") == "derived") & (text != ""), text).otherwise(placeholder(F.col("kind")))
 
 
-_ORDER = (F.coalesce("part_ordinal", F.lit(2**31 - 1)).alias("o"), "created_at", "media_id")
+def _order() -> list:
+    """A capture's media by part, unnumbered ones last."""
+    return [F.coalesce("part_ordinal", F.lit(2**31 - 1)).alias("o"), "created_at", "media_id"]
 
 
 def composed(captures: DataFrame, media: DataFrame) -> DataFrame:
     """(capture_id, text): the own text, then every part behind its numbered mark, divided by blank lines."""
-    part = F.struct(*_ORDER, "kind", part_body().alias("body"))
+    part = F.struct(*_order(), "kind", part_body().alias("body"))
     parts = media.groupBy("capture_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     marked = F.transform("parts", lambda p, i: F.concat(F.lit("[[part "), (i + 1).cast("string"), F.lit(" · "), p["kind"], F.lit("]] "), p["body"]))
     own = F.trim(F.coalesce("raw_text", F.lit("")))
@@ -42,7 +44,7 @@ def listed(captures: DataFrame, paths: DataFrame, nodes: DataFrame, media: DataF
     newest = captures.where("not removed").select("capture_id", "created_at").orderBy(F.desc("created_at"), F.desc("capture_id")).limit(most)
     held = paths.join(newest.select("capture_id"), "capture_id", "left_semi").join(nodes.select(F.col("store_path").alias("path"), "id"), "path")
     refs = held.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("n"))
-    own = media.join(newest.select("capture_id"), "capture_id", "left_semi").groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct(*_ORDER))).alias("m"))
+    own = media.join(newest.select("capture_id"), "capture_id", "left_semi").groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct(*_order()))).alias("m"))
     out = newest.join(refs, "capture_id", "left").join(own, "capture_id", "left")
     empty = lambda c, t: F.coalesce(c, F.array().cast(t))
     return out.select("capture_id", "created_at", empty(F.col("n.id"), "array<string>").alias("node_ids"), empty(F.col("m.media_id"), "array<bigint>").alias("media_ids"))
