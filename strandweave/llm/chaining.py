@@ -100,9 +100,9 @@ def with_first(rows: DataFrame) -> DataFrame:
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """(key, doc, word, point, words, points, fresh): sequences of shared seeds, two or spanning ``SPAN`` words, without
+    """(key, doc, word, point, words, points, rep_a, rep_b, fresh): sequences of shared seeds, two or spanning ``SPAN`` words, without
     a window that has no seed in between, that do not lie on one diagonal of one first holder; with the distances of
-    the last seed from the first.  Which they are depends on the words alone, so all holders of a sequence agree."""
+    the last seed from the first, and the first holders of both.  Which they are depends on the words alone, so all holders of a sequence agree."""
     rows = rows.select("doc", "word", "point", "key", "rep", "rep_word").repartition("doc").sortWithinPartitions("doc", "word")
 
     @tidy
@@ -130,10 +130,10 @@ def sequences(rows: DataFrame) -> DataFrame:
                     inside = total[j + 1] - total[i] - (plain[j + 1] - plain[i]) * (2 * word[i].astype(np.uint64))
                     out.append((mix(inside + np.uint64(kind)).view(np.int64), i, j))
             k, i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, doc[i], word[i], point[i], word[j] - word[i], point[j] - point[i], _fresh(doc[i], k))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, doc[i], word[i], point[i], word[j] - word[i], point[j] - point[i], rep[i], rep[j], _fresh(doc[i], k))], names)
 
-    names = ["key", "doc", "word", "point", "words", "points", "fresh"]
-    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, words int, points int, fresh boolean")
+    names = ["key", "doc", "word", "point", "words", "points", "rep_a", "rep_b", "fresh"]
+    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, words int, points int, rep_a bigint, rep_b bigint, fresh boolean")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -464,9 +464,10 @@ def passages(docs: DataFrame) -> DataFrame:
     short_batches(docs.sparkSession)
     single = with_first(stage(seeds(docs), "seeds"))
     longer = with_first(stage(sequences(single), "sequences"))
-    # a sequence stands for its first and last seed
-    ends = "inline(array(struct(word, rep_word, point, rep_point), struct(word + words as word, rep_word + words as rep_word, point + points as point, rep_point + points as rep_point)))"
-    matches = single.where("doc > rep").select("doc", "rep", "word", "rep_word", "point", "rep_point").union(longer.where("doc > rep").selectExpr("doc", "rep", ends))
+    # a sequence stands for its first and last seed, each where the seed itself was not joined with that holder already
+    first = longer.where("doc > rep and rep <> rep_a").select("doc", "rep", "word", "rep_word", "point", "rep_point")
+    last = longer.where("doc > rep and rep <> rep_b").selectExpr("doc", "rep", "word + words", "rep_word + words", "point + points", "rep_point + points")
+    matches = single.where("doc > rep").select(*first.columns).union(first).union(last)
     return between(docs, matches, single, longer)
 
 
