@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("passages", cut_passages),
     ("packing", pack),
 ]
-#: The stages cannot be expressed in SQL; a test holds them against brute-force versions.
+#: The stages cannot be expressed in SQL; the operators' tests hold them against brute force or held-out rows.
 ORACLE_SQL: str | None = None
 
 
