@@ -98,17 +98,19 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return v.join(t, "node_id", "full_outer").select("node_id", "vec_rank", "fts_rank", score.alias("rrf"))
 
 
-def legs(nodes: DataFrame, chunks: DataFrame, query: DataFrame, terms: list[str], p: Params) -> tuple[DataFrame, DataFrame]:
+def legs(nodes: DataFrame, chunks: DataFrame, query: DataFrame, terms: list[str], p: Params, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two legs' best nodes; ``texts`` (node_id, chunk_index, text_rank), say of a full-text search, stand in for the plain terms."""
     own = chunks.join(wanted(nodes, p).select(F.col("id").alias("node_id")), "node_id", "left_semi")
     vector = top(best_per_node(vector_scores(own, query), F.col("dist")), F.col("dist"), p.candidates)
-    lexical = top(best_per_node(lexical_scores(own, terms), F.desc("text_rank")), F.desc("text_rank"), p.candidates)
+    found = lexical_scores(own, terms) if texts is None else texts.join(own.select("node_id").distinct(), "node_id", "left_semi")
+    lexical = top(best_per_node(found, F.desc("text_rank")), F.desc("text_rank"), p.candidates)
     return vector, lexical
 
 
-def hybrid(nodes: DataFrame, chunks: DataFrame, query: DataFrame, terms: list[str], p: Params) -> DataFrame:
+def hybrid(nodes: DataFrame, chunks: DataFrame, query: DataFrame, terms: list[str], p: Params, texts: DataFrame | None = None) -> DataFrame:
     """(node_id, type, title, score) of the best ``top_k`` nodes."""
     p = p.clamped()
-    vector, lexical = legs(nodes, chunks, query, terms, p)
+    vector, lexical = legs(nodes, chunks, query, terms, p, texts)
     fused = F.broadcast(fuse(vector, lexical, p.rrf_k))  # at most twice ``candidates`` rows
     today = F.to_date(F.lit(p.today))
     age = F.datediff(today, F.coalesce("occurred_start", "created_on"))
