@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -100,13 +100,13 @@ def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(live(nodes).select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
 
 
-def name_candidates(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling: bool = True) -> DataFrame:
     """(a, b) of one type, a before b, whose names may match: pairs that one of two keys brings together, and with
     ``links`` a neighbour at once, so that neither a frequent name nor a hub alone does.
 
     A form whose tokens are a subset of another's has its rarest token there, so every form is looked up by that one
     token among all.  A similar spelling shares one of a form's three rarest trigrams.  Frequent words and syllables
-    thus bring nobody together unless a name has no other.
+    thus bring nobody together unless a name has no other.  Without ``spelling`` only the first kind is looked for.
     """
     forms = surfaces(nodes)
 
@@ -121,6 +121,8 @@ def name_candidates(nodes: DataFrame, links: DataFrame | None = None) -> DataFra
         return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     words = forms.select("id", "type", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("key"))
+    if not spelling:
+        return met(words, 1)
     grams = forms.where(F.length("form") >= 4).select("id", "type", "form", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.substring("form", i, F.lit(3))))).alias("key"))
     return met(words, 1).union(met(grams, 3)).distinct()
 
@@ -154,17 +156,32 @@ def shared_neighbours(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return out.select("a", "b", "shared", (F.col("shared") / rest).alias("jaccard"))
 
 
-def named_pairs(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(a, b, kind, score): candidates that pass the name gate."""
+def contained(a_sets: str, b_sets: str) -> Column:
+    """The best share of two lists of token sets of which one holds the other and a token that tells names apart; null without."""
+
+    def share(p: Column, q: Column) -> Column:
+        inside = (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
+        telling = F.exists(F.array_intersect(p, q), lambda t: F.length(t) >= LEAST_TOKEN)
+        return F.when(inside & telling, F.least(F.size(p), F.size(q)) / F.greatest(F.size(p), F.size(q)))
+
+    return F.array_max(F.flatten(F.transform(a_sets, lambda p: F.transform(b_sets, lambda q: share(p, q)))))
+
+
+def named_pairs(nodes: DataFrame, links: DataFrame | None = None, spelling: bool = True) -> DataFrame:
+    """(a, b, kind, score): candidates that pass the name gate; by token sets alone without ``spelling``."""
+    if not spelling:
+        sets = surfaces(nodes).groupBy("id").agg(F.collect_list(F.array_distinct(F.split("form", " "))).alias("sets"))
+        met = name_candidates(nodes, links, False).join(sets.toDF("a", "xs"), "a").join(sets.toDF("b", "ys"), "b").withColumn("score", contained("xs", "ys"))
+        return met.where("score is not null").select("a", "b", F.when(F.col("score") == 1, "exact").otherwise("containment").alias("kind"), "score")
     forms = surfaces(nodes).groupBy("id").agg(F.collect_list("form").alias("forms"))
     rows = name_candidates(nodes, links).join(forms.toDF("a", "xs"), "a").join(forms.toDF("b", "ys"), "b").withColumn("m", name_match("xs", "ys"))
     return rows.select("a", "b", "m.kind", "m.score").where("kind is not null")
 
 
-def duplicate_pairs(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def duplicate_pairs(nodes: DataFrame, links: DataFrame, spelling: bool = True) -> DataFrame:
     """(a, b, kind, score, shared, jaccard, high): entities with matching names and a neighbour in common; ``high`` for
     strong names with two or more."""
-    named = named_pairs(nodes, links)
+    named = named_pairs(nodes, links, spelling)
     strong = F.col("kind").isin("exact", "containment") | (F.col("score") >= FUZZY_HIGH)
     return named.join(shared_neighbours(named, links), ["a", "b"]).withColumn("high", (F.col("shared") >= HIGH_SHARED) & strong)
 
