@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.columns import display_key, normalize_alias, significant_tokens
+from ..sources.stage import cut
 from .graph import live
 
 #: Least letters of a token that tells names apart, ratios of similar spellings, neighbours of a sure pair.
@@ -100,15 +101,16 @@ def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(live(nodes).select(F.col("id").alias("other")), "other", "left_semi").select("id", "other")
 
 
-def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling: bool = True) -> DataFrame:
+def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling: bool = True, forms: DataFrame | None = None) -> DataFrame:
     """(a, b) of one type, a before b, whose names may match: pairs that one of two keys brings together, and with
     ``links`` a neighbour at once, so that neither a frequent name nor a hub alone does.
 
     A form whose tokens are a subset of another's has its rarest token there, so every form is looked up by that one
     token among all.  A similar spelling shares one of a form's three rarest trigrams.  Frequent words and syllables
     thus bring nobody together unless a name has no other.  Without ``spelling`` only the first kind is looked for.
+    ``forms`` are the nodes' :func:`surfaces` where they are at hand.
     """
-    forms = surfaces(nodes)
+    forms = surfaces(nodes) if forms is None else forms
 
     def met(parts: DataFrame, keep: int) -> DataFrame:
         often = parts.groupBy("type", "key").agg(F.count("*").alias("often"))
@@ -167,21 +169,23 @@ def contained(a_sets: str, b_sets: str) -> Column:
     return F.array_max(F.flatten(F.transform(a_sets, lambda p: F.transform(b_sets, lambda q: share(p, q)))))
 
 
-def named_pairs(nodes: DataFrame, links: DataFrame | None = None, spelling: bool = True) -> DataFrame:
+def named_pairs(nodes: DataFrame, links: DataFrame | None = None, spelling: bool = True, forms: DataFrame | None = None) -> DataFrame:
     """(a, b, kind, score): candidates that pass the name gate; by token sets alone without ``spelling``."""
+    borne = surfaces(nodes) if forms is None else forms
     if not spelling:
-        sets = surfaces(nodes).groupBy("id").agg(F.collect_list(F.array_distinct(F.split("form", " "))).alias("sets"))
-        met = name_candidates(nodes, links, False).join(sets.toDF("a", "xs"), "a").join(sets.toDF("b", "ys"), "b").withColumn("score", contained("xs", "ys"))
+        sets = borne.groupBy("id").agg(F.collect_list(F.array_distinct(F.split("form", " "))).alias("sets"))
+        met = name_candidates(nodes, links, False, borne).join(sets.toDF("a", "xs"), "a").join(sets.toDF("b", "ys"), "b").withColumn("score", contained("xs", "ys"))
         return met.where("score is not null").select("a", "b", F.when(F.col("score") == 1, "exact").otherwise("containment").alias("kind"), "score")
-    forms = surfaces(nodes).groupBy("id").agg(F.collect_list("form").alias("forms"))
-    rows = name_candidates(nodes, links).join(forms.toDF("a", "xs"), "a").join(forms.toDF("b", "ys"), "b").withColumn("m", name_match("xs", "ys"))
+    forms = borne.groupBy("id").agg(F.collect_list("form").alias("forms"))
+    rows = name_candidates(nodes, links, forms=borne).join(forms.toDF("a", "xs"), "a").join(forms.toDF("b", "ys"), "b").withColumn("m", name_match("xs", "ys"))
     return rows.select("a", "b", "m.kind", "m.score").where("kind is not null")
 
 
 def duplicate_pairs(nodes: DataFrame, links: DataFrame, spelling: bool = True) -> DataFrame:
     """(a, b, kind, score, shared, jaccard, high): entities with matching names and a neighbour in common; ``high`` for
-    strong names with two or more."""
-    named = named_pairs(nodes, links, spelling)
+    strong names with two or more.  The names, the links and the matching pairs are each written once and read by the joins."""
+    forms, links = cut(surfaces(nodes)), cut(links)
+    named = cut(named_pairs(nodes, links, spelling, forms))
     strong = F.col("kind").isin("exact", "containment") | (F.col("score") >= FUZZY_HIGH)
     return named.join(shared_neighbours(named, links), ["a", "b"]).withColumn("high", (F.col("shared") >= HIGH_SHARED) & strong)
 
