@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, chaining, hostarray, packing, pieces, quality, shards, toxicity, transport, vectors
+from . import bagminhash, bytepairs, chaining, hostarray, packing, pieces, quality, repetitions, shards, toxicity, transport, vectors, wordtries
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,9 +63,43 @@ def op10_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bytepairs.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids", "offsets")
+    return bytepairs.decode(encoded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_word_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = wordtries.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def planted(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): one document in ten repeats a stretch of its words from some word on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    docs = documents.select("doc_id", "text", F.floor(h / 10).alias("_g"), words.alias("_words"))
+    docs = docs.withColumn("_n", F.size("_words")).withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    period = 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))
+    docs = docs.withColumn("_p", period.cast("int"))
+    again = F.expr("slice(flatten(array_repeat(slice(_words, _a + 1, _p), cast(ceil((_n - _a) / _p) as int))), 1, _n - _a)")
+    return docs.select("doc_id", F.when(F.col("_n") > 0, F.array_join(F.concat(F.expr("slice(_words, 1, _a)"), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetitions.collapse_runs(planted(_read(spark, sf_dir, "documents")))
+    best = "aggregate(runs, element_at(runs, 1), (b, r) -> if(r.length * b.period > b.length * r.period, r, b))"
+    best = f"if(size(runs) = 0, null, {best})"
+    lines = "concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')))"
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr(best).alias("best"), F.sha2(F.expr(lines), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    milli = F.expr("(1000 * best.length) div best.period")
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bagminhash, op2_host_suffix_array, op3_sentencepiece, op4_transport_streams, op5_training_order, op6_minimum_bin_slack, op7_toxicity, op8_quality, op9_cap_filters, op10_collinear_chains)
+    for f in (op1_bagminhash, op2_host_suffix_array, op3_sentencepiece, op4_transport_streams, op5_training_order, op6_minimum_bin_slack, op7_toxicity, op8_quality, op9_cap_filters, op10_collinear_chains, op11_byte_pairs, op12_word_tries, op13_periodic_runs)
 }
 #: SQL cannot express these operators; their tests hold them against brute force, round trips or held-out rows.
 ORACLE_SQL: dict[str, str] = {}
