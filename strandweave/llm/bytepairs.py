@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from .textkit import buffers, slices, strings, tidy
 from .wordtable import WordTable
 
-MOST_WORDS = 500_000
+MOST_WORDS = 400_000
 MOST_BYTES = 1 << 25
+SLICE_IDS = 1 << 18
 SHORT = 64
 _SIZE = 1 << 18
 _NONE = np.int64(1 << 40)
@@ -143,19 +144,39 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(front[:n] | BEGINS[kind, before])
 
 
-class Merger:
-    """Ids of pieces by the ranks of one vocabulary file; an id is its token's rank."""
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
-    def __init__(self, path: str):
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
+
+class Tokens:
+    """The bytes of every id, side by side."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
             tokens[rank] = token
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
+        """``total`` bytes with the bytes of each of ``ids`` at its place ``at``; the tokens must fill them without gap."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
+            raise ValueError("an id outside the vocabulary")
+        size = self.lengths[ids]
+        if (np.cumsum(size) - size != at).any() or int(size.sum()) != total:
+            raise ValueError("offsets that don't fit the ids")
+        place = np.arange(total) - np.repeat(at, size)
+        return self.bytes[np.repeat(self.starts[ids], size) + place]
+
+
+class Merger(Tokens):
+    """Ids of pieces by the ranks of one vocabulary file; an id is its token's rank."""
+
+    def __init__(self, path: str):
+        self.ranks = _ranks(path)
+        super().__init__(self.ranks)
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         if (self.single < 0).any():
             raise ValueError(f"{path} lacks single bytes")
@@ -251,8 +272,9 @@ class Merger:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts in turn, byte offset of each id in its text, number of ids of each text)."""
-        if self.held > MOST_BYTES:
-            self.table._clear()
+        table = self.table
+        if self.held > MOST_BYTES or table.words > MOST_WORDS:
+            table._clear()
             self.held = 0
         raw, offsets = buffers(texts)
         data = raw.tobytes()
@@ -262,21 +284,15 @@ class Merger:
         start = lead[piece_starts(points, first[:-1])]
         bounds = start.tolist() + [len(data)]
         pieces = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        each = np.searchsorted(start, offsets).tolist()
-        ids, counts = self.table.ids([pieces[a:b] for a, b in zip(each, each[1:], strict=False)])
-        size = self.lengths[ids]
-        at = np.cumsum(size) - size
-        return ids, at - np.repeat(offsets[:-1], counts), counts
-
-    def decode(self, ids: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
-        """``total`` bytes with the bytes of each of ``ids`` at its place ``at``; the tokens must fill them without gap."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
-            raise ValueError("an id outside the vocabulary")
-        size = self.lengths[ids]
-        if (np.cumsum(size) - size != at).any() or int(size.sum()) != total:
-            raise ValueError("offsets that don't fit the ids")
-        place = np.arange(total) - np.repeat(at, size)
-        return self.bytes[np.repeat(self.starts[ids], size) + place]
+        key = np.fromiter(map(table.number.__getitem__, pieces), np.int64, len(pieces))
+        table.ids([])  # learns the new ones
+        size = table.size[key]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = table.flat[np.repeat(table.start[key] - (ends - size), size) + np.arange(total)]
+        counts = np.diff(np.concatenate([[0], ends])[np.searchsorted(start, offsets)])
+        length = self.lengths[ids]
+        return ids, np.cumsum(length) - length - np.repeat(offsets[:-1], counts), counts
 
 
 @lru_cache(maxsize=2)
@@ -285,6 +301,12 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    """The tokens alone, for decoding."""
+    return Tokens(_ranks(path))
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values.astype(np.int32))
 
@@ -317,23 +339,29 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     rest = [f for f in encoded.schema.fields if f.name.lower() not in ("ids", "offsets", "decoded")]
     names = [*(f.name for f in rest), "decoded"]
 
-    def bytes_of(m: Merger, ids: pa.Array, offsets: pa.Array) -> pa.Array:
+    def bytes_of(t: Tokens, ids: pa.Array, offsets: pa.Array) -> pa.Array:
         missing = np.array([a or b for a, b in zip(ids.is_null().to_pylist(), offsets.is_null().to_pylist(), strict=True)], bool)
         flat, own = ids.flatten().to_numpy(zero_copy_only=False), offsets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         counts = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], np.int64)
         if len(flat) != len(own) or len(flat) != counts.sum():
             raise ValueError("ids and offsets of different lengths")
-        ends = np.cumsum(counts)
-        size = np.concatenate([[0], np.cumsum(m.lengths[flat])]) if len(flat) else np.zeros(1, np.int64)
-        edge = size[np.concatenate([[0], ends])]
-        data = m.decode(flat, own + np.repeat(edge[:-1], counts), int(edge[-1]))
+        size = np.concatenate([[0], np.cumsum(t.lengths[np.clip(flat, 0, len(t.lengths) - 1)])]) if len(flat) else np.zeros(1, np.int64)
+        edge = size[np.concatenate([[0], np.cumsum(counts)])]
+        data = t.decode(flat, own + np.repeat(edge[:-1], counts), int(edge[-1]))
         return pa.Array.from_buffers(pa.large_binary(), len(ids), [pa.py_buffer(np.packbits(~missing, bitorder="little")), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
     @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(path)
+        t = tokens(path)
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], bytes_of(m, batch.column(len(rest)), batch.column(len(rest) + 1))], names)
+            ids, offsets = batch.column(len(rest)), batch.column(len(rest) + 1)
+            before = np.concatenate([[0], np.cumsum([n or 0 for n in ids.value_lengths().to_pylist()])])
+            first, n = 0, batch.num_rows
+            while first < n:  # rows of about SLICE_IDS ids; a longer text stands alone
+                last = min(n, max(first + 1, int(np.searchsorted(before, before[first] + SLICE_IDS, "right")) - 1))
+                own = slice(first, last)
+                part = bytes_of(t, ids[own], offsets[own])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns[: len(rest)], part], names)
+                first = last
 
     return encoded.select(*[f"`{f.name}`" for f in rest], "ids", "offsets").mapInArrow(made, _schema(rest, "decoded binary"))
