@@ -11,7 +11,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.columns import display_key, normalize_alias, significant_tokens
 from ..sources.stage import cut
-from .graph import live
+from .graph import chased, live
+from .nearest import build, search
 
 #: Least letters of a token that tells names apart, ratios of similar spellings, neighbours of a sure pair.
 LEAST_TOKEN, FUZZY, FUZZY_HIGH, HIGH_SHARED = 4, 0.82, 0.92, 2
@@ -83,15 +84,10 @@ def merge_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def final_survivors(merges: DataFrame, most: int = 32) -> DataFrame:
-    """(loser, survivor) with chains of merges followed to their end, one step a round while any leads on; a ring has no
-    end and stops after ``most`` steps."""
-    at = merges.select("loser", "survivor")
-    step = merges.select(F.col("loser").alias("survivor"), F.col("survivor").alias("next"))
-    for _ in range(most):
-        if at.join(step, "survivor", "left_semi").isEmpty():
-            break
-        at = at.join(step, "survivor", "left").select("loser", F.coalesce("next", "survivor").alias("survivor"))
-    return at
+    """(loser, survivor) with chains of merges followed to their end by doubling; a ring has no end and stops after
+    ``most`` steps or more."""
+    top = chased(merges.select(F.col("loser").alias("node"), F.col("survivor").alias("up")), max(1, (most - 1).bit_length()))
+    return top.select(F.col("node").alias("loser"), F.col("top").alias("survivor"))
 
 
 def endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,8 +102,8 @@ def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling:
     ``links`` a neighbour at once, so that neither a frequent name nor a hub alone does.
 
     A form whose tokens are a subset of another's has its rarest token there, so every form is looked up by that one
-    token among all.  A similar spelling shares one of a form's three rarest trigrams.  Frequent words and syllables
-    thus bring nobody together unless a name has no other.  Without ``spelling`` only the first kind is looked for.
+    token among all.  Similar spellings have most letters in common (:func:`spelled_candidates`).  Without ``spelling``
+    only the first kind is looked for.
     ``forms`` are the nodes' :func:`surfaces` where they are at hand.
     """
     forms = surfaces(nodes) if forms is None else forms
@@ -125,8 +121,38 @@ def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling:
     words = forms.select("id", "type", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("key"))
     if not spelling:
         return met(words, 1)
-    grams = forms.where(F.length("form") >= 4).select("id", "type", "form", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("form") - 2), lambda i: F.substring("form", i, F.lit(3))))).alias("key"))
-    return met(words, 1).union(met(grams, 3)).distinct()
+    return met(words, 1).union(spelled_candidates(forms, links)).distinct()
+
+
+def letters(form: str) -> Column:
+    """A form's letters as a set: the first a, the second a, ..."""
+    every = F.split(form, "")
+    return F.flatten(F.transform(F.array_distinct(every), lambda c: F.transform(F.sequence(F.lit(1), F.size(F.filter(every, lambda x: x == c))), lambda k: F.concat(c, k.cast("string")))))
+
+
+def spelled_candidates(forms: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(a, b) of one type, a before b, with forms whose ratio can reach ``FUZZY``; no such pair is missed.
+
+    A ratio is at most twice the common letters over the summed lengths, so a pair needs ``FUZZY``/2 of both lengths in
+    common.  Of two sets with so many common letters, ordered by rarity, the first few of each (what is not needed, and
+    one more) share one; those bring pairs together, with ``links`` only beside a common neighbour, and the bound
+    itself is checked before any ratio is.
+    """
+    half = FUZZY / 2
+    rows = forms.where(F.length("form") >= LEAST_TOKEN).select("id", "type", "form", letters("form").alias("bag"))
+    each = rows.select("id", "type", "form", F.explode("bag").alias("key"))
+    often = each.groupBy("type", "key").agg(F.count("*").alias("often"))
+    need = F.ceil(F.lit(half) * (F.length("form") + F.ceil(F.length("form") * (half / (1 - half)) - 1e-9)) - 1e-9)
+    w = Window.partitionBy("id", "type", "form").orderBy("often", "key")
+    rare = each.join(often, ["type", "key"]).withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.length("form") - need + 1)
+    x = rare.select("id", "type", "form", "key")
+    on = ["type", "key"]
+    if links is not None:
+        x, on = x.join(links, "id"), [*on, "other"]
+    y = x.withColumnRenamed("id", "b").withColumnRenamed("form", "b_form")
+    pairs = x.withColumnRenamed("id", "a").withColumnRenamed("form", "a_form").join(y, on).where("a < b").select("a", "b", "type", "a_form", "b_form").distinct()
+    near = F.size(F.array_intersect(letters("a_form"), letters("b_form"))) >= F.lit(half) * (F.length("a_form") + F.length("b_form")) - 1e-9
+    return pairs.where(near).select("a", "b").distinct()
 
 
 @F.pandas_udf(StructType([StructField("kind", StringType()), StructField("score", DoubleType())]))
@@ -209,6 +235,24 @@ def canonical_pairs(found: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def content_candidates(points: DataFrame, nodes: DataFrame, edges: DataFrame, since: Column, k: int, floor: float) -> DataFrame:
+    """(a, b, cosine, overlap, shared): live content ``points`` (id, embedding) indexed since a day, beside their ``k``
+    nearest of at least ``floor``, where both have a canonical edge to a common live entity (``shared``, sorted) and,
+    if both are dated, their times meet (``overlap``)."""
+    own = live(nodes).select("id", "occurred_start", F.coalesce("occurred_end", "occurred_start").alias("occurred_end"), "indexed_on")
+    points = points.join(own.select("id"), "id", "left_semi")
+    recent = points.join(own.where(F.col("indexed_on") >= since), "id", "left_semi")
+    near = cut(search(build(points, k + 2), recent, k, floor).toDF("a", "b", "cosine"))
+    x, y = own.select("id", "occurred_start", "occurred_end").toDF("a", "xs", "xe"), own.select("id", "occurred_start", "occurred_end").toDF("b", "ys", "ye")
+    meet = (F.col("xs") <= F.col("ye")) & (F.col("ys") <= F.col("xe"))
+    met = near.join(x, "a").join(y, "b").withColumn("meet", meet).where("meet or meet is null")
+    canon = edges.where("origin = 'canonical'").select("src", "dst")
+    hubs = live(nodes).where(F.col("type").isin(ENTITY_TYPES)).select(F.col("id").alias("hub"))
+    shared = near.select("a", "b").join(canon.toDF("a", "hub"), "a").join(canon.toDF("b", "hub"), ["b", "hub"], "left_semi").join(hubs, "hub", "left_semi")
+    shared = shared.groupBy("a", "b").agg(F.sort_array(F.collect_set("hub")).alias("shared"))
+    return met.join(shared, ["a", "b"]).select("a", "b", "cosine", F.coalesce("meet", F.lit(False)).alias("overlap"), "shared")
+
+
 def browse(nodes: DataFrame, text: str) -> DataFrame:
     """(id, type, title, tier): entities that match, exact title first, then prefix, alias, contained."""
     q = F.lit(" ".join(text.lower().split()))

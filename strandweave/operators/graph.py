@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import cut
+
 
 def live(nodes: DataFrame) -> DataFrame:
     return nodes.where("merged_into is null")
@@ -64,54 +64,50 @@ def context(nodes: DataFrame, edges: DataFrame, ids: DataFrame, fanout: int = 10
     return both.select("root", "depth", F.array_join("path", ">").alias("path"), "leaf", "rel")
 
 
-def similar(points: DataFrame, k: int, floor: float, block: int = 2048) -> DataFrame:
-    """(id, other, score): each point's ``k`` nearest others by cosine of at least ``floor``, exactly.
+def chased(links: DataFrame, rounds: int = 6) -> DataFrame:
+    """(node, top, hops) of pointers (node, up): followed to their end by doubling, 2**``rounds`` steps at most.
 
-    Points (id, embedding) are dealt into blocks and every two blocks meet in one task as a matrix product, which
-    hands on no more than ``k`` rows a point; ties go to the smaller id.
+    Each round joins the pointers with themselves and is written, so that no round runs those before it again.
     """
-    parts = max(1, -(-points.count() // block))
-    seats = points.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    seats = seats.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
-    seats = seats.select("id", "embedding", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-
-    def best(ids: np.ndarray, others: np.ndarray, cos: np.ndarray) -> pd.DataFrame:
-        cos = np.round(cos, 6)
-        cos[ids[:, None] == others[None, :]] = -2
-        cos[cos < floor] = -2
-        by_name = np.argsort(others, kind="stable")
-        order = by_name[np.argsort(-cos[:, by_name], axis=1, kind="stable")[:, :k]]
-        rows, cols = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-        ok = cos[rows, cols] >= floor
-        return pd.DataFrame({"id": ids[rows[ok]], "other": others[cols[ok]], "score": cos[rows[ok], cols[ok]]})
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        ids, part = pdf["id"].to_numpy(object), pdf["part"].to_numpy()
-        low, high = part == pdf["a"].iat[0], part == pdf["b"].iat[0]
-        if low.all():
-            return best(ids, ids, x @ x.T)
-        cos = x[low] @ x[high].T
-        return pd.concat([best(ids[low], ids[high], cos.copy()), best(ids[high], ids[low], cos.T.copy())])
-
-    met = seats.groupBy("a", "b").applyInPandas(meet, "id string, other string, score double")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    return met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    at = links.select("node", F.col("up").alias("top"), F.lit(1).alias("hops"))
+    for _ in range(rounds):
+        at = cut(at)
+        on = at.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("hops").alias("more"))
+        if at.join(on, "top", "left_semi").isEmpty():
+            break
+        at = at.join(on, "top", "left").select("node", F.coalesce("next", "top").alias("top"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+    return at
 
 
 def run_tree(runs: DataFrame, most: int = 32) -> DataFrame:
-    """(run_id, root_id, depth) of every run, by joins upwards; a run whose parent is missing is a root."""
-    known = runs.select("run_id", F.col("parent_run_id").alias("parent"))
-    parents = known.select(F.col("run_id").alias("parent"), F.lit(True).alias("there"))
-    at = known.join(parents, "parent", "left").select("run_id", F.when(F.col("there"), F.col("parent")).alias("up"))
-    out = at.select("run_id", F.coalesce("up", "run_id").alias("root_id"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    up = at.select(F.col("run_id").alias("root_id"), F.col("up"))
-    for _ in range(most):
-        if out.join(up.where("up is not null"), "root_id", "left_semi").isEmpty():
+    """(run_id, root_id, depth) of every run; one whose parent is missing is a root.  ``most`` bounds the depth."""
+    known = runs.select("run_id", F.col("parent_run_id").alias("up"))
+    there = known.select(F.col("run_id").alias("up"))
+    held = known.join(there, "up", "left_semi").select(F.col("run_id").alias("node"), "up")
+    top = chased(held, max(1, (most - 1).bit_length() + 1)).select(F.col("node").alias("run_id"), "top", "hops")
+    return known.select("run_id").join(top, "run_id", "left").select("run_id", F.coalesce("top", "run_id").alias("root_id"), F.coalesce("hops", F.lit(0)).alias("depth"))
+
+
+def nested_runs(runs: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
+    """(root_id, run_id, depth, place): the runs under each of ``roots`` (column ``root_id``) at most ``most`` deep, in the
+    order of a printed tree: children after their parent, by start and id.
+
+    A run's place is its path of (started_at, run_id) from the root, built level by level downwards; a level costs one
+    join of the runs that have it with their children.
+    """
+    key = F.concat_ws("/", F.date_format("started_at", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("run_id").cast("string"), 20, "0"))
+    rows = cut(runs.select("run_id", F.col("parent_run_id").alias("up"), key.alias("key")))
+    level = rows.join(roots.select(F.col("root_id").alias("run_id")).distinct(), "run_id", "left_semi").select(F.col("run_id").alias("root_id"), "run_id", F.lit(0).alias("depth"), F.array("key").alias("place"))
+    found = [level]
+    for depth in range(1, most + 1):
+        level = cut(level.select("root_id", F.col("run_id").alias("up"), "place").join(rows, "up").select("root_id", "run_id", F.lit(depth).alias("depth"), F.concat("place", F.array("key")).alias("place")))
+        if level.isEmpty():
             break
-        out = out.join(up, "root_id").select("run_id", F.coalesce("up", "root_id").alias("root_id"), (F.col("depth") + F.when(F.col("up").isNull(), 0).otherwise(1)).alias("depth"))
-    return out
+        found.append(level)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select("root_id", "run_id", "depth", F.array_join("place", ">").alias("place"))
 
 
-__all__ = ["after", "around", "context", "live", "neighbors", "page", "run_tree", "similar", "zones"]
+__all__ = ["after", "around", "chased", "context", "live", "neighbors", "nested_runs", "page", "run_tree", "zones"]

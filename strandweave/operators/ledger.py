@@ -119,18 +119,6 @@ def date_verdicts(items: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("item_id", status.alias("status"), "node_id", F.when(status == "resolved", F.col("resolved")).alias("occurred"), error.alias("error"))
 
 
-def replayed(merges: DataFrame, forms: DataFrame) -> DataFrame:
-    """(merge_key, survivor, loser, applied) of stored merges (merge_key, survivor_form, survivor_type, loser_form, loser_type) on a
-    rebuilt graph's ``forms`` (id, type, form): both sides are found by name again; a merge with a side gone, or with
-    both on one node, is skipped."""
-    first = forms.groupBy("type", "form").agg(F.min("id").alias("id"))
-    s = first.select(F.col("type").alias("survivor_type"), F.col("form").alias("survivor_form"), F.col("id").alias("survivor"))
-    x = first.select(F.col("type").alias("loser_type"), F.col("form").alias("loser_form"), F.col("id").alias("loser"))
-    out = merges.join(s, ["survivor_type", "survivor_form"], "left").join(x, ["loser_type", "loser_form"], "left")
-    applied = F.coalesce(F.col("survivor") != F.col("loser"), F.lit(False))
-    return out.select("merge_key", "survivor", "loser", applied.alias("applied"))
-
-
 def refreshed(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, signature, tier) of the profiles (id, signature, tier) whose signature is not the stored one; the rest need no work."""
     return wanted.join(stored.select("id", "signature"), ["id", "signature"], "left_anti")
@@ -142,13 +130,3 @@ def undated(nodes: DataFrame, items: DataFrame, entity_types: list[str], handled
     asked = items.where(F.col("status").isin(handled)).select(F.col("node_id").alias("id"))
     free = nodes.where("merged_into is null and occurred_start is null and store_path not like 'inbox/%'").where(~F.col("type").isin(entity_types))
     return free.join(asked, "id", "left_anti").orderBy(F.desc_nulls_last("created_on"), "id").limit(most).select("id", "title", "type")
-
-
-def mentions_without_edge(texts: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, entity_id) of texts (node_id, content) that hold an entity's word (entity_id, word) and have no edge to it.
-
-    Only words that some entity bears leave the texts' side, so the join's input is bounded by the texts' own words."""
-    said = texts.select("node_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"))).alias("word")).where("word <> ''")
-    met = said.join(aliases.select("entity_id", "word").distinct(), "word").select("node_id", "entity_id").distinct()
-    drawn = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("entity_id"))
-    return met.join(drawn, ["node_id", "entity_id"], "left_anti")

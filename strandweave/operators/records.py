@@ -89,12 +89,3 @@ def status_filter(items: DataFrame, status: str | None) -> DataFrame:
     """Items of a status; none, blank or ``all`` is no filter."""
     wanted = (status or "").strip().lower()
     return items if wanted in ("", "all") else items.where(F.col("status") == wanted)
-
-
-def named_in(texts: DataFrame, words: DataFrame, least: int = 4) -> DataFrame:
-    """(node_id, entity_id) of texts (node_id, content) that hold an entity's word (entity_id, word) of ``least`` letters.
-
-    Only words that some entity has leave the texts' side for the join."""
-    long = words.where(F.length("word") >= least).distinct()
-    said = texts.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    return said.join(long, "word").select("node_id", "entity_id").distinct()

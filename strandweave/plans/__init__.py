@@ -1,5 +1,5 @@
 """Importing this package registers every query."""
 
-from . import captures, catalog, files, fulltext, health, ledger, matching, records, talk, times
+from . import captures, catalog, files, fulltext, health, ledger, matching, records, talk, times, upkeep
 
-__all__ = ["captures", "catalog", "files", "fulltext", "health", "ledger", "matching", "records", "talk", "times"]
+__all__ = ["captures", "catalog", "files", "fulltext", "health", "ledger", "matching", "records", "talk", "times", "upkeep"]

@@ -12,6 +12,7 @@ from ..functions import markdown as MD
 from ..operators import activity as A
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import nearest as NN
 from ..operators import search as S
 from ..sources.bind import Model, duck
 
@@ -192,7 +193,7 @@ def build_context(m):
 def derived_similar(m):
     ids = G.live(m.nodes).select(F.col("id").alias("node_id"))
     points = m.chunks.where("embedding is not null").join(ids, "node_id", "left_semi").select(F.col("node_id").alias("id"), "embedding")
-    return G.similar(points, 5, 0.25).select("id", "other", "score")
+    return NN.similar(points, 5, 0.25)
 
 
 @query("select n.id, coalesce(s.id, n.id) as shown, s.id is not null as redirected from nodes n left join nodes s on s.id = n.merged_into", "nodes")
@@ -360,7 +361,7 @@ _PAIRS = f"p as (select node_id as id, embedding from chunks where embedding is
 
 def _near_pairs(m: Model) -> DataFrame:
     points = m.chunks.where("embedding is not null").select(F.col("node_id").alias("id"), "embedding")
-    return E.canonical_pairs(G.similar(points, 10, 0.3))
+    return E.canonical_pairs(NN.similar(points, 10, 0.3))
 
 
 @query(f"+ {_PAIRS} select a, b, score from near", "chunks")

@@ -276,16 +276,6 @@ def keep_all(m):
     return kept.orderBy(F.desc("c_acctbal"), "c_name").limit(100).select("c_custkey", F.col("c_name").alias("key"))
 
 
-@query(f"{_SURF}, one as (select type, form, min(id) as id from surf group by 1, 2), md as (select s_suppkey as k, 'supplier#' || lpad(cast(s_suppkey as varchar), 9, '0') as sf, 'supp ' || cast(s_suppkey + s_suppkey % 3 as varchar) as lf from supplier) select cast(k as varchar) as merge_key, a.id as survivor, b.id as loser, coalesce(a.id <> b.id, false) as applied from md left join one a on a.type = 'project' and a.form = sf left join one b on b.type = 'project' and b.form = lf", "nodes")
-def merge_replay(m):
-    k = F.col("s_suppkey")
-    survivor = F.concat(F.lit("supplier#"), F.lpad(k.cast("string"), 9, "0"))
-    loser = F.concat(F.lit("supp "), (k + k % 3).cast("string"))
-    kind = F.lit("project")
-    stored = m.supplier.select(k.cast("string").alias("merge_key"), survivor.alias("survivor_form"), kind.alias("survivor_type"), loser.alias("loser_form"), kind.alias("loser_type"))
-    return L.replayed(stored, E.surfaces(m.nodes))
-
-
 @query("select id, case when cast(substring(id, 3) as int) % 2 = 0 then 'full' else 'stub' end as tier, case when cast(substring(id, 3) as int) % 2 = 0 then upper(title) else title end as profile from nodes where type = 'person'", "nodes")
 def profile_upsert(m):
     hubs = m.nodes.where("type = 'person'").select("id", F.lit("stub").alias("tier"), F.col("title").alias("profile"))
@@ -405,12 +395,6 @@ def derived_replace(m):
     return kept.where("origin = 'derived' or rel = 'part_of'").select("src", "dst")
 
 
-@query("+ w as (select item_id as entity, lower(regexp_extract(text, '[a-zA-Z]{4,}')) as word from benchmark), said as (select distinct 'd:' || lpad(cast(doc_id as varchar), 10, '0') as node_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as word from documents), e as (select node_id, 'd:' || lpad(cast(entity as varchar), 10, '0') as entity_id from said join w using (word) where word <> '') select distinct node_id, entity_id from e where (node_id, entity_id) not in (select (src, dst) from edges)", "edges")
-def backfill_candidates(m):
-    words = m.benchmark.select(_id("d", F.col("item_id")).alias("entity_id"), F.lower(F.regexp_extract("text", "[a-zA-Z]{4,}", 0)).alias("word"))
-    return L.mentions_without_edge(m.chunks, words, m.edges)
-
-
 _ACC = "a as (select id, title, aliases, 'Kundin ' || cast(cast(substring(id, 3) as int) as varchar) as surface from nodes where type = 'person' and merged_into is null)"
 
 

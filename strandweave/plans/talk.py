@@ -170,15 +170,6 @@ def like_escape(m):
     return m.nodes.where("type in ('person', 'place')").select("id", F.regexp_replace("title", r"([\\%_])", r"\\$1").alias("pattern"))
 
 
-@query("with w as (select item_id as entity_id, lower(regexp_extract(text, '[a-zA-Z]{4,}')) as word from benchmark) select distinct node_id, entity_id from (select 'd:' || lpad(cast(doc_id as varchar), 10, '0') as node_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as word from documents) join w using (word)")
-def backfill_scan(m):
-    """Notes that name an entity by a word of four letters or more, by an equi-join on words."""
-    from ..operators.records import named_in
-
-    words = m.benchmark.select(F.col("item_id").alias("entity_id"), F.lower(F.regexp_extract("text", "[a-zA-Z]{4,}", 0)).alias("word"))
-    return named_in(m.documents.select(F.concat(F.lit("d:"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("node_id"), F.col("text").alias("content")), words)
-
-
 @query("with w as (select unnest(range(0, 31)) as d) select cast(date '2024-01-01' + cast(d as int) as date) as day, event_type, count(*) as n, round(sum(value), 4) as total from events, w where cast(ts as date) = date '2024-01-01' + cast(d as int) group by 1, 2")
 def tumbling_windows(m):
     rows = m.events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

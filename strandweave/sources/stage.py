@@ -14,14 +14,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder that the cluster names in ``spark.checkpoint.dir``, and read back.
 
     Its size is then known to the planner, and a lost executor recomputes nothing above it.  Without such a folder a
-    driver that is its own executor takes a fresh one, and on a cluster ``df`` stays as it is.  The table goes when
-    the session's JVM ends.
+    driver that is its own executor takes a fresh one; a cluster must name one.  The table goes when the session's JVM
+    ends.
     """
     spark = df.sparkSession
     folder = spark.conf.get(KEY, None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
-            return df
+            raise RuntimeError(f"set {KEY} to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-strandweave-", dir="/tmp")
         spark.conf.set(KEY, folder)
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"

@@ -47,19 +47,6 @@ def test_keyset_pages_walk_all_rows(spark):
     assert seen == sorted(tuple(r) for r in rows.collect())
 
 
-def test_similar_matches_brute_force(spark):
-    import numpy as np
-
-    x = np.random.default_rng(3).standard_normal((60, 6))
-    df = spark.createDataFrame([(f"p{k:02d}", v.tolist()) for k, v in enumerate(x)], "id string, embedding array<double>")
-    found = {(r.id, r.other) for r in G.similar(df, 3, 0.2, block=16).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    cos = np.round(u @ u.T, 6)
-    np.fill_diagonal(cos, -2)
-    expected = {(f"p{i:02d}", f"p{j:02d}") for i in range(60) for j in np.argsort(-cos[i], kind="stable")[:3] if cos[i, j] >= 0.2}
-    assert found == expected
-
-
 def test_run_tree_keeps_orphans_as_roots(spark):
     runs = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99)], "run_id bigint, parent_run_id bigint")
     assert {tuple(r) for r in G.run_tree(runs).collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2), (4, 4, 0)}
