@@ -130,3 +130,35 @@ def undated(nodes: DataFrame, items: DataFrame, entity_types: list[str], handled
     asked = items.where(F.col("status").isin(handled)).select(F.col("node_id").alias("id"))
     free = nodes.where("merged_into is null and occurred_start is null and store_path not like 'inbox/%'").where(~F.col("type").isin(entity_types))
     return free.join(asked, "id", "left_anti").orderBy(F.desc_nulls_last("created_on"), "id").limit(most).select("id", "title", "type")
+
+
+def pair_verdicts(items: DataFrame, nodes: DataFrame, linkable: bool) -> DataFrame:
+    """(item_id, status, survivor, loser, link_from, link_to, error) of verdicts on pairs (item_id, node_a, node_b, action,
+    survivor, default_survivor): merge into the one that is asked for, else the proposed one; keep both; and, if the pair
+    is ``linkable`` content, keep both with an edge.  Nodes have (id, merged_into); a pair that is not there, or merged
+    already, is refused and stays open."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    a, b, action = text("node_a"), text("node_b"), F.lower(text("action"))
+    keep = F.when(text("survivor") != "", text("survivor")).otherwise(text("default_survivor"))
+    out = items.select("item_id", a.alias("a"), b.alias("b"), action.alias("act"), keep.alias("keep"))
+    own = nodes.select("id", F.col("merged_into").isNotNull().alias("gone"))
+    out = out.join(own.toDF("a", "a_gone"), "a", "left").join(own.toDF("b", "b_gone"), "b", "left")
+    a, b, act, keep = (F.col(c) for c in ("a", "b", "act", "keep"))
+    error = F.when((a == "") | (b == ""), "no pair").when(act == "keep", None)
+    if linkable:
+        error = error.when((act == "link") & F.col("a_gone").isNull(), "unknown node").when(act == "link", None)
+    error = error.when(act != "merge", "unknown action").when((keep != a) & (keep != b), "survivor is not of the pair")
+    error = error.when(F.col("a_gone").isNull() | F.col("b_gone").isNull(), "unknown node").when(F.col("a_gone") | F.col("b_gone"), "merged already")
+    fine = error.isNull()
+    status = F.when(~fine, "pending").when(act == "keep", "discarded").otherwise("resolved")
+    merge, link = fine & (act == "merge"), fine & (act == "link")
+    return out.select("item_id", status.alias("status"), F.when(merge, keep).alias("survivor"), F.when(merge, F.when(keep == a, b).otherwise(a)).alias("loser"), F.when(link, a).alias("link_from"), F.when(link, b).alias("link_to"), error.alias("error"))
+
+
+def decisions(verdicts: DataFrame, forms: DataFrame) -> DataFrame:
+    """(loser_key, survivor_type, survivor_forms, loser_type, loser_forms) of merged pairs, to be replayed after a rebuild;
+    ``forms`` has (id, type, forms), the title's form first."""
+    x, y = forms.toDF("survivor", "survivor_type", "survivor_forms"), forms.toDF("loser", "loser_type", "loser_forms")
+    met = verdicts.where("survivor is not null").join(x, "survivor").join(y, "loser")
+    key = F.concat("loser_type", F.lit("\x00"), F.array_join(F.sort_array("loser_forms"), "\x01"))
+    return met.select("item_id", key.alias("loser_key"), "survivor_type", "survivor_forms", "loser_type", "loser_forms")
