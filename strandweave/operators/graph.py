@@ -42,26 +42,43 @@ def page(found: DataFrame, size: int, cursor: tuple[str, ...] | None = None) ->
 
 
 def zones(found: DataFrame, cap: int = 8) -> DataFrame:
-    """The first ``cap`` neighbours of each relation, with the relation's total."""
-    w = Window.partitionBy("center", "rel")
-    out = found.withColumn("n", F.row_number().over(w.orderBy("origin", "dir", "node_id"))).withColumn("total", F.count("*").over(w))
-    return out.where(F.col("n") <= cap)
-
-
-def context(nodes: DataFrame, edges: DataFrame, ids: DataFrame, fanout: int = 10) -> DataFrame:
-    """(center, depth, path, node_id, rel): a tree of depth two with at most ``fanout`` children a node, without cycles."""
-    w = Window.partitionBy("path").orderBy("origin", "rel", "dir", "node_id")
-
-    def children(parents: DataFrame, depth: int) -> DataFrame:
-        at = parents.select(F.col("leaf").alias("center"), "path", F.col("root"))
-        step = around(edges, at.select("center").distinct()).join(live(nodes).select(F.col("id").alias("node_id")), "node_id")
-        step = step.join(at, "center").where(~F.array_contains("path", F.col("node_id"))).select("root", "path", "rel", "origin", "dir", "node_id").distinct()
-        step = step.withColumn("n", F.row_number().over(w)).where(F.col("n") <= fanout)
-        return step.select("root", F.lit(depth).alias("depth"), F.concat("path", F.array("node_id")).alias("path"), F.col("node_id").alias("leaf"), "rel")
-
-    first = children(ids.select(F.col("center").alias("leaf"), F.array("center").alias("path"), F.col("center").alias("root")), 1)
-    both = first.union(children(first, 2))
-    return both.select("root", "depth", F.array_join("path", ">").alias("path"), "leaf", "rel")
+    """The first ``cap`` neighbours of each relation, with the relation's total; counts and lists are partial in each
+    task before a relation's rows meet."""
+    keys = ["center", "rel"]
+    total = found.groupBy(*keys).agg(F.count("*").alias("total"))
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("origin", "dir", "node_id"))).where(F.col("n") <= cap)
+    return first.join(total, keys)
+
+
+def context(ends: DataFrame, ids: DataFrame, fanout: int = 10, depth: int = 2) -> DataFrame:
+    """(root, depth, path, leaf, rel, truncated): the tree of neighbours under each of ``ids`` (column ``center``), at most
+    ``fanout`` children a node in keyset order.
+
+    A node that is on the path already is listed, but not expanded again.  ``truncated`` tells of a node that was expanded
+    that it has more neighbours; the root has a row of its own, at depth 0.  Lists are cut before trees are built, once
+    for all paths that lead to a node.
+    """
+    w = Window.partitionBy("center").orderBy("origin", "rel", "dir", "node_id")
+
+    def listed(centers: DataFrame) -> tuple[DataFrame, DataFrame]:
+        held = ends.join(centers.distinct(), "center", "left_semi").select("center", "origin", "rel", "dir", "node_id").distinct()
+        held = cut(held.withColumn("n", F.row_number().over(w)).where(F.col("n") <= fanout + 1))
+        return held.where(F.col("n") <= fanout), held.where(F.col("n") > fanout).select("center", F.lit(True).alias("more"))
+
+    level = ids.select(F.col("center").alias("root"), F.lit(0).alias("depth"), F.array("center").alias("path"), F.col("center").alias("leaf"), F.lit(None).cast("string").alias("rel"), F.lit(True).alias("open"))
+    out = []
+    for k in range(depth):
+        children, more = listed(level.where("open").select(F.col("leaf").alias("center")))
+        flagged = level.join(more.withColumnRenamed("center", "leaf"), "leaf", "left")
+        out.append(flagged.select("root", "depth", "path", "leaf", "rel", (F.col("open") & F.coalesce("more", F.lit(False))).alias("truncated")))
+        below = level.where("open").select("root", "path", F.col("leaf").alias("center")).join(children, "center")
+        below = below.select("root", F.lit(k + 1).alias("depth"), F.concat("path", F.array("node_id")).alias("path"), F.col("node_id").alias("leaf"), "rel", (~F.array_contains("path", F.col("node_id"))).alias("open"))
+        level = cut(below) if k + 1 < depth else below
+    out.append(level.select("root", "depth", "path", "leaf", "rel", F.lit(False).alias("truncated")))
+    both = out[0]
+    for more in out[1:]:
+        both = both.union(more)
+    return both.select("root", "depth", F.array_join("path", ">").alias("path"), "leaf", "rel", "truncated")
 
 
 def chased(links: DataFrame, rounds: int = 6) -> DataFrame:

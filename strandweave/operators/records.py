@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from .entities import ENTITY_TYPES
-from .graph import around, live
+from .graph import live
 
 
 def details(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -17,10 +17,9 @@ def details(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     return hubs.join(degrees.select("id", "degree"), "id", "left").select("id", "title", degree.alias("degree"), C.profile_tier(degree).alias("tier"))
 
 
-def observations(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+def observations(ends: DataFrame, ids: DataFrame) -> DataFrame:
     """(center, rel, title, node_id, since, until), one per canonical edge; ``since`` falls back to the other end's date."""
-    other = live(nodes).select(F.col("id").alias("node_id"), "title", "occurred_start")
-    found = around(edges.where("origin = 'canonical'"), ids).join(other, "node_id")
+    found = ends.where("origin = 'canonical'").join(ids, "center", "left_semi")
     return found.select("center", "rel", "title", "node_id", F.coalesce("since", "occurred_start").alias("since"), "until")
 
 

@@ -139,8 +139,8 @@ near as (select around.*, type, title from around join nodes on id = node_id and
 
 
 def _near(m: Model) -> DataFrame:
-    ids = m.nodes.where("type = 'person'").select(F.col("id").alias("center")).distinct()
-    return G.neighbors(m.nodes, m.edges, ids)
+    ids = m.nodes.where("type = 'person'").select(F.col("id").alias("center"))
+    return m.ends.join(ids, "center", "left_semi")
 
 
 @query(f"{_AROUND} select center, rel, origin, dir, node_id, type from near", "nodes", "edges")
@@ -171,16 +171,20 @@ def center_header(m):
 
 @query(
     """+ a1 as (select src as center, rel, origin, 'out' as dir, dst as node_id from edges union all select dst, rel, origin, 'in', src from edges),
-  a as (select a1.* from a1 join nodes on id = node_id and merged_into is null),
-  l1 as (select center as root, center || '>' || node_id as path, node_id as leaf, rel from (select *, row_number() over (partition by center order by origin, rel, dir, node_id) as n from (select distinct * from a where center in (select id from nodes where type = 'project') and node_id <> center)) where n <= 10),
-  l2 as (select root, path || '>' || node_id as path, node_id as leaf, rel from (select l1.root, l1.path, a.rel, a.node_id, row_number() over (partition by l1.path order by origin, a.rel, dir, node_id) as n from l1 join (select distinct * from a) a on a.center = l1.leaf where a.node_id <> l1.root and a.node_id <> l1.leaf) where n <= 10)
-  select root, 1 as depth, path, leaf, rel from l1 union all select root, 2, path, leaf, rel from l2""",
+  a as (select distinct a1.* from a1 join nodes on id = node_id and merged_into is null),
+  top as (select *, row_number() over (partition by center order by origin, rel, dir, node_id) as n from a),
+  more as (select distinct center from top where n > 10),
+  roots as (select id as root from nodes where type = 'project'),
+  l1 as (select root, root || '>' || node_id as path, node_id as leaf, rel from roots join top on center = root where n <= 10),
+  l2 as (select root, path || '>' || node_id as path, node_id as leaf, top.rel from l1 join top on center = leaf where n <= 10 and leaf <> root)
+  select root, 0 as depth, root as path, root as leaf, null as rel, root in (select center from more) as truncated from roots
+  union all select root, 1, path, leaf, rel, leaf <> root and leaf in (select center from more) from l1 union all select root, 2, path, leaf, rel, false from l2""",
     "nodes",
     "edges",
 )
 def build_context(m):
     ids = m.nodes.where("type = 'project'").select(F.col("id").alias("center"))
-    return G.context(m.nodes, m.edges, ids)
+    return G.context(m.ends, ids)
 
 
 @query(
@@ -326,7 +330,7 @@ _LINKS = "links as (select distinct id, other from (select src as id, dst as oth
 
 @query(f"+ {_LINKS} select id, other from links", "nodes", "edges")
 def neighborhood(m):
-    return E.endpoints(m.nodes, m.edges)
+    return m.links
 
 
 @query(f"select id, type, title from nodes where merged_into is null and type in {_TYPES}", "nodes")
@@ -351,7 +355,7 @@ def entity_browse(m):
 @query(f"+ {_LINKS} select n.id, n.type, count(other) as neighbors from nodes n left join links on links.id = n.id where merged_into is null and type in {_TYPES} group by 1, 2", "nodes", "edges")
 def entity_dedup_hubs(m):
     hubs = G.live(m.nodes).where(F.col("type").isin(E.ENTITY_TYPES)).select("id", "type")
-    return hubs.join(E.endpoints(m.nodes, m.edges), "id", "left").groupBy("id", "type").agg(F.count("other").alias("neighbors"))
+    return hubs.join(m.links, "id", "left").groupBy("id", "type").agg(F.count("other").alias("neighbors"))
 
 
 # content duplicates
@@ -376,7 +380,7 @@ def dedup_canonicalize(m):
     "edges",
 )
 def dedup_survivor(m):
-    return E.survivors(_near_pairs(m).select("a", "b"), m.nodes, E.degrees(E.endpoints(m.nodes, m.edges)))
+    return E.survivors(_near_pairs(m).select("a", "b"), m.nodes, E.degrees(m.links))
 
 
 @query(

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import records as R
+from ..streaming import marks as MK
 from .catalog import _AROUND, _LINKS, _SURF, _TYPES, ORACLE_SQL, QUERIES, TODAY, _near, query
 
 _LIVE = "nodes where merged_into is null"
@@ -15,7 +16,7 @@ _LIVE = "nodes where merged_into is null"
 
 @query(f"+ {_LINKS}, deg as (select id, count(*) as degree from links group by 1) select n.id, title, coalesce(degree, 0) as degree, case when degree >= 8 then 'full' when degree >= 3 then 'snapshot' else 'stub' end as tier from nodes n left join deg on deg.id = n.id where merged_into is null and type in {_TYPES}", "nodes", "edges")
 def node_detail(m):
-    return R.details(m.nodes, E.degrees(E.endpoints(m.nodes, m.edges)))
+    return R.details(m.nodes, E.degrees(m.links))
 
 
 _OBS = f"""hubs as (select id as center from {_LIVE} and type in ('place', 'project')),
@@ -27,7 +28,7 @@ texts as (select center, count(*) as n, string_agg(line, chr(10) order by rel, s
 
 def _observations(m):
     hubs = G.live(m.nodes).where(F.col("type").isin("place", "project")).select(F.col("id").alias("center"))
-    return R.observations(m.nodes, m.edges, hubs)
+    return R.observations(m.ends, hubs)
 
 
 @query(f"+ {_OBS} select center, rel, title, node_id, since, until from obs", "nodes", "edges")
@@ -44,7 +45,7 @@ def profile_stub(m):
 
 @query(f"+ {_LINKS} select n.id, title, count(*) as degree from nodes n join links on links.id = n.id where merged_into is null and type in {_TYPES} group by 1, 2 order by degree desc, n.id limit 20", "nodes", "edges")
 def capsule_hubs(m):
-    hubs = R.details(m.nodes, E.degrees(E.endpoints(m.nodes, m.edges))).where("degree > 0")
+    hubs = R.details(m.nodes, E.degrees(m.links)).where("degree > 0")
     return hubs.select("id", "title", "degree").orderBy(F.desc("degree"), "id").limit(20)
 
 
@@ -104,9 +105,12 @@ def review_list(m):
 
 
 
-@query("select agent, max(started_at) as watermark from agent_runs where status = 'succeeded' group by 1", "agent_runs")
+@query("+ a as (select distinct agent from agent_runs union select 'backfill') select a.agent, coalesce(max(started_at) filter (where status = 'succeeded'), timestamp '2024-12-31' - interval 30 day) as watermark from a left join agent_runs r on r.agent = a.agent group by 1", "agent_runs")
 def dedup_watermark(m):
-    return m.agent_runs.where("status = 'succeeded'").groupBy("agent").agg(F.max("started_at").alias("watermark"))
+    """Where each agent goes on; one that never succeeded starts a window back."""
+    agents = m.agent_runs.select("agent").union(m.spark.range(1).select(F.lit("backfill")))
+    now = F.lit("2024-12-31 00:00:00").cast(m.agent_runs.schema["started_at"].dataType)
+    return MK.high_water(m.agent_runs, agents, now, 30).withColumnRenamed("since", "watermark")
 
 
 

@@ -10,6 +10,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import clustered
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SPARK = {"LIST(": "array(", "EMPTY": "cast(array() as array<string>)"}
 DUCK = {"LIST(": "list_value(", "EMPTY": "cast([] as varchar[])"}
@@ -134,7 +136,7 @@ def _words(sql: str, words: dict[str, str]) -> str:
 
 
 class Model:
-    """The tables and views as DataFrames, by attribute."""
+    """The tables and views as DataFrames, by attribute; ``ends`` and ``links`` are stored edges."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -147,6 +149,8 @@ class Model:
                 sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
                 sql = sql[: -len(t)] + f"{{{t}}}" if sql.endswith(f"from {t}") else sql
             frame = self.spark.sql(sql, **used)
+        elif name in ("ends", "links"):
+            frame = getattr(clustered, name)(self)
         elif name in TABLES:
             frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         else:
