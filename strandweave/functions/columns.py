@@ -82,14 +82,15 @@ def profile_tier(degree: Column) -> Column:
 def humanize_days(days: Column) -> Column:
     """How far a day lies from today, in words; halves round up."""
     n = F.abs(days)
-    count = F.when(n <= 27, n).when(n < 330, F.floor(n / 30 + 0.5)).when(n < 400, F.lit(1)).otherwise(F.floor(n / 365 + 0.5)).cast("int")
-    name = F.when(n <= 27, "day").when(n < 330, "month").otherwise("year")
-    words = F.concat(count.cast("string"), F.lit(" "), name, F.when(count == 1, "").otherwise("s"))
-    return F.when(days == 0, "today").when(days == -1, "yesterday").when(days == 1, "tomorrow").when(days < 0, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))
+    count = F.when(n <= 27, n).when(n < 330, F.greatest(F.floor(n / 30 + 0.5), F.lit(1))).when(n < 400, F.lit(1)).otherwise(F.floor(n / 365 + 0.5))
+    unit = F.when(n <= 27, "day").when(n < 330, "month").otherwise("year")
+    return F.when(days == 0, "today").when(days == -1, "yesterday").when(days == 1, "tomorrow").otherwise(ago(count, unit, days < 0))
 
 
-def ago(count: Column, unit: str, past: Column) -> Column:
-    words = F.concat(count.cast("int").cast("string"), F.lit(f" {unit}"), F.when(count == 1, "").otherwise("s"))
+def ago(count: Column, unit: Column | str, past: Column) -> Column:
+    """"a month ago", "in 3 years"."""
+    unit = F.lit(unit) if isinstance(unit, str) else unit
+    words = F.when(count == 1, F.concat(F.lit("a "), unit)).otherwise(F.concat(count.cast("int").cast("string"), F.lit(" "), unit, F.lit("s")))
     return F.when(past, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))
 
 

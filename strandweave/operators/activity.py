@@ -27,22 +27,23 @@ def dangling_tombstones(nodes: DataFrame) -> DataFrame:
 FINDINGS = ["orphans", "inbox", "review-aging", "missing-occurred", "alias-less", "tombstones", "stale-hubs"]
 
 
-def health(nodes: DataFrame, edges: DataFrame, review: DataFrame, today: str, aging_days: int = 14) -> DataFrame:
+def health(nodes: DataFrame, edges: DataFrame, ends: DataFrame, review: DataFrame, today: str, aging_days: int = 14, stale_days: int = 365) -> DataFrame:
     """(finding, n, flagged): one row a finding, also where nothing was found.
 
-    Nodes are read once: their degree and open inbound edges join them, and every rule is a condition on the row.
+    A hub is stale if the newest date of its canonical edges to live nodes (the edge's, else the other end's) lies more than
+    ``stale_days`` back; one without any date is not.  Nodes are read once: what touches them and their newest date join
+    them, and every rule is a condition on the row.
     """
-    canon = edges.where("origin = 'canonical'").select("src", "dst", F.col("until").isNull().alias("current"))
-    ends = canon.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(False).alias("inbound"), "current"), F.struct(F.col("dst").alias("id"), F.lit(True).alias("inbound"), "current"))).alias("e")).select("e.*")
-    touch = ends.groupBy("id").agg(F.count_if("inbound").alias("inbound"), F.count_if(F.col("inbound") & F.col("current")).alias("current"))
-    rows = nodes.join(touch, "id", "left")
+    touch = edges.where("origin = 'canonical'").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.lit(True).alias("touched"))
+    newest = ends.where("origin = 'canonical'").groupBy(F.col("center").alias("id")).agg(F.max(F.coalesce("since", "occurred_start")).alias("newest"))
+    rows = nodes.join(touch, "id", "left").join(newest, "id", "left")
     alive, inbox, hub = F.col("merged_into").isNull(), F.col("store_path").startswith("inbox/"), F.col("type").isin(ENTITY_TYPES)
     rules = {
-        "orphans": alive & ~inbox & F.col("inbound").isNull(),
+        "orphans": alive & ~inbox & F.col("touched").isNull(),
         "inbox": alive & inbox,
         "missing-occurred": alive & (F.col("type") == "memory") & F.col("occurred_start").isNull(),
         "alias-less": alive & hub & (F.size("aliases") == 0),
-        "stale-hubs": alive & hub & (F.col("inbound") > 0) & (F.col("current") == 0),
+        "stale-hubs": alive & hub & (F.col("newest") < F.date_sub(F.to_date(F.lit(today)), stale_days)),
     }
     counts = rows.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
     old = F.datediff(F.to_date(F.lit(today)), F.col("created_on")) > aging_days

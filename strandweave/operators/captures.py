@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What stands for a medium that could not be read.
-PLACEHOLDERS = {"photo": "(photo unavailable)", "voice": "(voice note unavailable)"}
+PLACEHOLDERS = {"photo": "<photo — description unavailable>", "voice": "<voice note — transcript unavailable>", "video": "<video — summary unavailable>"}
+OTHER_MEDIA = "<media — unavailable>"
 MOST_ATTEMPTS = 3
 
 
 def placeholder(kind: Column) -> Column:
-    out = F.lit("(media unavailable)")
+    out = F.lit(OTHER_MEDIA)
     for k, text in PLACEHOLDERS.items():
         out = F.when(kind == k, text).otherwise(out)
     return out

@@ -108,10 +108,11 @@ def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling:
     """
     forms = surfaces(nodes) if forms is None else forms
 
-    def met(parts: DataFrame, keep: int) -> DataFrame:
-        often = parts.groupBy("type", "key").agg(F.count("*").alias("often"))
-        rare = first_by(parts.join(often, ["type", "key"]), ["id", "type", "form"], ["often", "key"], keep)
-        x, y = rare.select("id", "type", "key").distinct(), parts.select("id", "type", "key").distinct()
+    def met(parts: DataFrame) -> DataFrame:
+        often = parts.groupBy("type", "key").agg(F.count("*").alias("often"), (F.min("id") != F.max("id")).alias("several"))
+        rare = first_by(parts.join(often, ["type", "key"]), ["id", "type", "form"], ["often", "key"])
+        x = rare.where("several").select("id", "type", "key").distinct()  # a token of one entity alone brings no one together
+        y = parts.select("id", "type", "key").distinct().join(x.select("type", "key").distinct(), ["type", "key"], "left_semi")
         on = ["type", "key"]
         if links is not None:
             x, y, on = x.join(links, "id"), y.join(links, "id"), [*on, "other"]
@@ -120,8 +121,8 @@ def name_candidates(nodes: DataFrame, links: DataFrame | None = None, spelling:
 
     words = forms.select("id", "type", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("key"))
     if not spelling:
-        return met(words, 1)
-    return met(words, 1).union(spelled_candidates(forms, links)).distinct()
+        return met(words)
+    return met(words).union(spelled_candidates(forms, links)).distinct()
 
 
 def letters(form: str) -> Column:

@@ -88,3 +88,13 @@ def status_filter(items: DataFrame, status: str | None) -> DataFrame:
     """Items of a status; none, blank or ``all`` is no filter."""
     wanted = (status or "").strip().lower()
     return items if wanted in ("", "all") else items.where(F.col("status") == wanted)
+
+
+def vocabulary(seeds: dict[str, list[str]], proposals: DataFrame) -> DataFrame:
+    """(axis, value, origin, item_id): configured words, approved ones that are no seeds, and pending proposals, each with
+    its item; ``proposals`` has (item_id, axis, value, status)."""
+    known = proposals.sparkSession.createDataFrame([(a, v) for a, values in seeds.items() for v in values], "axis string, value string")
+    none = F.lit(None).cast(proposals.schema["item_id"].dataType).alias("item_id")
+    added = proposals.where("status = 'resolved'").select("axis", "value").distinct().join(F.broadcast(known), ["axis", "value"], "left_anti")
+    waiting = proposals.where("status = 'pending'").select("axis", "value", F.lit("proposed").alias("origin"), "item_id")
+    return known.select("axis", "value", F.lit("seed").alias("origin"), none).union(added.select("axis", "value", F.lit("added"), none)).union(waiting)

@@ -76,14 +76,14 @@ def lexical_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """(node_id, chunk_index, text_rank) of chunks that hold every term: summed counts, damped by length."""
     if not terms:
         return chunks.select("node_id", "chunk_index", F.lit(0.0).alias("text_rank")).where(F.lit(False))
-    tokens = F.regexp_extract_all(F.lower("content"), F.lit("([a-z]+)"), 1)
-    counted = chunks.select("node_id", "chunk_index", tokens.alias("tokens"), F.length("content").alias("n"))
+    low = chunks.select("node_id", "chunk_index", F.lower("content").alias("low"), F.length("content").alias("n"))
+    for w in terms:  # a plain search leaves most texts out before any is matched word by word
+        low = low.where(F.contains("low", F.lit(w)))
 
     def count(word: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == F.lit(word)))
+        return F.regexp_count("low", F.lit(f"(?<![a-z]){word}(?![a-z])")) if word.isascii() and word.isalpha() else F.lit(0)
 
-    counts = [count(w) for w in terms]
-    out = counted.select("node_id", "chunk_index", "n", *[c.alias(f"c{k}") for k, c in enumerate(counts)])
+    out = low.select("node_id", "chunk_index", "n", *[count(w).alias(f"c{k}") for k, w in enumerate(terms)])
     for k in range(len(terms)):
         out = out.where(F.col(f"c{k}") > 0)
     total = sum(F.col(f"c{k}") for k in range(len(terms)))

@@ -11,7 +11,7 @@ from ..operators import graph as G
 from .catalog import _TYPES, query
 
 _ORD = "order by part_ordinal nulls last, created_at, media_id"
-_BODY = "case when status = 'derived' and trim(coalesce(derived_text, '')) <> '' then trim(derived_text) when kind = 'photo' then '(photo unavailable)' when kind = 'voice' then '(voice note unavailable)' else '(media unavailable)' end"
+_BODY = "case when status = 'derived' and trim(coalesce(derived_text, '')) <> '' then trim(derived_text) when kind = 'photo' then '<photo — description unavailable>' when kind = 'voice' then '<voice note — transcript unavailable>' else '<media — unavailable>' end"
 
 
 @query(

@@ -536,33 +536,22 @@ def resolve_weekday(m):
     return m.orders.select("o_orderkey", *[A.weekday_of(d, 2, w).alias(f"{w}_wed") for w in ("this", "next", "last")])
 
 
-@query("select o_orderkey, make_date(year(o_orderdate) - case when month(o_orderdate) >= 7 then 0 else 1 end, 7, 1) as last_july, make_date(year(o_orderdate) + case when month(o_orderdate) >= 7 then 1 else 0 end, 7, 1) as next_july from orders")
-def resolve_month(m):
-    d = F.to_date("o_orderdate")
-    return m.orders.select("o_orderkey", A.month_of(d, 7, "last").alias("last_july"), A.month_of(d, 7, "next").alias("next_july"))
-
-
-@query("select o_orderkey, make_date(year(o_orderdate), 12, 1) as winter_from, last_day(make_date(year(o_orderdate) + 1, 2, 1)) as winter_to, make_date(year(o_orderdate), 3, 1) as spring_from, last_day(make_date(year(o_orderdate), 5, 1)) as spring_to from orders")
-def resolve_season(m):
-    d = F.to_date("o_orderdate")
-    w, s = A.season_of(d, "winter"), A.season_of(d, "spring")
-    return m.orders.select("o_orderkey", w[0].alias("winter_from"), w[1].alias("winter_to"), s[0].alias("spring_from"), s[1].alias("spring_to"))
+_EPOCH = "date '1996-01-01'"
 
 
-_N = "abs(days)"
-_COUNT = f"cast(case when {_N} <= 27 then {_N} when {_N} < 330 then floor({_N} / 30.0::double + 0.5) when {_N} < 400 then 1 else floor({_N} / 365.0::double + 0.5) end as int)"
-_UNIT = f"case when {_N} <= 27 then 'day' when {_N} < 330 then 'month' else 'year' end"
-_SAID = f"cast({_COUNT} as varchar) || ' ' || {_UNIT} || case when {_COUNT} = 1 then '' else 's' end"
+def _far(day: str, now: str) -> str:
+    """How far a day lies from another, in words."""
+    days = f"datediff('day', {now}, {day})"
+    n = f"abs({days})"
+    count = f"cast(case when {n} <= 27 then {n} when {n} < 330 then greatest(floor({n} / 30.0::double + 0.5), 1) when {n} < 400 then 1 else floor({n} / 365.0::double + 0.5) end as int)"
+    unit = f"case when {n} <= 27 then 'day' when {n} < 330 then 'month' else 'year' end"
+    words = f"case when {count} = 1 then 'a ' || {unit} else cast({count} as varchar) || ' ' || {unit} || 's' end"
+    return f"case when {days} = 0 then 'today' when {days} = -1 then 'yesterday' when {days} = 1 then 'tomorrow' when {days} < 0 then {words} || ' ago' else 'in ' || {words} end"
 
 
-@query(f"select o_orderkey, case when days = 0 then 'today' when days = -1 then 'yesterday' when days = 1 then 'tomorrow' when days < 0 then {_SAID} || ' ago' else 'in ' || {_SAID} end as said from (select o_orderkey, datediff('day', date '1996-01-01', {_D}) as days from orders)")
+@query(f"select o_orderkey, {_far(_D, _EPOCH)} as said from orders")
 def humanize_day(m):
     return m.orders.select("o_orderkey", C.humanize_days(F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1996-01-01")))).alias("said"))
 
 
-@query(f"select o_orderkey, cast(day({_D}) as varchar) || ' ' || monthname({_D}) || ' ' || cast(year({_D}) as varchar) as said from orders")
-def render_absolute(m):
-    return m.orders.select("o_orderkey", F.date_format(F.to_date("o_orderdate"), "d MMMM yyyy").alias("said"))
-
-
 __all__ = ["ORACLE_SQL", "QUERIES"]

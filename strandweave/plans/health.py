@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import activity as A
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import ledger as L
 from ..operators import records as R
 from .catalog import _LINKS, _TYPES, query
 from .records import _OBS, _SEEDS, _observations
@@ -30,12 +31,17 @@ def profile_tier(m):
     return rows.select("id", degree.alias("degree"), C.profile_tier(degree).alias("tier"))
 
 
-@query(f"+ {_OBS.lstrip().removeprefix('+')} select center, sha256('{{\"obs\": [\"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), '\", \"') || '\"], \"tier\": \"' || case when n >= 8 then 'full' when n >= 3 then 'snapshot' else 'stub' end || '\"}}') as signature from texts", "nodes", "edges")
-def profile_hash(m):
-    """The hash of {obs, tier} as JSON with sorted keys."""
+def _signatures(m):
+    """(center, tier, signature): the hash of {obs, tier} as JSON with sorted keys."""
     lines = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit('", "'))
     text = F.concat(F.lit('{"obs": ["'), lines, F.lit('"], "tier": "'), C.profile_tier(F.col("n")), F.lit('"}'))
-    return R.stubs(_observations(m)).select("center", F.sha2(text, 256).alias("signature"))
+    return R.stubs(_observations(m)).select("center", C.profile_tier(F.col("n")).alias("tier"), F.sha2(text, 256).alias("signature"))
+
+
+@query(f"+ {_OBS.lstrip().removeprefix('+')} select center, sha256('{{\"obs\": [\"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), '\", \"') || '\"], \"tier\": \"' || case when n >= 8 then 'full' when n >= 3 then 'snapshot' else 'stub' end || '\"}}') as signature from texts", "nodes", "edges")
+def profile_hash(m):
+    """The hash of a hub's observations and tier."""
+    return _signatures(m).select("center", "signature")
 
 
 @query(f"+ {_HOLES} select id, merged_into from holes where merged_into not in (select id from nodes)", "nodes")
@@ -50,14 +56,14 @@ def health_tombstones(m):
   union all select 'missing-occurred', id from nodes where merged_into is null and type = 'memory' and occurred_start is null
   union all select 'alias-less', id from nodes where merged_into is null and type in {_TYPES} and len(aliases) = 0
   union all select 'tombstones', id from holes where merged_into not in (select id from nodes)
-  union all select 'stale-hubs', n.id from nodes n where merged_into is null and type in {_TYPES} and id in (select dst from edges where origin = 'canonical') and id not in (select dst from edges where origin = 'canonical' and until is null))
+  union all select 'stale-hubs', center from (select c.id as center, max(coalesce(since, o.occurred_start)) as newest from nodes c join (select src as center, dst as other, since from edges where origin = 'canonical' union all select dst, src, since from edges where origin = 'canonical') e on e.center = c.id join nodes o on o.id = e.other and o.merged_into is null where c.merged_into is null and c.type in {_TYPES} group by 1) where newest < date '2023-01-31')
   select finding, count(f.id) as n, count(f.id) > 0 as flagged from (select unnest(['orphans', 'inbox', 'review-aging', 'missing-occurred', 'alias-less', 'tombstones', 'stale-hubs']) as finding) k left join f using (finding) group by 1""",
     "nodes",
     "edges",
     "review_queue",
 )
 def health_report(m):
-    return A.health(_tombstones(m), m.edges, m.review_queue, "2024-01-31")
+    return A.health(_tombstones(m), m.edges, m.ends, m.review_queue, "2024-01-31")
 
 
 @query(f"select id, id not in (select src from edges union select dst from edges) and merged_into is null as deletable from nodes where type in {_TYPES}", "nodes", "edges")
@@ -87,9 +93,29 @@ def vocab_effective(m):
     return seeds.union(added).distinct()
 
 
-@query(f"+ {_LINKS} select n.type, min(id) as example, count(*) as n from nodes n where merged_into is null group by 1", "nodes", "edges")
+_AXES = {"node_types": _SEEDS, "edge_rels": ["involves", "about", "at", "part_of"], "entity_like_types": E.ENTITY_TYPES}
+_VIEW = " union all ".join(f"select '{axis}' as axis, '{value}' as value, 'seed' as origin, cast(null as bigint) as item_id" for axis, values in _AXES.items() for value in values)
+
+
+@query(f"+ p as (select item_id, case item_id % 3 when 0 then 'node_types' when 1 then 'edge_rels' else 'entity_like_types' end as axis, case when item_id % 7 = 0 then 'at' else 'kind' || cast(item_id % 50 as varchar) end as value, status from review_queue), seeds as ({_VIEW}) select axis, value, origin, item_id from seeds union all select distinct axis, value, 'added', cast(null as bigint) from p where status = 'resolved' and (axis, value) not in (select (axis, value) from seeds) union all select axis, value, 'proposed', item_id from p where status = 'pending'", "review_queue")
 def vocab_types_view(m):
-    return G.live(m.nodes).groupBy("type").agg(F.min("id").alias("example"), F.count("*").alias("n"))
+    """The words in force by axis, seeds and approved additions, and the proposals that still wait."""
+    k = F.col("item_id") % 3
+    axis = F.when(k == 0, "node_types").when(k == 1, "edge_rels").otherwise("entity_like_types")
+    value = F.when(F.col("item_id") % 7 == 0, "at").otherwise(F.concat(F.lit("kind"), (F.col("item_id") % 50).cast("string")))
+    return R.vocabulary(_AXES, m.review_queue.select("item_id", axis.alias("axis"), value.alias("value"), "status"))
+
+
+_SIGNED = """s as (select center, case when n >= 8 then 'full' when n >= 3 then 'snapshot' else 'stub' end as tier, sha256('{"obs": ["' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), '", "') || '"], "tier": "' || case when n >= 8 then 'full' when n >= 3 then 'snapshot' else 'stub' end || '"}') as signature from texts)"""
+
+
+@query(f"+ {_OBS.lstrip().removeprefix('+')}, {_SIGNED} select center as id, signature, tier from s where cast(substring(center, 3) as int) % 4 <> 0", "nodes", "edges")
+def profile_refresh(m):
+    """Hubs whose neighbourhood or tier changed since their profile was written, or that have none."""
+    wanted = _signatures(m).select(F.col("center").alias("id"), "signature", "tier")
+    n = F.expr("cast(substring(id, 3) as int)")
+    stored = wanted.where(n % 2 == 0).select("id", F.when(n % 4 == 0, F.col("signature")).otherwise("old").alias("signature"))
+    return L.refreshed(wanted, stored)
 
 
 @query(f"select id, greatest(datediff('day', created_on, {_NOW}), 0) as age from nodes", "nodes")

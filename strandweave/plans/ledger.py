@@ -140,7 +140,7 @@ def media_delete(m):
 _OUT = "coalesce(trim(derived_text), '')"
 
 
-@query(f"select media_id, case when kind = 'photo' then case when status = 'derived' and {_OUT} <> '' then '<photo: ' || trim(derived_text) || '>' else '(photo unavailable)' end when status = 'derived' and {_OUT} <> '' then trim(derived_text) else '(voice note unavailable)' end as text from media", "media")
+@query(f"select media_id, case when kind = 'photo' then case when status = 'derived' and {_OUT} <> '' then '<photo: ' || trim(derived_text) || '>' else '<photo — description unavailable>' end when status = 'derived' and {_OUT} <> '' then trim(derived_text) else '<voice note — transcript unavailable>' end as text from media", "media")
 def media_text(m):
     """A photo's description in a fence, a voice note's words as they are, else the placeholder."""
     body, there = CP.part_body(), (F.col("status") == "derived") & (F.trim(F.coalesce("derived_text", F.lit(""))) != "")
@@ -270,10 +270,10 @@ def merge_count(m):
     return _merges(m).agg(F.count("*").alias("n"))
 
 
-@query("select c_custkey, c_name as key from customer where c_custkey % 5 = 0 order by c_acctbal desc, c_name limit 100")
+@query("select c_custkey, c_name as key from customer where c_custkey % 5 = 0")
 def keep_all(m):
-    kept = m.customer.where("c_custkey % 5 = 0")
-    return kept.orderBy(F.desc("c_acctbal"), "c_name").limit(100).select("c_custkey", F.col("c_name").alias("key"))
+    """Every stored decision to keep; they are as many as were made by hand."""
+    return m.customer.where("c_custkey % 5 = 0").select("c_custkey", F.col("c_name").alias("key"))
 
 
 @query("select id, case when cast(substring(id, 3) as int) % 2 = 0 then 'full' else 'stub' end as tier, case when cast(substring(id, 3) as int) % 2 = 0 then upper(title) else title end as profile from nodes where type = 'person'", "nodes")
@@ -283,15 +283,6 @@ def profile_upsert(m):
     return L.upserted(hubs, new, ["id"])
 
 
-@query("select id, sha256(title) as signature, 'stub' as tier from nodes where type = 'topic' and cast(substring(id, 3) as int) % 4 <> 0", "nodes")
-def profile_refresh(m):
-    """Only entities whose neighbourhood's hash changed, or that have none stored, are written again."""
-    wanted = m.nodes.where("type = 'topic'").select("id", F.sha2("title", 256).alias("signature"), F.lit("stub").alias("tier"))
-    n = F.expr("cast(substring(id, 3) as int)")
-    stored = wanted.where(n % 2 == 0).select("id", F.when(n % 4 == 0, F.col("signature")).otherwise("old").alias("signature"))
-    return L.refreshed(wanted, stored)
-
-
 @query(f"select id, type, title, merged_into from nodes where type in {_TYPES} and id in (select 'c:' || lpad(cast(event_id as varchar), 10, '0') from events where event_id % 20 = 0)", "nodes")
 def entity_get(m):
     ids = m.events.where("event_id % 20 = 0").select(_id("c", F.col("event_id")).alias("id"))
@@ -335,12 +326,18 @@ def vocab_upsert(m):
 # names, texts, lines for prompts
 
 
-@query("select id, title = upper(title) or list_contains(aliases, lower(title)) as is_exact, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) || '/' || type as mention_key from (select id, type, title, list_transform(aliases, lambda a: lower(a)) as aliases from nodes where type = 'place')", "nodes")
+_ASKED = "list_concat(list_concat([upper(title), ' ' || lower(title) || '  ', title || ' x'], list_transform(aliases, lambda a: upper(a))), ['nobody'])"
+_KEY = "trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
+
+
+@query(f"+ q as (select id, type, title, aliases, unnest(list_distinct({_ASKED})) as asked from nodes where type in ('place', 'person')), k as (select *, {_KEY.format(x='asked')} as key from q) select id, asked, key = {_KEY.format(x='title')} or list_contains(list_transform(aliases, lambda a: {_KEY.format(x='a')}), key) as is_exact, key || '/' || type as mention_key from k", "nodes")
 def exact_test(m):
-    """Whether a mention, here the title in capitals or an alias of it, is a name of the node, and the mention's key."""
-    places = m.nodes.where("type = 'place'")
-    named = F.exists("aliases", lambda a: C.normalize_alias(a) == C.normalize_alias(F.col("title"))) | (F.col("title") == F.upper("title"))
-    return places.select("id", named.alias("is_exact"), F.concat(C.display_key(F.col("title")), F.lit("/"), "type").alias("mention_key"))
+    """Whether a mention is an entity's title or alias in another spelling, and the mention's key."""
+    spelled = F.array(F.upper("title"), F.concat(F.lit(" "), F.lower("title"), F.lit("  ")), F.concat("title", F.lit(" x")))
+    asked = F.explode(F.array_distinct(F.concat(spelled, F.transform("aliases", lambda a: F.upper(a)), F.array(F.lit("nobody")))))
+    rows = m.nodes.where("type in ('place', 'person')").select("id", "type", "title", "aliases", asked.alias("asked")).withColumn("key", C.normalize_alias(F.col("asked")))
+    exact = (C.normalize_alias(F.col("title")) == F.col("key")) | F.exists("aliases", lambda a: C.normalize_alias(a) == F.col("key"))
+    return rows.select("id", "asked", exact.alias("is_exact"), F.concat("key", F.lit("/"), "type").alias("mention_key"))
 
 
 @query(rf"select id, strip_accents(title) as title, string_agg(strip_accents(t), ',') as tags from (select id, title, unnest(tags) as t from nodes where type = 'insight') group by 1, 2", "nodes")
@@ -349,24 +346,22 @@ def fold_document(m):
     return rows.select("id", MD.fold_marks("title").alias("title"), MD.fold_marks("tags").alias("tags"))
 
 
-@query("select 'tag' as part, '- ' || tag || ' (' || cast(count(*) as varchar) || ')' as line from (select unnest(tags) as tag from nodes) group by tag union all select 'edge', '\"' || coalesce(s.title, '(untitled)') || '\" --' || rel || '--> \"' || coalesce(d.title, '(untitled)') || '\"' from edges left join nodes s on s.id = src left join nodes d on d.id = dst where rel = 'part_of'", "nodes", "edges")
+@query("select 'tag' as part, '- ' || tag || ' (' || cast(count(*) as varchar) || ')' as line from (select unnest(tags) as tag from nodes) group by tag union all select 'edge', '\"' || coalesce(s.title, '(untitled)') || '\" --' || rel || '--> \"' || coalesce(d.title, '(untitled)') || '\"' from edges left join nodes s on s.id = src left join nodes d on d.id = dst", "nodes", "edges")
 def prompt_lists(m):
     tags = m.nodes.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
     lines = tags.select(F.lit("tag").alias("part"), F.concat(F.lit("- "), "tag", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("line"))
     src, dst = m.nodes.select(F.col("id").alias("src"), F.col("title").alias("s")), m.nodes.select(F.col("id").alias("dst"), F.col("title").alias("d"))
-    drawn = m.edges.where("rel = 'part_of'").join(src, "src", "left").join(dst, "dst", "left")
+    drawn = m.edges.join(src, "src", "left").join(dst, "dst", "left")
     q = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("(untitled)")), F.lit('"'))
     return lines.union(drawn.select(F.lit("edge"), F.concat(q("s"), F.lit(" --"), "rel", F.lit("--> "), q("d"))))
 
 
-@query("+ b as (select dst as id, rel || ' <- ' || src as line, row_number() over (partition by dst order by rel, src) as n, count(*) over (partition by dst) as total from edges where rel = 'at') select id, string_agg(line, chr(10) order by n) || case when max(total) > 5 then chr(10) || '… ' || cast(max(total) - 5 as varchar) || ' more' else '' end as block from b where n <= 5 group by 1", "edges")
+@query("+ b as (select dst as id, rel || ' <- ' || src as line, row_number() over (partition by dst order by rel, src) as n, count(*) over (partition by dst) as total from edges) select id, string_agg(line, chr(10) order by n) || case when max(total) > 5 then chr(10) || '… ' || cast(max(total) - 5 as varchar) || ' more' else '' end as block from b where n <= 5 group by 1", "edges")
 def md_render(m):
     """A node's first five edges as lines, and how many more there are."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("dst")
-    rows = m.edges.where("rel = 'at'").select("dst", "rel", "src", F.count("*").over(w).alias("total"), F.row_number().over(w.orderBy("rel", "src")).alias("n")).where("n <= 5")
-    line = F.struct("n", F.concat("rel", F.lit(" <- "), "src").alias("line"))
+    total = m.edges.groupBy("dst").agg(F.count("*").alias("total"))
+    rows = E.first_by(m.edges.select("dst", "rel", "src"), ["dst"], ["rel", "src"], 5).join(total, "dst")
+    line = F.struct("rel", "src", F.concat("rel", F.lit(" <- "), "src").alias("line"))
     out = rows.groupBy("dst").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.max("total").alias("total"))
     more = F.when(F.col("total") > 5, F.concat(F.lit("\n… "), (F.col("total") - 5).cast("string"), F.lit(" more"))).otherwise("")
     return out.select(F.col("dst").alias("id"), F.concat(F.array_join("lines.line", "\n"), more).alias("block"))
@@ -387,12 +382,11 @@ def capsule_clean(m):
     return m.orders.select("o_orderkey", F.trim(F.regexp_replace(bare, r"^(?i)(?:(?:sure|certainly|of course|okay)[!.,]\s*|here(?:'s| is)[^:\n]*:\s*)+", "")).alias("text"))
 
 
-@query("select src, dst from edges where origin = 'canonical' and rel = 'part_of' union all select 'd:' || lpad(cast(doc_id as varchar), 10, '0'), 'd:' || lpad(cast(doc_id + 2 as varchar), 10, '0') from documents where doc_id % 4 = 0", "edges")
+@query("select src, dst, rel, origin from edges where origin = 'canonical' union all select 'd:' || lpad(cast(doc_id as varchar), 10, '0'), 'd:' || lpad(cast(doc_id + 2 as varchar), 10, '0'), 'similar', 'derived' from documents where doc_id % 4 = 0", "edges")
 def derived_replace(m):
     """All edges of the derived origin give way to the new ones; canonical ones stay."""
     new = m.documents.where("doc_id % 4 = 0").select(_id("d", F.col("doc_id")).alias("src"), _id("d", F.col("doc_id") + 2).alias("dst"), F.lit("similar").alias("rel"), F.lit("derived").alias("origin"))
-    kept = m.edges.where("origin <> 'derived'").select("src", "dst", "rel", "origin").unionByName(new)
-    return kept.where("origin = 'derived' or rel = 'part_of'").select("src", "dst")
+    return m.edges.where("origin <> 'derived'").select("src", "dst", "rel", "origin").unionByName(new)
 
 
 _ACC = "a as (select id, title, aliases, 'Kundin ' || cast(cast(substring(id, 3) as int) as varchar) as surface from nodes where type = 'person' and merged_into is null)"

@@ -133,7 +133,7 @@ _YD = "(year(o_orderdate) - 1996)"
 
 
 def _ago(count: str, unit: str, delta: str) -> str:
-    words = f"cast({count} as varchar) || ' {unit}' || case when {count} = 1 then '' else 's' end"
+    words = f"case when {count} = 1 then 'a {unit}' else cast({count} as varchar) || ' {unit}s' end"
     return f"case when {delta} < 0 then {words} || ' ago' else 'in ' || {words} end"
 
 

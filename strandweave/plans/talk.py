@@ -13,7 +13,7 @@ from .catalog import _TYPES, query
 _CAND = """+ c0 as (select session_id, cast(i as int) as pos, json_extract(reply, '$.candidates[' || i || ']') as c from replies, (select unnest([0, 1, 2]) as i)),
 c as (select session_id, pos, trim(json_extract_string(c, '$.candidate_text')) as text, lower(trim(coalesce(json_extract_string(c, '$.stance'), ''))) as st, lower(trim(coalesce(json_extract_string(c, '$.salience'), ''))) as sa, trim(coalesce(json_extract_string(c, '$.evidence_excerpt'), '')) as excerpt from c0 where trim(coalesce(json_extract_string(c, '$.candidate_text'), '')) <> ''),
 cand as (select session_id, pos, text, case when st in ('endorsed', 'unclear', 'rejected') then st else 'unclear' end as stance, case when sa in ('high', 'low') then sa else 'med' end as salience, excerpt, 1 as dropped from c)"""
-_HEDGED = " or ".join(f"contains(lower(text || chr(10) || excerpt), '{h}')" for h in CH.HEDGES)
+_HEDGED = " or ".join(f"contains(lower(text || chr(10) || excerpt), '{h.replace(chr(39), chr(39) * 2)}')" for h in CH.HEDGES)
 _FORM = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 _GATED = f"{_CAND}, gated as (select session_id, pos, text, excerpt, case when stance = 'endorsed' and ({_HEDGED}) then 'unclear' else stance end as route from (select *, row_number() over (partition by session_id, {_FORM.format(x='text')} order by pos) as k from cand) where k = 1)"
 
@@ -79,15 +79,27 @@ def slugify_tag(m):
     return m.customer.select("c_custkey", CH.clean_tag(t).alias("tag"))
 
 
-@query("select id, array_to_string(list_slice(list_filter(list_distinct_ordered, lambda t: t <> ''), 1, 8), ',') as tags from (select id, [case when regexp_matches(t, '[a-z]') then t else '' end] as list_distinct_ordered from (select id, trim(regexp_replace(lower(coalesce(tags[1], '')), '[^a-z0-9_/-]+', '-', 'g'), '-/_') as t from nodes))", "nodes")
+_RAW_TAGS = "list_concat(list_concat(tags, case when len(tags) > 0 then ['# ' || tags[1] || '!'] else [] end), list_concat(list_concat(aliases, string_split(title, ' ')), ['9', 'été', 'A/b', 'a/B', 'x--y', '-z_']))"
+
+
+@query(f"+ r as (select id, {_RAW_TAGS} as raw from nodes), f as (select id, list_filter(list_transform(raw, lambda t: {_TAG.format(x='t')}), lambda t: regexp_matches(t, '[a-z]')) as kept from r) select id, coalesce(array_to_string(list_slice(list_filter(kept, lambda t, i: list_position(kept, t) = i), 1, 8), ','), '') as tags from f", "nodes")
 def clean_tags(m):
-    return m.nodes.select("id", F.array_join(CH.clean_tags(F.slice("tags", 1, 1)), ",").alias("tags"))
+    """The first eight distinct tags of a node's raw ones; many nodes have more, some repeat and some say nothing."""
+    some = F.array(*[F.lit(t) for t in ("9", "été", "A/b", "a/B", "x--y", "-z_")])
+    marked = F.transform(F.slice("tags", 1, 1), lambda t: F.concat(F.lit("# "), t, F.lit("!")))
+    return m.nodes.select("id", F.array_join(CH.clean_tags(F.concat("tags", marked, "aliases", F.split("title", " "), some)), ",").alias("tags"))
+
 
+_PLANES = ["Professional", "Personal", "Family", "Friends", "Health", "Ideas"]
 
-@query("select id, case lower(trim(x)) when 'family' then 'Family' when 'health' then 'Health' when 'ideas' then 'Ideas' end as plane from (select id, ' ' || upper(planes[1]) as x from nodes)", "nodes")
+
+@query("select id, array_to_string(list_filter(list_transform(list_concat(planes, ['none']), lambda p: case lower(trim(' ' || upper(p) || ' ')) " + " ".join(f"when '{p.lower()}' then '{p}'" for p in _PLANES) + " end), lambda p: p is not null), ',') as planes from nodes", "nodes")
 def plane_canonical(m):
-    names = F.create_map(*[F.lit(x) for p in ("Family", "Health", "Ideas") for x in (p.lower(), p)])
-    return m.nodes.select("id", F.try_element_at(names, F.lower(F.trim(F.concat(F.lit(" "), F.upper(F.col("planes")[0]))))).alias("plane"))
+    """Every plane of a node in its configured spelling; unknown ones go."""
+    names = F.create_map(*[F.lit(x) for p in _PLANES for x in (p.lower(), p)])
+    raw = F.transform(F.concat("planes", F.array(F.lit("none"))), lambda p: F.concat(F.lit(" "), F.upper(p), F.lit(" ")))
+    known = F.filter(F.transform(raw, lambda p: F.try_element_at(names, F.lower(F.trim(p)))), lambda p: p.isNotNull())
+    return m.nodes.select("id", F.array_join(known, ",").alias("planes"))
 
 
 @query("select id, coalesce(interiority, 'external') as interiority from nodes", "nodes")
@@ -153,16 +165,21 @@ def store_paths_for(m):
     return G.live(m.nodes).where(F.col("type").isin(E.ENTITY_TYPES)).join(ids, "id", "left_semi").select("id", "store_path")
 
 
-@query("select conv_id, substring(trim(string_split(trim(text), chr(10))[1], '\"'' '), 1, 60) as title from conversations where turn = 0")
+_QUOTED = """case conv_id % 5 when 0 then '"' || text || '"' when 1 then chr(10) || ' ''' || string_split(text, ' ')[1] || ' it''s '' ' when 2 then '"' || text when 3 then ' "' || string_split(text, ' ')[1] || '" ' || chr(10) || 'more' else '  ' end"""
+
+
+@query(f"""+ s as (select conv_id, trim(string_split(trim({_QUOTED}, ' ' || chr(10)), chr(10))[1]) as line from conversations where turn = 0) select conv_id, trim(substring(case when length(line) >= 2 and line[1] in ('"', chr(39)) and line[1] = line[-1] then trim(substring(line, 2, length(line) - 2)) else line end, 1, 80)) as title from s""", "nodes")
 def title_clean(m):
-    line = F.regexp_replace(F.substring_index(F.trim("text"), "\n", 1), "^[\"' ]+|[\"' ]+$", "")
-    return m.conversations.where("turn = 0").select("conv_id", F.substring(line, 1, 60).alias("title"))
+    """The first line without one pair of quotes around it, of 80 characters at most."""
+    k, word = F.col("conv_id") % 5, F.split("text", " ")[0]
+    said = F.when(k == 0, F.concat(F.lit('"'), "text", F.lit('"'))).when(k == 1, F.concat(F.lit("\n '"), word, F.lit(" it's ' "))).when(k == 2, F.concat(F.lit('"'), "text")).when(k == 3, F.concat(F.lit(' "'), word, F.lit('" \nmore'))).otherwise("  ")
+    return m.conversations.where("turn = 0").select("conv_id", CH.clean_title(said, 80).alias("title"))
 
 
-@query(r"select doc_id, case when length(t) > 160 then substring(t, 1, 159) || '…' else t end as preview from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents)")
+@query(r"+ t as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents) select doc_id, case when length(t) > 160 then rtrim(substring(t, 1, 160)) || '…' else t end as preview from t", "nodes")
 def auto_snippet(m):
-    t = C.collapse(F.col("text"))
-    return m.documents.select("doc_id", F.when(F.length(t) > 160, F.concat(F.substring(t, 1, 159), F.lit("…"))).otherwise(t).alias("preview"))
+    """A preview of 160 characters, without a blank before its mark."""
+    return m.documents.select("doc_id", C.snippet(C.collapse(F.col("text")), 160).alias("preview"))
 
 
 @query("select id, replace(replace(replace(title, chr(92), chr(92) || chr(92)), '%', chr(92) || '%'), '_', chr(92) || '_') as pattern from nodes where type in ('person', 'place')", "nodes")

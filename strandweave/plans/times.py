@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import dates as D
 from ..operators import activity as A
-from .catalog import query
+from .catalog import _far, query
 
 _MONTH = "['" + "', '".join(D.MONTHS) + "']"
 _TODAY = "date '2024-12-31'"
@@ -67,9 +67,11 @@ def _spelled(d: str) -> str:
     return f"day({d}) || ' ' || {_MONTH}[month({d})] || ' ' || year({d})"
 
 
-@query(f"select id, 'recorded ' || {_spelled('created_on')} || ' · occurred ' || case when occurred_start is null then 'unknown' when occurred_end is not null and occurred_end <> occurred_start then {_spelled('occurred_start')} || ' – ' || {_spelled('occurred_end')} else {_spelled('occurred_start')} end as header from nodes", "nodes")
+@query(f"select id, 'recorded ' || {_spelled('created_on')} || ' (' || {_far('created_on', _TODAY)} || ') · occurred ' || case when occurred_start is null then 'unknown' when occurred_end is not null and occurred_end <> occurred_start then {_spelled('occurred_start')} || ' – ' || {_spelled('occurred_end')} else {_spelled('occurred_start')} end as header from nodes", "nodes")
 def temporal_header(m):
-    return m.nodes.select("id", F.concat(F.lit("recorded "), D.spelled(F.col("created_on")), F.lit(" · occurred "), D.span(F.col("occurred_start"), F.col("occurred_end"))).alias("header"))
+    """When a node was recorded, how long ago that is, and when it occurred."""
+    ago = C.humanize_days(F.datediff("created_on", F.to_date(F.lit("2024-12-31"))))
+    return m.nodes.select("id", F.concat(F.lit("recorded "), D.spelled(F.col("created_on")), F.lit(" ("), ago, F.lit(") · occurred "), D.span(F.col("occurred_start"), F.col("occurred_end"))).alias("header"))
 
 
 _KEY = "o_orderkey % 12 + 1"
