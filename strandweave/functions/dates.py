@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import humanize_days, humanize_months, humanize_years
+
+#: How partial dates and tokens are written in files.
 PARTIAL = r"^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:T(\d{2}):(\d{2}))?)?)?$"
 TOKEN = r"\[\[t:(.*?)\]\]"
 MONTHS = "January February March April May June July August September October November December".split()
@@ -99,3 +102,16 @@ def occurred_range(value: Column, end: Column) -> tuple[Column, Column]:
     """First and last day of a frontmatter date, an explicit end overriding the last one."""
     p, q = partial(value), partial(end)
     return floor_day(p), F.when(p.isNotNull(), F.coalesce(ceil_day(q), ceil_day(p)))
+
+
+def relative_text(t: Column, now: Column) -> Column:
+    """A token as it is said on the day ``now``: how far a point lies from it; a labelled one or a range in absolute words."""
+    start = t["start"]
+    point = F.when(start["day"].isNotNull(), humanize_days(F.datediff(floor_day(start), now))).when(start["month"].isNotNull(), humanize_months(floor_day(start), now)).otherwise(humanize_years(floor_day(start), now))
+    return F.when(t["label"].isNotNull() | t["end"].isNotNull(), token_text(t)).otherwise(point)
+
+
+def dated_text(t: Column, now: Column) -> Column:
+    """A token in absolute words, a point with how far it lies from the day ``now``."""
+    point = t["label"].isNull() & t["end"].isNull()
+    return F.when(point, F.concat(token_text(t), F.lit(" ("), relative_text(t, now), F.lit(")"))).otherwise(token_text(t))

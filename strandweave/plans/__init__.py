@@ -1,5 +1,5 @@
 """Importing this package registers every query."""
 
-from . import captures, catalog, files, fulltext, health, ledger, matching, nodefiles, records, talk, times, upkeep
+from . import captures, catalog, files, fulltext, health, ledger, matching, nodefiles, organizing, records, tagging, talk, times, upkeep
 
-__all__ = ["captures", "catalog", "files", "fulltext", "health", "ledger", "matching", "nodefiles", "records", "talk", "times", "upkeep"]
+__all__ = ["captures", "catalog", "files", "fulltext", "health", "ledger", "matching", "nodefiles", "organizing", "records", "tagging", "talk", "times", "upkeep"]

@@ -26,6 +26,8 @@ def query(sql: str | None, *views: str):
     """Register a query of the bound model with its twin (none where SQL can't say it); ``views`` are what the twin reads."""
 
     def put(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a second query {f.__name__}")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
         if sql is None:
             return f
@@ -230,13 +232,6 @@ def canonical_edges(m):
 
 
 
-_OUTCOME = "case when l.doc_id is null then 'indexed' when d.doc_id % 7 = 0 then 'moved' when l.quality = 0 then 'changed' else 'skipped' end"
-
-
-
-
-
-
 @query("select id, case when interiority in ('internal', 'external', 'mixed') then interiority end as interiority from nodes", "nodes")
 def interiority_clean(m):
     return m.nodes.select("id", F.when(F.col("interiority").isin("internal", "external", "mixed"), F.col("interiority")).alias("interiority"))
@@ -409,9 +404,10 @@ def nodes_with_any_tag(m):
     return m.nodes.where(F.arrays_overlap("tags", F.array(F.lit("de"), F.lit("BUILDING"), F.lit("1-URGENT")))).select("id")
 
 
-@query("select id, array_to_string(list_transform(tags, lambda t: case t when 'F' then 'O' when 'P' then 'O' else t end), ',') as tags from nodes where type = 'memory'", "nodes")
+@query("+ r as (select id, list_transform(tags, lambda t: case when t in ('F', 'P', '1-URGENT') then 'O' else t end) as tags from nodes where type = 'memory') select id, array_to_string(list_filter(tags, lambda t, i: list_position(tags, t) = i), ',') as tags from r", "nodes")
 def tag_remap(m):
-    to = F.create_map(F.lit("F"), F.lit("O"), F.lit("P"), F.lit("O"))
+    """Tags by their canonical ones; what is equal then counts once."""
+    to = F.create_map(*[F.lit(x) for t in ("F", "P", "1-URGENT") for x in (t, "O")])
     return m.nodes.where("type = 'memory'").select("id", F.array_join(F.array_distinct(F.transform("tags", lambda t: F.coalesce(to[t], t))), ",").alias("tags"))
 
 
