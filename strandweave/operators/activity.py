@@ -27,14 +27,14 @@ def dangling_tombstones(nodes: DataFrame) -> DataFrame:
 FINDINGS = ["orphans", "inbox", "review-aging", "missing-occurred", "alias-less", "tombstones", "stale-hubs"]
 
 
-def health(nodes: DataFrame, edges: DataFrame, ends: DataFrame, review: DataFrame, today: str, aging_days: int = 14, stale_days: int = 365) -> DataFrame:
+def health(nodes: DataFrame, touched: DataFrame, ends: DataFrame, review: DataFrame, today: str, aging_days: int = 14, stale_days: int = 365) -> DataFrame:
     """(finding, n, flagged): one row a finding, also where nothing was found.
 
     A hub is stale if the newest date of its canonical edges to live nodes (the edge's, else the other end's) lies more than
-    ``stale_days`` back; one without any date is not.  Nodes are read once: what touches them and their newest date join
+    ``stale_days`` back; one without any date is not.  Nodes are read once: that something touches them (``touched``: id, once each) and their newest date join
     them, and every rule is a condition on the row.
     """
-    touch = edges.where("origin = 'canonical'").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.lit(True).alias("touched"))
+    touch = touched.select("id", F.lit(True).alias("touched"))
     newest = ends.where("origin = 'canonical'").groupBy(F.col("center").alias("id")).agg(F.max(F.coalesce("since", "occurred_start")).alias("newest"))
     rows = nodes.join(touch, "id", "left").join(newest, "id", "left")
     alive, inbox, hub = F.col("merged_into").isNull(), F.col("store_path").startswith("inbox/"), F.col("type").isin(ENTITY_TYPES)

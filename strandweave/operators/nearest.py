@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..sources.stage import cut
 
 SAMPLE, MOST_CELLS, ROWS_A_CELL, BLOCK, PROBES = 20_000, 4_096, 512, 2_048, 8
+#: Queries that one task takes at a time.
+MOST_QUERIES = 100_000
 #: Scores have six digits; bounds are loosened by more than that.
 _SLACK = 5e-6
 
@@ -77,6 +79,11 @@ def build(points: DataFrame, ids: int, rows_a_cell: int = ROWS_A_CELL, block: in
     distinct = borne.where("n = 1")
     n = distinct.count()
     cells = max(1, min(MOST_CELLS, -(-n // rows_a_cell)))
+    rows = distinct.select("k1", "k2", F.col("id").alias("first"), "embedding")
+    if n and cells <= PROBES:  # a search would visit every cell: one cell, split as it must be
+        blocks = -(-n // block)
+        members = rows.select(F.lit(0).cast("bigint").alias("cell"), F.pmod(F.xxhash64("k2"), F.lit(blocks)).cast("int").alias("block"), "k1", "k2", "first", "embedding")
+        return Index(np.zeros((1, 1)), np.full(1, np.pi), np.array([blocks]), members, borne.select("k1", "k2", "id"), ids)
     sample = distinct.select("embedding", F.xxhash64("k1", F.lit(7)).alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     if not len(sample):
         return Index(np.zeros((0, 1)), np.zeros(0), np.zeros(0, int), borne.limit(0), borne.limit(0), ids)
@@ -91,7 +98,6 @@ def build(points: DataFrame, ids: int, rows_a_cell: int = ROWS_A_CELL, block: in
 
     kind = points.schema["embedding"].dataType.simpleString()
     name = points.schema["id"].dataType.simpleString()
-    rows = distinct.select("k1", "k2", F.col("id").alias("first"), "embedding")
     rows = cut(rows.mapInPandas(placed, f"k1 bigint, k2 bigint, first {name}, embedding {kind}, cell bigint, angle double"))
     radii, blocks = np.full(len(centroids), -1.0), np.ones(len(centroids), int)
     for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row a cell
@@ -124,10 +130,19 @@ def _routes(index: Index, floor: float, probes: int, rest: bool):
     return routed
 
 
-def _visit(index: Index, queries: DataFrame, k: int, floor: float, probes: int, rest: bool) -> DataFrame:
+def _visit(index: Index, queries: DataFrame, k: int, floor: float, probes: int, rest: bool, many: int) -> DataFrame:
     """(q1, q2, k1, k2, first, score): each query's best ``k`` of every visited block, at or over the floor."""
-    kind, name = queries.schema["embedding"].dataType.simpleString(), index.members.schema["first"].dataType.simpleString()
+    kind = queries.schema["embedding"].dataType.simpleString()
+    if len(index.centroids) == 1:
+        sent = queries.select("q1", "q2", "embedding", F.lit(0).cast("bigint").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(int(index.blocks[0]) - 1))).alias("block"))
+        return _met(index, sent, k, floor, many)
     sent = queries.select("q1", "q2", "embedding", "least").mapInPandas(_routes(index, floor, probes, rest), f"q1 bigint, q2 bigint, embedding {kind}, cell bigint, block int")
+    return _met(index, sent, k, floor, many)
+
+
+def _met(index: Index, sent: DataFrame, k: int, floor: float, queries: int) -> DataFrame:
+    """Queries and members of each (cell, block) as one matrix product a task."""
+    name = index.members.schema["first"].dataType.simpleString()
 
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         names = ["q1", "q2", "k1", "k2", "first", "score"]
@@ -145,7 +160,14 @@ def _visit(index: Index, queries: DataFrame, k: int, floor: float, probes: int,
             out.append(pd.DataFrame({n: part[n].to_numpy()[row] for n in names[:2]} | {n: held[n].to_numpy()[col] for n in names[2:5]} | {"score": cos[row, col]}))
         return pd.concat(out)
 
-    met = sent.groupBy("cell", "block").cogroup(index.members.groupBy("cell", "block"))
+    members, keys = index.members, ["cell", "block"]
+    if queries > MOST_QUERIES:  # a cell that many ask is asked in shares, each with its members
+        sent = cut(sent)
+        often = sent.groupBy(*keys).agg(F.ceil(F.count("*") / MOST_QUERIES).alias("shares"))  # a row a block
+        sent = sent.join(often, keys).withColumn("share", F.pmod(F.xxhash64("q2"), F.col("shares")).cast("int")).drop("shares")
+        members = members.join(often, keys).withColumn("share", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int")))).drop("shares")
+        keys = [*keys, "share"]
+    met = sent.groupBy(*keys).cogroup(members.groupBy(*keys))
     return met.applyInPandas(best, f"q1 bigint, q2 bigint, k1 bigint, k2 bigint, first {name}, score double")
 
 
@@ -162,13 +184,13 @@ def search(index: Index, queries: DataFrame, k: int, floor: float, probes: int =
     if not len(index.centroids):
         return asked.select("id", F.col("id").alias("other"), F.lit(0.0).alias("score")).where("1 = 0")
     rows = asked.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), "embedding").dropDuplicates(["q1", "q2"]).withColumn("least", F.lit(float(floor)))
-    best = [F.desc("score"), F.col("first")]
-    found = _top(_visit(index, rows, k + 1, floor, probes, False), ["q1", "q2"], best, k + 1)
+    best, many = [F.desc("score"), F.col("first")], rows.count()
+    found = _top(_visit(index, rows, k + 1, floor, probes, False, many), ["q1", "q2"], best, k + 1)
     if exact and len(index.centroids) > probes:
         found = cut(found)
         enough = found.where(F.col("n") == k + 1).select("q1", "q2", F.col("score").alias("own"))
         left = rows.join(enough, ["q1", "q2"], "left").withColumn("least", F.coalesce("own", "least")).drop("own")
-        found = _top(found.drop("n").union(_visit(index, left, k + 1, floor, probes, True)), ["q1", "q2"], best, k + 1)
+        found = _top(found.drop("n").union(_visit(index, left, k + 1, floor, probes, True, many)), ["q1", "q2"], best, k + 1)
     named = found.select("q1", "q2", "k1", "k2", "score").join(index.bearers, ["k1", "k2"])
     named = _top(named, ["q1", "q2"], [F.desc("score"), F.col("id")], k + 1)
     near = named.groupBy("q1", "q2").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "id"))).alias("near"))

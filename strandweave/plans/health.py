@@ -63,7 +63,7 @@ def health_tombstones(m):
     "review_queue",
 )
 def health_report(m):
-    return A.health(_tombstones(m), m.edges, m.ends, m.review_queue, "2024-01-31")
+    return A.health(_tombstones(m), m.touched, m.ends, m.review_queue, "2024-01-31")
 
 
 @query(f"select id, id not in (select src from edges union select dst from edges) and merged_into is null as deletable from nodes where type in {_TYPES}", "nodes", "edges")

@@ -136,7 +136,7 @@ def _words(sql: str, words: dict[str, str]) -> str:
 
 
 class Model:
-    """The tables and views as DataFrames, by attribute; ``ends`` and ``links`` are stored edges."""
+    """The tables and views as DataFrames, by attribute; ``ends``, ``links`` and ``touched`` are read from stored edges."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -149,7 +149,7 @@ class Model:
                 sql = sql.replace(f"from {t} ", f"from {{{t}}} ").replace(f"from {t}\n", f"from {{{t}}}\n").replace(f"join {t} ", f"join {{{t}}} ")
                 sql = sql[: -len(t)] + f"{{{t}}}" if sql.endswith(f"from {t}") else sql
             frame = self.spark.sql(sql, **used)
-        elif name in ("ends", "links"):
+        elif name in ("ends", "links", "touched"):
             frame = getattr(clustered, name)(self)
         elif name in TABLES:
             frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -1,10 +1,10 @@
 """The graph's edges seen from both ends, stored once and clustered by node.
 
 Each canonical or derived edge is two rows, (center, dir, rel, origin, node_id, since, until), with what reads want of
-the other end (type, title, occurred_start); ends that are merged away or unknown are left out.  The table is dealt and
-sorted by ranges of (center, origin, rel, dir, node_id): reads of some nodes skip most row groups, a listing comes in
-its order, and a hub with a third of all edges is spread over as many files as it needs, which buckets would not do.
-What is above the scan is then a partial aggregation or a bounded top list a task.
+the other end (type, title, occurred_start); one that is merged away or unknown is marked as not live.  Rows are dealt by
+center and one of ``SPREAD`` shares of its neighbours and sorted by (center, origin, rel, dir, node_id): reads of some
+nodes skip most row groups, a listing comes in its order, and a hub with a third of all edges lies in ``SPREAD`` files,
+not in one as buckets would have it.  What is above the scan is then a partial aggregation or a bounded top list a task.
 
 A store lasts as long as the session's JVM and is made anew where the files that it was made from change.
 """
@@ -22,6 +22,7 @@ if TYPE_CHECKING:
     from .bind import Model
 
 ORDER = ["center", "origin", "rel", "dir", "node_id"]
+SPREAD = 32
 _STORES: dict[tuple, DataFrame] = {}
 
 
@@ -41,18 +42,16 @@ def both_ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = edges.select("rel", "origin", "since", "until", F.explode(F.array(way("out", "src", "dst"), way("in", "dst", "src"))).alias("way"))
     rows = rows.select("way.center", "rel", "origin", "way.dir", "way.node_id", "since", "until")
     other = nodes.where("merged_into is null").select(F.col("id").alias("node_id"), "type", "title", "occurred_start")
-    return rows.join(other, "node_id").select(*ORDER, "since", "until", "type", "title", "occurred_start")
+    return rows.join(other.withColumn("live", F.lit(True)), "node_id", "left").select(*ORDER, "since", "until", "type", "title", "occurred_start", F.coalesce("live", F.lit(False)).alias("live"))
 
 
 def clustered(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt and sorted by :data:`ORDER`, written and read back; they are written first as they come, so that
-    finding the ranges does not derive them twice."""
-    rows = cut(rows)
+    """``rows`` dealt by center and share, sorted by :data:`ORDER`, written and read back."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER))
+    return cut(rows.repartition(parts, "center", F.pmod(F.xxhash64("node_id"), F.lit(SPREAD))).sortWithinPartitions(*ORDER))
 
 
-def ends(m: Model) -> DataFrame:
+def stored(m: Model) -> DataFrame:
     """The store of the model's edges, made at the first use."""
     key = (m.spark.sparkContext.applicationId, m.sf_dir, _state(m, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]))
     if key not in _STORES:
@@ -60,6 +59,16 @@ def ends(m: Model) -> DataFrame:
     return _STORES[key]
 
 
+def ends(m: Model) -> DataFrame:
+    """Edges to live nodes, from either end."""
+    return stored(m).where("live").drop("live")
+
+
+def touched(m: Model) -> DataFrame:
+    """(id): nodes with a canonical edge, whatever is at its other end."""
+    return stored(m).where("origin = 'canonical'").select(F.col("center").alias("id")).distinct()
+
+
 def links(m: Model) -> DataFrame:
     """(id, other): canonical neighbours, once each."""
     return ends(m).where("origin = 'canonical'").select(F.col("center").alias("id"), F.col("node_id").alias("other")).distinct()

@@ -48,9 +48,10 @@ def test_index_is_exact_and_approximate_on_request(spark, vectors):
 def test_index_splits_cells_and_takes_other_queries(spark, vectors, monkeypatch):
     ids, x = vectors
     monkeypatch.setattr(N, "BLOCK", 32)
+    monkeypatch.setattr(N, "MOST_QUERIES", 20)
     df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id string, embedding array<double>").repartition(3)
-    index = N.build(df, 6, rows_a_cell=100, block=32)
-    assert index.blocks.max() > 1
+    index = N.build(df, 6, rows_a_cell=40, block=16)
+    assert index.blocks.max() > 1 and len(index.centroids) > N.PROBES
     asked = df.where(F.col("id").endswith("7"))
     found = sorted(map(tuple, N.search(index, asked, 4, 0.3, probes=1).collect()))
     assert found == nearest(ids, x, 4, 0.3, [k for k, i in enumerate(ids) if i.endswith("7")])
