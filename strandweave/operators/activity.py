@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import datetime as dt
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,22 +58,65 @@ def health(nodes: DataFrame, touched: DataFrame, ends: DataFrame, review: DataFr
     return one.select(listed).select("f.finding", "f.n", (F.col("f.n") > 0).alias("flagged"))
 
 
+#: Categories and kinds of what happened, letters of a preview, rows of a page.
+CATEGORIES = {"agents": "agents_jobs", "manual": "manual_actions", "captures": "captures"}
+KINDS = {"run": "agent_run", "capture": "capture", "review": "review_verdict"}
+PREVIEW, PAGE, MOST_PAGE = 280, 50, 100
+
+
+class BadCursor(ValueError):
+    """No cursor of this feed."""
+
+
 def feed(runs: DataFrame, captures: DataFrame, review: DataFrame) -> DataFrame:
-    """(id, category, kind, ts, status): parentless runs, captures that remain, settled review items."""
-    r = runs.where("parent_run_id is null").select(F.concat(F.lit("run:"), F.col("run_id").cast("string")).alias("id"), F.lit("run").alias("category"), F.col("agent").alias("kind"), F.col("started_at").alias("ts"), "status")
-    c = captures.where("not removed").select(F.concat(F.lit("capture:"), F.col("capture_id").cast("string")), F.lit("capture"), "kind", "created_at", "status")
-    v = review.where("status in ('resolved', 'discarded')").select(F.concat(F.lit("review:"), F.col("item_id").cast("string")), F.lit("review"), "kind", "created_at", "status")
+    """(id, category, kind, ts, title, snippet, ref, parent_ref, status, source): parentless runs (run_id, trigger_name,
+    started_at, agent, summary, status), captures that remain (capture_id, created_at, raw_text, source_ref, status, source,
+    kind), settled review items (item_id, resolved_at, kind, excerpt, status)."""
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    short = lambda c: F.substring(c, 1, PREVIEW)
+    category = F.when(F.col("trigger_name") == "manual", CATEGORIES["manual"]).otherwise(CATEGORIES["agents"])
+    names = ["id", "category", "kind", "ts", "title", "snippet", "ref", "parent_ref", "status", "source"]
+    r = runs.where("parent_run_id is null").select(text("run_id"), category, F.lit(KINDS["run"]), "started_at", "agent", short("summary"), text("run_id"), none, "status", none).toDF(*names)
+    c = captures.where("not removed").select(text("capture_id"), F.lit(CATEGORIES["captures"]), F.lit(KINDS["capture"]), "created_at", none, short("raw_text"), text("source_ref"), none, "status", F.coalesce("source", "kind"))
+    v = review.where("resolved_at is not null").select(text("item_id"), F.lit(CATEGORIES["manual"]), F.lit(KINDS["review"]), "resolved_at", "kind", short("excerpt"), text("item_id"), none, "status", none)
     return r.union(c).union(v)
 
 
 def feed_page(rows: DataFrame, size: int, cursor: tuple[str, str] | None = None) -> DataFrame:
-    """Newest first; the cursor is the last row's (ts, id)."""
+    """Newest first, and one row more; the cursor is the last row's (ts, id)."""
     if cursor:
         ts = F.lit(cursor[0]).cast(rows.schema["ts"].dataType)
         rows = rows.where((F.col("ts") < ts) | (F.col("ts") == ts) & (F.col("id") < cursor[1]))
     return rows.orderBy(F.desc("ts"), F.desc("id")).limit(size + 1)
 
 
+def encoded(ts: dt.datetime, ident: str) -> str:
+    return base64.urlsafe_b64encode(json.dumps([ts.isoformat(), ident], separators=(",", ":")).encode()).decode("ascii")
+
+
+def decoded(cursor: str) -> tuple[str, str]:
+    """(ts, id) of a cursor; raises :class:`BadCursor` for any other text."""
+    try:
+        ts, ident = json.loads(base64.urlsafe_b64decode(cursor.encode("ascii")))
+        if not isinstance(ident, str):
+            raise BadCursor(cursor)
+        return dt.datetime.fromisoformat(ts).isoformat(sep=" "), ident
+    except (ValueError, TypeError, UnicodeError) as error:
+        raise BadCursor(cursor) from error
+
+
+def read_feed(rows: DataFrame, category: str | None = None, before: str | None = None, limit: int | None = None) -> tuple[list, str | None]:
+    """(rows of a page, cursor of the next or null): of one category or all, ``limit`` clamped to 1 to ``MOST_PAGE``.  A page
+    is what one reader sees, so its rows come to the driver."""
+    size = PAGE if limit is None else max(1, min(limit, MOST_PAGE))
+    if category is not None:
+        rows = rows.where(F.col("category") == category)
+    found = feed_page(rows, size, None if before is None else decoded(before)).collect()
+    page = found[:size]
+    return page, encoded(page[-1].ts, page[-1].id) if len(found) > size else None
+
+
 def distillable(messages: DataFrame, marks: DataFrame, before: int) -> DataFrame:
     """(session_id, newest): sessions idle since ``before`` with something newer than their watermark."""
     newest = messages.groupBy("session_id").agg(F.max("at_minute").alias("newest")).where(F.col("newest") < before)

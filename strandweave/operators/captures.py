@@ -109,3 +109,9 @@ def latest(runs: DataFrame, *keys: str) -> DataFrame:
     """The newest run of each key, with its columns."""
     w = Window.partitionBy(*keys).orderBy(F.desc("started_at"), F.desc("run_id"))
     return runs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def legacy_voice(captures: DataFrame, media: DataFrame) -> DataFrame:
+    """(capture_id, raw_text, audio_path) of the voice captures that remain, have a sound file and no medium."""
+    voice = captures.where("kind = 'voice' and audio_path is not null and not removed")
+    return voice.join(media.select("capture_id"), "capture_id", "left_anti").select("capture_id", "raw_text", "audio_path")

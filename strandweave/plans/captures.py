@@ -55,9 +55,12 @@ def auto_recorded_list(m):
     return m.captures.where("kind = 'text'").select("capture_id").join(first, "capture_id", "left").select("capture_id", "title")
 
 
-@query("select capture_id from captures where kind = 'voice' and capture_id not in (select capture_id from media)", "captures", "media")
+@query("+ kept as (select capture_id from media where media_id % 4 <> 1) select capture_id, raw_text, 'audio/' || cast(capture_id as varchar) || '.ogg' as audio_path from captures where kind = 'voice' and not removed and capture_id % 5 <> 0 and capture_id not in (select capture_id from kept where capture_id is not null and capture_id % 2 = 0)", "captures", "media")
 def legacy_voice(m):
-    return m.captures.where("kind = 'voice'").select("capture_id").join(m.media.select("capture_id"), "capture_id", "left_anti")
+    """Voice captures with a sound file and no medium of their own; half of the media are from before."""
+    kept = m.media.where("media_id % 4 <> 1 and capture_id % 2 = 0").select("capture_id")
+    path = F.when(F.col("capture_id") % 5 != 0, F.concat(F.lit("audio/"), F.col("capture_id").cast("string"), F.lit(".ogg")))
+    return CA.legacy_voice(m.captures.withColumn("audio_path", path), kept)
 
 
 @query("+ p as (select distinct path from capture_nodes) select id from nodes where merged_into is null and type not in " + _TYPES + " and store_path in (select path from p)", "nodes", "capture_nodes")

@@ -447,19 +447,27 @@ def review_resolve(m):
 
 # activity
 
-_FEED = """+ feed as (select 'run:' || run_id as id, 'run' as category, agent as kind, started_at as ts, status from agent_runs where parent_run_id is null
-union all select 'capture:' || capture_id, 'capture', kind, created_at, status from captures where not removed
-union all select 'review:' || item_id, 'review', kind, created_at, status from review_queue where status in ('resolved', 'discarded'))"""
+_FEED = """+ feed as (select cast(run_id as varchar) as id, case when trigger_name = 'manual' then 'manual_actions' else 'agents_jobs' end as category, 'agent_run' as kind, started_at as ts, agent as title, substring(repeat(agent || ' ', 40), 1, 280) as snippet, cast(run_id as varchar) as ref, cast(null as varchar) as parent_ref, status, cast(null as varchar) as source from agent_runs where parent_run_id is null
+union all select cast(capture_id as varchar), 'captures', 'capture', created_at, null, substring(raw_text, 1, 280), case when kind = 'text' then cast(user_id as varchar) end, null, status, case when kind = 'text' then 'chat' else kind end from captures where not removed
+union all select cast(item_id as varchar), 'manual_actions', 'review_verdict', created_at, kind, substring(payload, 1, 280), cast(item_id as varchar), null, status, null from review_queue where status in ('resolved', 'discarded'))"""
 
 
-@query(f"{_FEED} select id, category, kind, status, ts from feed", "agent_runs", "captures", "review_queue")
+def _feed(m):
+    runs = m.agent_runs.withColumn("summary", F.repeat(F.concat("agent", F.lit(" ")), 40))
+    chat = F.col("kind") == "text"
+    captures = m.captures.withColumn("source", F.when(chat, "chat")).withColumn("source_ref", F.when(chat, F.col("user_id")))
+    settled = F.when(F.col("status").isin("resolved", "discarded"), F.col("created_at"))
+    return A.feed(runs, captures, m.review_queue.withColumn("resolved_at", settled).withColumn("excerpt", F.col("payload")))
+
+
+@query(f"{_FEED} select * from feed", "agent_runs", "captures", "review_queue")
 def feed_union(m):
-    return A.feed(m.agent_runs, m.captures, m.review_queue).select("id", "category", "kind", "status", "ts")
+    return _feed(m)
 
 
-@query(f"{_FEED} select id, category from feed where (ts, id) < (timestamp '2024-01-15 00:00:00', 'run:5') order by ts desc, id desc limit 51", "agent_runs", "captures", "review_queue")
+@query(f"{_FEED} select id, category from feed where (ts, id) < (timestamp '2024-01-15 00:00:00', '5') order by ts desc, id desc limit 51", "agent_runs", "captures", "review_queue")
 def feed_keyset(m):
-    return A.feed_page(A.feed(m.agent_runs, m.captures, m.review_queue), 50, ("2024-01-15 00:00:00", "run:5")).select("id", "category")
+    return A.feed_page(_feed(m), 50, ("2024-01-15 00:00:00", "5")).select("id", "category")
 
 
 @query(
