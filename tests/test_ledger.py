@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandweave.operators import ledger as L
+from strandweave.operators import replay as R
 
 
 def rows(df):
@@ -43,9 +44,10 @@ def test_steps_stop_at_a_failure_that_halts_and_only_there(spark):
 
 
 def test_a_merge_is_replayed_only_between_two_nodes(spark):
-    forms = spark.createDataFrame([("1", "person", "ann"), ("2", "person", "anne"), ("1", "person", "a."), ("3", "place", "ann")], "id string, type string, form string")
-    stored = spark.createDataFrame([("k1", "ann", "person", "anne", "person"), ("k2", "ann", "person", "a.", "person"), ("k3", "ann", "person", "gone", "person")], "merge_key string, survivor_form string, survivor_type string, loser_form string, loser_type string")
-    assert rows(L.replayed(stored, forms)) == [("k1", "1", "2", True), ("k2", "1", "1", False), ("k3", "1", None, False)]
+    nodes = spark.createDataFrame([("1", "person", "Ann", ["a."], None), ("2", "person", "Anne", [], None), ("3", "place", "Ann", [], None)], "id string, type string, title string, aliases array<string>, merged_into string")
+    stored = [("k1", 1, "person", ["ann"], "person", ["anne"]), ("k2", 2, "person", ["ann"], "person", ["a."]), ("k3", 3, "person", ["ann"], "person", ["gone"])]
+    stored = spark.createDataFrame(stored, "merge_key string, created_on int, survivor_type string, survivor_forms array<string>, loser_type string, loser_forms array<string>")
+    assert rows(R.folded(stored, nodes)) == [("k1", "1", "2", True), ("k2", "1", "1", False), ("k3", "1", None, False)]
 
 
 def test_verdicts_refuse_what_they_cannot_use(spark):
