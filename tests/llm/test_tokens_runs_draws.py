@@ -245,3 +245,15 @@ def test_runs_edge(edge):
     assert by[None].text == "no id" and by[1].text == by[2].text == by[3].text == ""
     assert repetitions.collapse_runs(edge.where("1 = 0")).count() == 0
     assert queries.planted(edge).columns == ["doc_id", "text"]
+
+
+def test_word_tries_sql_twin(spark):
+    import duckdb
+
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
+    twin = duck.sql(queries.ORACLE_SQL["op12_word_tries"])
+    found = queries.op12_word_tries(spark, DATA)
+    assert twin.columns == found.columns
+    assert sorted(map(tuple, twin.fetchall())) == sorted(map(tuple, found.collect()))
