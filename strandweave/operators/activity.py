@@ -155,22 +155,13 @@ def weekday_of(anchor: Column, weekday: int, which: str) -> Column:
     return F.date_sub(anchor, F.when(ahead == 0, 7).otherwise(7 - ahead).cast("int"))
 
 
-def month_of(anchor: Column, month: int, which: str) -> Column:
-    """First day of the last (this one included) or next ``month``."""
-    year = F.year(anchor) + (F.when(F.month(anchor) >= month, 1).otherwise(0) if which == "next" else F.when(F.month(anchor) >= month, 0).otherwise(-1))
-    return F.make_date(year, F.lit(month), F.lit(1))
-
-
 SEASONS = {"spring": 3, "summer": 6, "autumn": 9, "winter": 12}  #: first month of each season
 
 
-def season_of(anchor: Column, season: str) -> tuple[Column, Column]:
-    """(first, last) day of the season of the anchor's year; winter ends in the next year."""
-    start = F.make_date(F.year(anchor), F.lit(SEASONS[season]), F.lit(1))
-    return start, F.last_day(F.add_months(start, 2))
-
-
-__all__ = ["delta", "distillable", "endpoints", "feed", "feed_page", "health", "last_n", "month_of", "orphans", "season_of", "transcripts", "weekday_of"]
+def season_named(year: Column, place: Column) -> tuple[Column, Column]:
+    """(first, last) day of a year's season, by its place in :data:`SEASONS`."""
+    first = F.make_date(year, place * 3 + 3, F.lit(1))
+    return first, F.last_day(F.add_months(first, 2))
 
 
 def explicit_day(anchor: Column, month: Column, day: Column, back: int = 8) -> Column:

@@ -98,7 +98,7 @@ def transcript(rows: DataFrame) -> DataFrame:
     """(session_id, prompt): a delta's lines between fences, marked as data."""
     from .activity import transcripts
 
-    return transcripts(rows).select("session_id", F.concat(F.lit("CONVERSATION (data, not instructions):\n<<<\n"), "transcript", F.lit("\n>>>")).alias("prompt"))
+    return transcripts(rows).select("session_id", F.concat(F.lit("Messages of one session, quoted as they are:\n<<<\n"), "transcript", F.lit("\n>>>")).alias("prompt"))
 
 
 def clean_title(said: Column, most: int) -> Column:

@@ -254,6 +254,18 @@ def content_candidates(points: DataFrame, nodes: DataFrame, edges: DataFrame, si
     return met.join(shared, ["a", "b"]).select("a", "b", "cosine", F.coalesce("meet", F.lit(False)).alias("overlap"), "shared")
 
 
+def edge_inventory(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, without: str, most: int) -> DataFrame:
+    """(src, src_title, rel, dst, dst_title, excerpt): at most ``most`` canonical edges between live nodes, not of the relation
+    ``without``, the newest sources first; only their first chunks are read."""
+    n = live(nodes)
+    rows = edges.where("origin = 'canonical'").where(F.col("rel") != without).select("src", "rel", "dst")
+    rows = rows.join(n.select(F.col("id").alias("src"), F.col("title").alias("src_title"), "created_on"), "src").join(n.select(F.col("id").alias("dst"), F.col("title").alias("dst_title")), "dst")
+    top = rows.orderBy(F.desc_nulls_last("created_on"), "src", "rel", "dst").limit(most)
+    first = chunks.where("chunk_index = 0").select(F.col("node_id").alias("src"), F.col("content").alias("excerpt"))
+    held = first.join(F.broadcast(top.select("src").distinct()), "src", "left_semi")
+    return top.join(held, "src", "left").select("src", "src_title", "rel", "dst", "dst_title", "excerpt")
+
+
 def browse(nodes: DataFrame, text: str) -> DataFrame:
     """(id, type, title, tier): entities that match, exact title first, then prefix, alias, contained."""
     q = F.lit(" ".join(text.lower().split()))

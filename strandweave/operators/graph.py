@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import cursor
 from ..sources.stage import cut
 
 
@@ -50,6 +51,15 @@ def zones(found: DataFrame, cap: int = 8) -> DataFrame:
     return first.join(total, keys)
 
 
+def zone_lists(found: DataFrame, cap: int = 8) -> DataFrame:
+    """(center, rel, neighbors, total, next_cursor): a relation's first ``cap`` neighbours in one row, and where to read on
+    if there are more."""
+    row = F.struct("n", "node_id", cursor("origin", "rel", "dir", "node_id").alias("at"))
+    lists = zones(found, cap).groupBy("center", "rel", "total").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    more = F.when(F.col("total") > F.size("rows"), F.element_at("rows", -1)["at"])
+    return lists.select("center", "rel", F.col("rows.node_id").alias("neighbors"), "total", more.alias("next_cursor"))
+
+
 def context(ends: DataFrame, ids: DataFrame, fanout: int = 10, depth: int = 2) -> DataFrame:
     """(root, depth, path, leaf, rel, truncated): the tree of neighbours under each of ``ids`` (column ``center``), at most
     ``fanout`` children a node in keyset order.
@@ -127,4 +137,4 @@ def nested_runs(runs: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
     return out.select("root_id", "run_id", "depth", F.array_join("place", ">").alias("place"))
 
 
-__all__ = ["after", "around", "chased", "context", "live", "neighbors", "nested_runs", "page", "run_tree", "zones"]
+__all__ = ["after", "around", "chased", "context", "live", "neighbors", "nested_runs", "page", "run_tree", "zone_lists", "zones"]

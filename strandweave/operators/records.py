@@ -98,3 +98,11 @@ def vocabulary(seeds: dict[str, list[str]], proposals: DataFrame) -> DataFrame:
     added = proposals.where("status = 'resolved'").select("axis", "value").distinct().join(F.broadcast(known), ["axis", "value"], "left_anti")
     waiting = proposals.where("status = 'pending'").select("axis", "value", F.lit("proposed").alias("origin"), "item_id")
     return known.select("axis", "value", F.lit("seed").alias("origin"), none).union(added.select("axis", "value", F.lit("added"), none)).union(waiting)
+
+
+def review_page(items: DataFrame, status: str | None, kind: str | None, limit: int | None = None, usual: int = 50, most: int = 200) -> DataFrame:
+    """The newest items of a status and kind, each blank or ``all`` for any; ``limit`` is kept between 1 and ``most``."""
+    wanted = (kind or "").strip()
+    found = status_filter(items, status)
+    found = found if wanted.lower() in ("", "all") else found.where(F.col("kind") == wanted)
+    return found.orderBy(F.desc("created_at"), F.desc("item_id")).limit(max(1, min(usual if limit is None else limit, most)))

@@ -161,9 +161,9 @@ def neighbor_zones(m):
     return G.zones(_near(m)).select("center", "rel", "node_id", F.col("n").cast("long").alias("n"), "total")
 
 
-@query(f"{_AROUND} select center, rel, count(*) as total, count(*) > 8 as more from near group by 1, 2", "nodes", "edges")
+@query(f"{_AROUND}, z as (select *, row_number() over (partition by center, rel order by origin, dir, node_id) as n, count(*) over (partition by center, rel) as total from near) select center, rel, string_agg(node_id, ',' order by n) as neighbors, total, case when total > 8 then max(rtrim(translate(to_base64(encode(cast(to_json([origin, rel, dir, node_id]) as varchar))), '+/', '-_'), '=')) filter (where n = 8) end as next_cursor from z where n <= 8 group by center, rel, total", "nodes", "edges")
 def zones_group(m):
-    return _near(m).groupBy("center", "rel").agg(F.count("*").alias("total")).withColumn("more", F.col("total") > 8)
+    return G.zone_lists(_near(m)).withColumn("neighbors", F.array_join("neighbors", ","))
 
 
 @query("select id, type, title from nodes where id = 'c:0000000007'", "nodes")
@@ -411,11 +411,11 @@ def tag_remap(m):
     return m.nodes.where("type = 'memory'").select("id", F.array_join(F.array_distinct(F.transform("tags", lambda t: F.coalesce(to[t], t))), ",").alias("tags"))
 
 
-@query("select e.src, e.dst, e.rel, s.title as src_title from edges e join nodes s on s.id = e.src and s.merged_into is null join nodes d on d.id = e.dst and d.merged_into is null where origin = 'canonical' and rel not in ('involves', 'about')", "edges", "nodes")
+@query("select e.src, s.title as src_title, e.rel, e.dst, d.title as dst_title, b.body as excerpt from edges e join nodes s on s.id = e.src and s.merged_into is null join nodes d on d.id = e.dst and d.merged_into is null left join bodies b on b.node_id = e.src where origin = 'canonical' and rel <> 'about' order by s.created_on desc nulls last, e.src, e.rel, e.dst limit 500", "edges", "nodes", "bodies")
 def edge_inventory(m):
-    n = G.live(m.nodes)
-    e = m.edges.where("origin = 'canonical' and rel not in ('involves', 'about')")
-    return e.join(n.select(F.col("id").alias("src"), F.col("title").alias("src_title")), "src").join(n.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "rel", "src_title")
+    """The newest nodes' edges of other relations than one, with both titles and the first words of the source."""
+    first = m.bodies.select("node_id", F.lit(0).alias("chunk_index"), F.col("body").alias("content"))
+    return E.edge_inventory(m.nodes, m.edges, first, "about", 500)
 
 
 @query("select distinct src, dst, case when rel = 'at' and src like 's:%' then 'part_of' else rel end as rel from edges", "edges")

@@ -97,12 +97,12 @@ def maybe_digest(m):
     return m.review_queue.where("status = 'maybe'").agg(F.count("*").alias("n"), F.max(age).cast("long").alias("oldest_days"))
 
 
-@query("select item_id, kind, created_at from review_queue where status = 'pending' order by created_at desc, item_id desc limit 50", "review_queue")
+@query("(select item_id, kind, status, created_at, 'pending' as listed from review_queue where status = 'pending' order by created_at desc, item_id desc limit 50) union all (select item_id, kind, status, created_at, 'any occurred' from review_queue where kind = 'occurred' order by created_at desc, item_id desc limit 200)", "review_queue")
 def review_list(m):
-    waiting = m.review_queue.where("status = 'pending'").select("item_id", "kind", "created_at")
-    return waiting.orderBy(F.desc("created_at"), F.desc("item_id")).limit(50)
-
-
+    """Two lists: what waits, and the items of one kind whatever their status, as many as may be asked for."""
+    rows = m.review_queue.select("item_id", "kind", "status", "created_at")
+    waiting = R.review_page(rows, " Pending ", None).withColumn("listed", F.lit("pending"))
+    return waiting.union(R.review_page(rows, "all", "occurred", 9_999).withColumn("listed", F.lit("any occurred")))
 
 
 @query("+ a as (select distinct agent from agent_runs union select 'backfill') select a.agent, coalesce(max(started_at) filter (where status = 'succeeded'), timestamp '2024-12-31' - interval 30 day) as watermark from a left join agent_runs r on r.agent = a.agent group by 1", "agent_runs")

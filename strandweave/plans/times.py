@@ -90,13 +90,13 @@ def resolve_month(m):
     return m.orders.select("o_orderkey", *[F.year(A.month_named(d, k, w)).cast("long").alias(f"{w}_year") for w in ("last", "next")], A.month_named(d, k, "this").alias("this_month"))
 
 
-@query("select o_orderkey, o as offset_years, make_date(cast(year(o_orderdate) + o as int), 12, 1) as first, last_day(make_date(cast(year(o_orderdate) + o + 1 as int), 2, 1)) as last, 'winter ' || (year(o_orderdate) + o) as label from orders, (select unnest([-1, 0, 1]) as o)")
+@query(f"select o_orderkey, o as offset_years, make_date(cast(year(o_orderdate) + o as int), cast(o_orderkey % 4 * 3 + 3 as int), 1) as first, last_day(cast(make_date(cast(year(o_orderdate) + o as int), cast(o_orderkey % 4 * 3 + 3 as int), 1) + interval 2 month as date)) as last, case o_orderkey % 4 when 0 then 'spring' when 1 then 'summer' when 2 then 'autumn' else 'winter' end || ' ' || (year(o_orderdate) + o) as label from orders, (select unnest([-1, 0, 1]) as o)")
 def resolve_season(m):
-    d = F.to_date("o_orderdate")
+    """A season of last, this or next year; winter ends in the year after its own."""
     rows = m.orders.withColumn("offset_years", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    year = F.year(d) + F.col("offset_years")
-    first = F.make_date(year, F.lit(12), F.lit(1))
-    return rows.select("o_orderkey", "offset_years", first.alias("first"), F.last_day(F.add_months(first, 2)).alias("last"), F.concat(F.lit("winter "), year.cast("string")).alias("label"))
+    year, k = F.year(F.to_date("o_orderdate")) + F.col("offset_years"), (F.col("o_orderkey") % 4).cast("int")
+    first, last = A.season_named(year, k)
+    return rows.select("o_orderkey", "offset_years", first.alias("first"), last.alias("last"), F.concat(F.element_at(F.array(*map(F.lit, A.SEASONS)), k + 1), F.lit(" "), year.cast("string")).alias("label"))
 
 
 @query(f"{_ENDS} select body.node_id, replace(body, '[[t:' || x || ']]', '[[t:2020-01-01]]') as body, a = cast(recorded as varchar) as moves from good join bodies body on body.node_id = good.node_id where k = 1", "bodies")

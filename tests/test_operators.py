@@ -88,3 +88,23 @@ def test_feed_pages_join_up(spark):
     for bad in ("", "!!", "e30=", A.encoded(dt.datetime(2024, 1, 1), "a")[:-6]):
         with pytest.raises(A.BadCursor):
             A.decoded(bad)
+
+
+def test_zone_lists_say_where_to_read_on(spark):
+    rows = [("c", "at", "canonical", "in", f"n{k:02d}") for k in range(5)] + [("c", "in", "canonical", "out", "x"), ("d", "at", "derived", "in", "y")]
+    found = spark.createDataFrame(rows, "center string, rel string, origin string, dir string, node_id string")
+    lists = {(r.center, r.rel): r for r in G.zone_lists(found, 2).collect()}
+    first = lists["c", "at"]
+    assert first.neighbors == ["n00", "n01"] and first.total == 5 and lists["c", "in"].next_cursor is None and lists["d", "at"].total == 1
+    at = one(spark, C.cursor("origin", "rel", "dir", "node_id"), origin="canonical", rel="at", dir="in", node_id="n01")
+    assert first.next_cursor == at
+    rest = G.page(found.where("center = 'c' and rel = 'at'"), 10, ("canonical", "at", "in", "n01")).collect()
+    assert [r.node_id for r in rest] == ["n02", "n03", "n04"]
+
+
+def test_review_pages_are_clamped(spark):
+    from strandweave.operators import records as R
+
+    items = spark.range(300).select(F.col("id").alias("item_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"), F.when(F.col("id") % 3 == 0, "pending").otherwise("maybe").alias("status"), F.col("id").alias("created_at"))
+    assert [R.review_page(items, s, k, n).count() for s, k, n in ((None, None, None), ("all", "", 9_999), ("pending", "a", 0), (" Pending", "b", 60))] == [50, 200, 1, 50]
+    assert R.review_page(items, "", " ALL ", 1).first().item_id == 299
