@@ -6,7 +6,8 @@ center and one of ``SPREAD`` shares of its neighbours and sorted by (center, ori
 nodes skip most row groups, a listing comes in its order, and a hub with a third of all edges lies in ``SPREAD`` files,
 not in one as buckets would have it.  What is above the scan is then a partial aggregation or a bounded top list a task.
 
-A store lasts as long as the session's JVM and is made anew where the files that it was made from change.
+A store lasts as long as the session's JVM and is made anew where the files that it was made from change, or where it is
+gone itself.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ def _state(m: Model, tables: list[str]) -> tuple:
     return tuple(out)
 
 
+def _there(m: Model, path: str) -> bool:
+    at = m.spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(m.spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def both_ways(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges from either end, with the other end's columns; one pass over ``edges``."""
     way = lambda name, a, b: F.struct(F.col(a).alias("center"), F.lit(name).alias("dir"), F.col(b).alias("node_id"))
@@ -54,7 +60,7 @@ def clustered(rows: DataFrame) -> DataFrame:
 def stored(m: Model) -> DataFrame:
     """The store of the model's edges, made at the first use."""
     key = (m.spark.sparkContext.applicationId, m.sf_dir, _state(m, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]))
-    if key not in _STORES:
+    if key not in _STORES or not _there(m, _STORES[key].stored_at):
         _STORES[key] = clustered(both_ways(m.nodes, m.edges))
     return _STORES[key]
 

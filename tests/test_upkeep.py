@@ -170,3 +170,26 @@ def test_run_trees_are_deep(spark):
 def test_pointers_stop_at_rings(spark):
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8)], "node int, up int")
     assert {r.node: r.top for r in G.chased(ring).collect()}[7] == 8
+
+
+def test_edge_store_is_made_anew_when_it_is_gone(spark):
+    import shutil
+
+    from strandweave.sources import clustered as C
+    from strandweave.sources.bind import Model
+
+    first = C.stored(Model(spark, DATA))
+    assert C.stored(Model(spark, DATA)) is first
+    rows = first.count()
+    shutil.rmtree(first.stored_at)
+    again = C.stored(Model(spark, DATA))
+    assert again is not first and again.count() == rows
+    m = Model(spark, DATA)
+    both = {(r.center, r.rel, r.origin, r.dir, r.node_id) for r in m.ends.collect()}
+    live = {r.id for r in G.live(m.nodes).collect()}
+    plain = set()
+    for e in m.edges.collect():
+        plain |= {(e.src, e.rel, e.origin, "out", e.dst)} if e.dst in live else set()
+        plain |= {(e.dst, e.rel, e.origin, "in", e.src)} if e.src in live else set()
+    assert both == plain
+    assert {r.id for r in m.touched.collect()} == {x for e in m.edges.where("origin = 'canonical'").collect() for x in (e.src, e.dst)}
