@@ -3,8 +3,10 @@
 Every document of ``LEAST_WORDS`` words or more is winnowed to seeds: runs of ``SEED`` words whose hash is smallest in
 some window of ``WINDOW`` runs.  Each occurrence of a seed is joined with the seed's first holder, so a frequent
 passage costs one row an occurrence.  A stock sentence's first holder would hide later holders of a passage that goes
-on beyond the sentence; therefore sequences of seeds whose first holders don't agree are keys of their own (two
-neighbours, and as many as span ``SPAN`` words), and each is joined with the sequence's first holder.
+on beyond the sentence; therefore areas of seeds whose first holders don't agree are keys of their own.  An area's later
+holders are joined with its first one, which holds all that they have there.  In first holders, sequences of seeds (two
+neighbours, and as many as span ``SPAN`` words) are keys too, and each is joined with the sequence's first holder; so
+the sequences grow with the different areas and not with their holders.
 
 Per pair of documents, seeds on one diagonal merge into segments, and the best collinear chains of segments, with a
 gap cost in both documents, are read off a Fenwick tree of prefix maxima.  Each chain is then aligned on the two
@@ -99,10 +101,11 @@ def with_first(rows: DataFrame) -> DataFrame:
     return stage(rows.drop("fresh").join(keys.hint("merge"), "key"), "shared", rows, keys)
 
 
-def sequences(rows: DataFrame) -> DataFrame:
-    """(key, doc, word, point, words, points, rep_a, rep_b, fresh): sequences of shared seeds, two or spanning ``SPAN`` words, without
-    a window that has no seed in between, that do not lie on one diagonal of one first holder; with the distances of
-    the last seed from the first, and the first holders of both.  Which they are depends on the words alone, so all holders of a sequence agree."""
+def areas(rows: DataFrame) -> DataFrame:
+    """(key, doc, word, point, seeds, steps, points, reps, lines, fresh): stretches of shared seeds without a window that has no seed
+    in between, where their first holders or diagonals differ; ``steps`` and ``points`` are the seeds' distances from the first one.
+
+    Equal seeds at equal distances have one key; what else is in the row (but for doc, word and points) follows from it."""
     rows = rows.select("doc", "word", "point", "key", "rep", "rep_word").repartition("doc").sortWithinPartitions("doc", "word")
 
     @tidy
@@ -110,24 +113,75 @@ def sequences(rows: DataFrame) -> DataFrame:
         for c in whole_groups(batches, 1):
             once = np.append(True, (np.diff(c[0]) != 0) | (np.diff(c[1]) != 0))
             doc, word, point, key, rep, rep_word = (x[once] for x in c)
-            n = len(doc)
             line = word.astype(np.int64) - rep_word
-            new = np.append(False, np.diff(doc) != 0)
-            turn = np.cumsum(new | np.append(False, (np.diff(rep) != 0) | (np.diff(line) != 0)))
-            hole = np.cumsum(new | np.append(False, np.diff(word) > WINDOW))
-            place = (np.cumsum(new).astype(np.int64) << 32) + word
+            hole = np.append(True, (np.diff(doc) != 0) | (np.diff(word) > WINDOW))
+            turn = hole | np.append(True, (np.diff(rep) != 0) | (np.diff(line) != 0))
+            start = np.flatnonzero(hole)
+            size = np.diff(np.append(start, len(doc)))
+            several = np.add.reduceat(turn.astype(np.int64), start) > 1
+            kept = np.repeat(several, size)
+            start, size = start[several], size[several]
+            if not len(start):
+                continue
+            at = np.append(0, np.cumsum(size))
+            step = word[kept] - np.repeat(word[start], size)
+            with np.errstate(over="ignore"):
+                each = mix(key[kept].view(np.uint64)) * (2 * step.astype(np.uint64) + np.uint64(1))
+                name = mix(np.add.reduceat(each, at[:-1])).view(np.int64)
+            lists = [key[kept], step.astype(np.int32), (point[kept] - np.repeat(point[start], size)).astype(np.int32), rep[kept], line[kept] - np.repeat(line[start], size)]
+            columns = [pa.array(x) for x in (name, doc[start], word[start], point[start])]
+            columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in lists]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(_fresh(doc[start], name))], names)
+
+    names = ["key", "doc", "word", "point", "seeds", "steps", "points", "reps", "lines", "fresh"]
+    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, seeds array<bigint>, steps array<int>, points array<int>, reps array<bigint>, lines array<bigint>, fresh boolean")
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """The stored areas ``rows`` with the first document ``rep`` that holds an equal one, and its place there.  ``rows`` is dropped."""
+    place = F.expr("min_by(shiftleft(cast(word as bigint), 32) + point, if(fresh, doc, null))")
+    keys = stage(rows.groupBy("key").agg(F.min("doc").alias("rep"), place.alias("place")), "area-keys")
+    rows_with = rows.drop("fresh").join(keys.hint("merge"), "key")
+    rows_with = rows_with.selectExpr("*", "cast(shiftright(place, 32) as int) as rep_word", "cast(place & 2147483647 as int) as rep_point").drop("place", "key")
+    return stage(rows_with, "classes", rows, keys)
+
+
+def stepped(rows: DataFrame) -> DataFrame:
+    """Matches of the areas ``rows`` with their first holder: as few seeds as make one segment of each area."""
+    few = f"""aggregate(sequence(0, size(steps) - 1), array(0),
+        (acc, k) -> if(k + 1 = size(steps) or get(steps, k + 1) - steps[element_at(acc, -1)] > {2 * WINDOW + SEED}, array_append(acc, k), acc), acc -> array_distinct(acc))"""
+    rows = rows.select("doc", "rep", "word", "rep_word", "point", "rep_point", "steps", "points", F.explode(F.expr(few)).alias("k"))
+    return rows.selectExpr("doc", "rep", "word + steps[k] as word", "rep_word + steps[k] as rep_word", "point + points[k] as point", "rep_point + points[k] as rep_point")
+
+
+def sequences(rows: DataFrame) -> DataFrame:
+    """(key, doc, word, point, words, points, rep_a, rep_b, fresh): sequences of an area's seeds, two or spanning ``SPAN`` words, that
+    do not lie on one diagonal of one first holder; with the distances of the last seed from the first, and the first holders of both.
+    Which they are depends on the words alone, so all holders of a sequence agree."""
+    rows = rows.select("doc", "word", "point", "seeds", "steps", "points", "reps", "lines").repartition("doc").sortWithinPartitions("doc", "word")
+
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in whole_groups(batches, 1):
+            size = np.array([len(x) for x in c[3]])
+            area = np.repeat(np.arange(len(size)), size)
+            key, step, points, rep, line = (np.concatenate(x) for x in c[3:])
+            doc, word, point = c[0][area], c[1][area] + step, c[2][area] + points
+            n = len(doc)
+            turn = np.cumsum(np.append(False, (np.diff(area) != 0) | (np.diff(rep) != 0) | (np.diff(line) != 0)))
+            place = (area.astype(np.int64) << 32) + step
             out = []
             with np.errstate(over="ignore"):
-                step = mix(key.view(np.uint64)) * np.uint64(0xD1342543DE82EF95)
-                total = np.append(np.uint64(0), np.cumsum(step * (2 * word.astype(np.uint64) + np.uint64(1))))
-                plain = np.append(np.uint64(0), np.cumsum(step))
+                each = mix(key.view(np.uint64)) * np.uint64(0xD1342543DE82EF95)
+                total = np.append(np.uint64(0), np.cumsum(each * (2 * step.astype(np.uint64) + np.uint64(1))))
+                plain = np.append(np.uint64(0), np.cumsum(each))
                 for kind, last in ((1, np.arange(1, n + 1)), (2, np.searchsorted(place, place + (SPAN - SEED)))):
                     i = np.flatnonzero(last < n)
                     j = last[i]
-                    ok = (hole[i] == hole[j]) & (turn[i] != turn[j]) & (j - i >= kind)
+                    ok = (area[i] == area[j]) & (turn[i] != turn[j]) & (j - i >= kind)
                     i, j = i[ok], j[ok]
                     # seeds and their distances from the first one
-                    inside = total[j + 1] - total[i] - (plain[j + 1] - plain[i]) * (2 * word[i].astype(np.uint64))
+                    inside = total[j + 1] - total[i] - (plain[j + 1] - plain[i]) * (2 * step[i].astype(np.uint64))
                     out.append((mix(inside + np.uint64(kind)).view(np.int64), i, j))
             k, i, j = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, doc[i], word[i], point[i], word[j] - word[i], point[j] - point[i], rep[i], rep[j], _fresh(doc[i], k))], names)
@@ -463,12 +517,13 @@ def passages(docs: DataFrame) -> DataFrame:
     ``docs``: rows (doc, text), equal ones for one document."""
     short_batches(docs.sparkSession)
     single = with_first(stage(seeds(docs), "seeds"))
-    longer = with_first(stage(sequences(single), "sequences"))
+    alike = classes(stage(areas(single), "areas"))
+    longer = with_first(stage(sequences(alike.where("doc = rep")), "sequences"))
     # a sequence stands for its first and last seed, each where the seed itself was not joined with that holder already
     first = longer.where("doc > rep and rep <> rep_a").select("doc", "rep", "word", "rep_word", "point", "rep_point")
     last = longer.where("doc > rep and rep <> rep_b").selectExpr("doc", "rep", "word + words", "rep_word + words", "point + points", "rep_point + points")
-    matches = single.where("doc > rep").select(*first.columns).union(first).union(last)
-    return between(docs, matches, single, longer)
+    matches = single.where("doc > rep").select(*first.columns).union(stepped(alike.where("doc > rep")).select(*first.columns)).union(first).union(last)
+    return between(docs, matches, single, alike, longer)
 
 
 def merged(found: DataFrame) -> DataFrame:
