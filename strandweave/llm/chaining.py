@@ -6,7 +6,9 @@ passage costs one row an occurrence.  A stock sentence's first holder would hide
 on beyond the sentence; therefore areas of seeds whose first holders don't agree are keys of their own.  An area's later
 holders are joined with its first one, which holds all that they have there.  In first holders, sequences of seeds (two
 neighbours, and as many as span ``SPAN`` words) are keys too, and each is joined with the sequence's first holder; so
-the sequences grow with the different areas and not with their holders.
+the sequences grow with the different areas and not with their holders.  Where own words are so few that winnowing
+takes no seed with them, whole runs of ``LEAST_WORDS`` words are keys: those that reach beyond a stretch of shared
+seeds, or, in first holders of an area, from one first holder's seeds to another's.
 
 Per pair of documents, seeds on one diagonal merge into segments, and the best collinear chains of segments, with a
 gap cost in both documents, are read off a Fenwick tree of prefix maxima.  Each chain is then aligned on the two
@@ -39,6 +41,7 @@ from .textkit import mix, shingles, slices, strings, tidy, words
 
 SEED, WINDOW, LEAST_WORDS, SIMILARITY = 5, 8, 50, 0.8
 SPAN = LEAST_WORDS - 2 * (WINDOW - 1)  #: every exact passage holds a sequence of seeds that spans so many words
+RUNGS = tuple(range(0, LEAST_WORDS - SEED + 1, 3 * SEED))  #: words at which a match of ``LEAST_WORDS`` stands among seeds; they make one segment
 EDGE_WORDS = LEAST_WORDS + 2 * WINDOW
 LEAST_SPAN = 2 * SEED  #: words that a chain spans at least, in this document; shorter ones are chance phrases
 GAP = 0.1  #: cost of a word skipped in either document
@@ -190,6 +193,76 @@ def sequences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, words int, points int, rep_a bigint, rep_b bigint, fresh boolean")
 
 
+def ends(rows: DataFrame) -> DataFrame:
+    """(doc, low, high): places of ``LEAST_WORDS`` words that reach beyond a stretch of shared seeds and have seeds in every
+    window; such words may be shared where the stretch is a stock sentence with other first holders."""
+    rows = rows.select("doc", "word").repartition("doc").sortWithinPartitions("doc", "word")
+
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, word in whole_groups(batches, 1):
+            start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(word) > WINDOW)))
+            a, z = word[start].astype(np.int64), word[np.append(start[1:], len(word)) - 1].astype(np.int64)
+            high = z + 1 - (LEAST_WORDS - SEED - WINDOW + 1)  # one after the last place whose windows all have seeds
+            within = z + SEED - LEAST_WORDS + 1  # one after the last place inside the stretch
+            low = np.concatenate([np.maximum(a - WINDOW + 1, 0), np.maximum(np.maximum(a, within), 0)])
+            high = np.concatenate([np.minimum(a, high), high])
+            ok = low < high
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (np.tile(doc[start], 2), low.astype(np.int32), high.astype(np.int32))], ["doc", "low", "high"])
+
+    return rows.mapInArrow(made, "doc bigint, low int, high int")
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    """(doc, low, high): places of ``LEAST_WORDS`` words inside the areas ``rows`` that do not lie on one diagonal of one first holder."""
+
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, word, steps, reps, lines = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            out: list[tuple[int, int, int]] = []
+            for d, w, step, rep, line in zip(doc, word, steps, reps, lines, strict=True):
+                cut = np.flatnonzero((np.diff(rep) != 0) | (np.diff(line) != 0)) + 1
+                # from where a turn's own places end to where the next one's begin, within the area
+                begin, end = step[np.append(0, cut)], step[np.append(cut, len(step)) - 1] + SEED - LEAST_WORDS + 1
+                low, high = np.maximum(begin, end), np.minimum(np.append(begin[1:], end[-1]), end[-1])
+                out += [(int(d), int(w + x), int(w + y)) for x, y in zip(low, high, strict=True) if x < y]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], ["doc", "low", "high"])
+
+    return rows.select("doc", "word", "steps", "reps", "lines").mapInArrow(made, "doc bigint, low int, high int")
+
+
+def whole(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, doc, word, point, points, fresh): keys of all ``LEAST_WORDS`` words at ``places`` (doc, low, high), the last being left out,
+    with the distances in code points of the words ``RUNGS`` from the first."""
+    asked = places.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("places"))
+
+    @tidy
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(strings(batch.column(1))):
+                w = words(part)
+                wanted = batch.column(2).slice(at, len(part))
+                own = np.repeat(np.arange(len(part)), [len(x) for x in wanted])
+                flat = wanted.flatten()
+                low, high = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) + w.first[own] for k in (0, 1))
+                size = np.maximum(np.minimum(high, w.first[own + 1] - LEAST_WORDS + 1) - low, 0)
+                place = np.unique(np.repeat(low - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()))
+                total = np.zeros(len(place), np.uint64)
+                with np.errstate(over="ignore"):
+                    for k in range(LEAST_WORDS):
+                        total = total * np.uint64(0xD1342543DE82EF95) + w.hash[place + k]
+                key, doc, points = mix(total).view(np.int64), w.doc[place], w.points()
+                point = points[w.start[place]]
+                rungs = np.stack([points[w.start[place + k]] - point for k in RUNGS], 1).astype(np.int32)
+                rungs = pa.FixedSizeListArray.from_arrays(pa.array(rungs.ravel()), len(RUNGS)).cast(pa.list_(pa.int32()))
+                columns = [pa.array(key), batch.column(0).slice(at, len(part)).take(pa.array(doc)), pa.array((place - w.first[doc]).astype(np.int32)), pa.array((point - points[w.offsets[doc]]).astype(np.int32)), rungs]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(_fresh(doc, key))], ["key", "doc", "word", "point", "points", "fresh"])
+
+    rows = docs.join(asked.hint("merge"), "doc").select("doc", "text", "places")
+    return rows.mapInArrow(made, "key bigint, doc bigint, word int, point int, points array<int>, fresh boolean")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
     """The batches' columns with rows that are equal in the first ``keys`` columns kept together (they come sorted)."""
     kept: list[np.ndarray] | None = None
@@ -522,7 +595,10 @@ def passages(docs: DataFrame) -> DataFrame:
     # a sequence stands for its first and last seed, each where the seed itself was not joined with that holder already
     first = longer.where("doc > rep and rep <> rep_a").select("doc", "rep", "word", "rep_word", "point", "rep_point")
     last = longer.where("doc > rep and rep <> rep_b").selectExpr("doc", "rep", "word + words", "rep_word + words", "point + points", "rep_point + points")
-    matches = single.where("doc > rep").select(*first.columns).union(stepped(alike.where("doc > rep")).select(*first.columns)).union(first).union(last)
+    exact = with_first(stage(whole(docs, ends(single).union(turns(alike.where("doc = rep")))), "whole")).where("doc > rep")
+    exact = exact.select("doc", "rep", "word", "rep_word", "point", "rep_point", F.explode(F.arrays_zip(F.array(*map(F.lit, RUNGS)).alias("w"), F.col("points").alias("p"))).alias("at"))
+    exact = exact.selectExpr("doc", "rep", "word + at.w", "rep_word + at.w", "point + at.p", "rep_point + at.p")
+    matches = single.where("doc > rep").select(*first.columns).union(exact).union(stepped(alike.where("doc > rep")).select(*first.columns)).union(first).union(last)
     return between(docs, matches, single, alike, longer)
 
 

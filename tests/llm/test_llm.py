@@ -459,6 +459,25 @@ def test_passages_behind_stock_sentences(spark):
     assert not missed
 
 
+def test_passages_that_are_nearly_all_stock(spark):
+    r = random.Random(14)
+    fresh = lambda n: [f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(n)]
+    shapes = [(1, 49, 1), (4, 46, 4), (3, 44, 8), (1, 48, 1), (0, 49, 1), (7, 36, 7)]
+    rows, own = [], {}
+    for k in range(20 * len(shapes)):
+        a, n, b = shapes[k % len(shapes)]
+        stock = fresh(n)
+        if k % 2:  # two stock sentences that a third document holds side by side
+            half = n // 2
+            rows += [(1000 + k, fresh(40) + stock[:half] + fresh(40)), (2000 + k, fresh(40) + stock[half:] + fresh(40))]
+        p = fresh(a) + stock + fresh(b)
+        own[9000 + k] = fresh(40), fresh(60)
+        rows += [(3000 + k, fresh(40) + stock + fresh(60)), (6000 + k, fresh(50) + p + fresh(50)), (9000 + k, own[9000 + k][0] + p + own[9000 + k][1])]
+    found = {x.doc_id: x for x in chaining.without_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id bigint, text string")).collect()}
+    assert all(found[k].spans is None for k in found if k < 9000)
+    assert not [k for k, (a, b) in own.items() if found[k].text.split() != a + b]
+
+
 def test_changed_passages(spark):
     r = random.Random(13)
     fresh = lambda n: [f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(n)]
