@@ -7,8 +7,8 @@ on beyond the sentence; therefore areas of seeds whose first holders don't agree
 holders are joined with its first one, which holds all that they have there.  In first holders, sequences of seeds (two
 neighbours, and as many as span ``SPAN`` words) are keys too, and each is joined with the sequence's first holder; so
 the sequences grow with the different areas and not with their holders.  Where own words are so few that winnowing
-takes no seed with them, whole runs of ``LEAST_WORDS`` words are keys: those that reach beyond a stretch of shared
-seeds, or, in first holders of an area, from one first holder's seeds to another's.
+takes no seed with them, whole runs of ``LEAST_WORDS`` words are keys: those that reach beyond a stretch of shared seeds.  Beyond a stretch that is long enough
+to be a passage itself they are not asked for: up to ``WINDOW`` - 1 words next to it may stay though a third document has them too.
 
 Per pair of documents, seeds on one diagonal merge into segments, and the best collinear chains of segments, with a
 gap cost in both documents, are read off a Fenwick tree of prefix maxima.  Each chain is then aligned on the two
@@ -195,43 +195,32 @@ def sequences(rows: DataFrame) -> DataFrame:
 
 def ends(rows: DataFrame) -> DataFrame:
     """(doc, low, high): places of ``LEAST_WORDS`` words that reach beyond a stretch of shared seeds and have seeds in every
-    window; such words may be shared where the stretch is a stock sentence with other first holders."""
-    rows = rows.select("doc", "word").repartition("doc").sortWithinPartitions("doc", "word")
+    window; such words may be shared where the stretch is a stock sentence with other first holders.
+
+    Where the seeds on one diagonal at that end span ``LEAST_WORDS`` words they are a passage themselves, and there are no such places."""
+    rows = rows.select("doc", "word", "rep", "rep_word").repartition("doc").sortWithinPartitions("doc", "word")
 
     @tidy
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, word in whole_groups(batches, 1):
-            start = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(word) > WINDOW)))
-            a, z = word[start].astype(np.int64), word[np.append(start[1:], len(word)) - 1].astype(np.int64)
+        for doc, word, rep, rep_word in whole_groups(batches, 1):
+            word = word.astype(np.int64)
+            hole = np.append(True, (np.diff(doc) != 0) | (np.diff(word) > WINDOW))
+            turn = np.flatnonzero(hole | np.append(True, (np.diff(rep) != 0) | (np.diff(word - rep_word) != 0)))
+            span = word[np.append(turn[1:], len(word)) - 1] + SEED - word[turn]
+            start = np.flatnonzero(hole)
+            stop = np.append(start[1:], len(word))
+            head, tail = span[np.searchsorted(turn, start)], span[np.searchsorted(turn, stop) - 1]
+            a, z = word[start], word[stop - 1]
             high = z + 1 - (LEAST_WORDS - SEED - WINDOW + 1)  # one after the last place whose windows all have seeds
             within = z + SEED - LEAST_WORDS + 1  # one after the last place inside the stretch
             low = np.concatenate([np.maximum(a - WINDOW + 1, 0), np.maximum(np.maximum(a, within), 0)])
             high = np.concatenate([np.minimum(a, high), high])
-            ok = low < high
+            ok = (low < high) & (np.append(head, tail) < LEAST_WORDS)
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (np.tile(doc[start], 2), low.astype(np.int32), high.astype(np.int32))], ["doc", "low", "high"])
 
     return rows.mapInArrow(made, "doc bigint, low int, high int")
 
 
-def turns(rows: DataFrame) -> DataFrame:
-    """(doc, low, high): places of ``LEAST_WORDS`` words inside the areas ``rows`` that do not lie on one diagonal of one first holder."""
-
-    @tidy
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, word, steps, reps, lines = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            out: list[tuple[int, int, int]] = []
-            for d, w, step, rep, line in zip(doc, word, steps, reps, lines, strict=True):
-                cut = np.flatnonzero((np.diff(rep) != 0) | (np.diff(line) != 0)) + 1
-                # from where a turn's own places end to where the next one's begin, within the area
-                begin, end = step[np.append(0, cut)], step[np.append(cut, len(step)) - 1] + SEED - LEAST_WORDS + 1
-                low, high = np.maximum(begin, end), np.minimum(np.append(begin[1:], end[-1]), end[-1])
-                out += [(int(d), int(w + x), int(w + y)) for x, y in zip(low, high, strict=True) if x < y]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], ["doc", "low", "high"])
-
-    return rows.select("doc", "word", "steps", "reps", "lines").mapInArrow(made, "doc bigint, low int, high int")
-
-
 def whole(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, doc, word, point, points, fresh): keys of all ``LEAST_WORDS`` words at ``places`` (doc, low, high), the last being left out,
     with the distances in code points of the words ``RUNGS`` from the first."""
@@ -595,7 +584,7 @@ def passages(docs: DataFrame) -> DataFrame:
     # a sequence stands for its first and last seed, each where the seed itself was not joined with that holder already
     first = longer.where("doc > rep and rep <> rep_a").select("doc", "rep", "word", "rep_word", "point", "rep_point")
     last = longer.where("doc > rep and rep <> rep_b").selectExpr("doc", "rep", "word + words", "rep_word + words", "point + points", "rep_point + points")
-    exact = with_first(stage(whole(docs, ends(single).union(turns(alike.where("doc = rep")))), "whole")).where("doc > rep")
+    exact = with_first(stage(whole(docs, ends(single)), "whole")).where("doc > rep")
     exact = exact.select("doc", "rep", "word", "rep_word", "point", "rep_point", F.explode(F.arrays_zip(F.array(*map(F.lit, RUNGS)).alias("w"), F.col("points").alias("p"))).alias("at"))
     exact = exact.selectExpr("doc", "rep", "word + at.w", "rep_word + at.w", "point + at.p", "rep_point + at.p")
     matches = single.where("doc > rep").select(*first.columns).union(exact).union(stepped(alike.where("doc > rep")).select(*first.columns)).union(first).union(last)
