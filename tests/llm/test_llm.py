@@ -191,6 +191,53 @@ def test_boilerplate_without_article(spark):
     assert expected[5] == story[5] and expected[90] == story[0] and expected[91] == f"{story[1]}\n{junk[1]}"
 
 
+def test_boilerplate_inside_articles(spark):
+    """Articles against brute force over all pages: what most articles of a host hold goes, rarer repeats stay."""
+    r = random.Random(12)
+
+    def some(n):
+        return " ".join(r.choices(VOCAB, k=n))
+
+    notice, stock, dated = some(20), some(20), some(16)
+    rows = []
+    for host, n in (("a", 10), ("b", 90), ("c", 2), ("d", 6)):
+        for k in range(n):
+            parts = [some(40), notice if k % 9 else some(25), stock if k % 2 else some(9), f"{dated} no {k} of {r.random()}", some(30)]
+            rows.append((len(rows), f"http://{host}.example/{k}", "<body><nav>Home</nav><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"))
+    rows += [(len(rows) + k, "http://d.example/copy", rows[-1][2]) for k in range(3)]  # equal pages are one, but rows of their own
+    rows.append((len(rows), "http://a.example/x", f"<article><p>{notice}</p></article>"))  # nothing else: a copy
+    rows.append((len(rows), "http://a.example/y", f"<div>{notice}</div><div>{some(30)}</div>"))
+
+    grams, hosts = collections.defaultdict(lambda: ([], set())), collections.defaultdict(lambda: ([], set()))
+    streams = {}
+    for k, url, html in rows:
+        streams[k] = [b.text.split() for b in hostarray.blocks(html) if b.article]
+        t = [w for b in streams[k] for w in b]
+        for held in [hosts[url[:9]]] * bool(t) + [grams[url[:9], g] for g in {tuple(t[at : at + 8]) for at in range(len(t) - 7)}]:
+            held[0].append(k)
+            held[1].add(html)
+    expected = {}
+    for k, url, _ in rows[:-1]:
+        t = [w for b in streams[k] for w in b]
+        hit = [False] * len(t)
+        for at in range(len(t) - 7):
+            (n, pages), (of, of_pages) = grams[url[:9], tuple(t[at : at + 8])], hosts[url[:9]]
+            if len(pages) >= 3 and 2 * len(n) > len(of) and 2 * len(pages) > len(of_pages):
+                hit[at : at + 8] = [True] * 8
+        kept, at = [], 0
+        for b in streams[k]:
+            if sum(hit) > 0.9 * len(t) or sum(hit[at : at + len(b)]) <= len(b) / 2:
+                kept.append(" ".join(b))
+            at += len(b)
+        expected[k] = "\n".join(kept)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in (1, 30):
+        found = {x.page_id: x.text for x in hostarray.main_text(df.repartition(parts)).collect()}
+        found.pop(len(rows) - 1)
+        assert found == expected
+    assert notice not in expected[1] and dated not in expected[1] and stock in expected[1] and expected[101].count(dated) == 1 and expected[len(rows) - 2] == notice
+
+
 def test_repeated_menu_of_few_words(spark):
     pages = [(k, "http://a.example/", f"<body><div><a>Home</a> <a>News</a> now</div><div>{' '.join(rng.choices(VOCAB, k=30))}</div>") for k in range(4)]
     found = hostarray.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
