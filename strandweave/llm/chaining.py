@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ MATCH = 1.0
 MISS, MISS_LONG, LONG = -2.0, -3.0, 8  #: score of each word not in common, and where more than ``LONG`` of them stand together
 STRICT = -SIMILARITY / (1 - SIMILARITY)  #: in place of both inside a stretch that falls short of SIMILARITY
 _WORD = re.compile(r"[^\x00-\x20]+")
+_ODD = re.compile("[\x00-\x08\x0e-\x1b\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  #: where str.split finds other words
 
 
 def winnow(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -351,15 +353,16 @@ def chained(matches: DataFrame) -> DataFrame:
         owner = group[seg[:, 0]]
         at = np.flatnonzero(np.append(True, np.diff(owner) != 0))
         size = np.diff(np.append(at, len(seg)))
-        several = seg[:, 0] != seg[:, 1]
+        low, high = word[seg[:, 0]], word[seg[:, 1]] + SEED
+        long = high - low >= LEAST_SPAN
         # chains of several segments exist only where all the group's matches outweigh a gap between neighbours
         weight = np.add.reduceat((word[seg[:, 1]] - word[seg[:, 0]] + SEED).astype(float), at)
         gap = np.full(len(seg), np.inf)
         gap[1:] = np.where(np.diff(owner) == 0, word[seg[1:, 0]] - np.maximum.accumulate((owner << 33) + word[seg[:, 1]])[:-1] % (1 << 33) - SEED, np.inf)
-        near = np.minimum.reduceat(gap, at) * GAP < weight
-        for g in np.flatnonzero((size > 1) & near | np.logical_or.reduceat(several, at)).tolist():
+        near = (size > 1) & (np.minimum.reduceat(gap, at) * GAP < weight) & (np.maximum.reduceat(high, at) - np.minimum.reduceat(low, at) >= LEAST_SPAN)
+        for g in np.flatnonzero(near | np.logical_or.reduceat(long, at)).tolist():
             own = seg[at[g] : at[g] + size[g]]
-            picked = chains(word, other, own) if size[g] > 1 and near[g] else [[(int(s), int(e))] for s, e in own]
+            picked = chains(word, other, own) if near[g] else [[(int(s), int(e))] for s, e in own[long[at[g] : at[g] + size[g]]]]
             for chain in picked:
                 a, z = chain[0][0], chain[-1][1]
                 if word[z] + SEED - word[a] >= LEAST_SPAN:
@@ -420,10 +423,20 @@ def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _scores(pairs: list[tuple[int, int]], end: tuple[int, int]) -> np.ndarray:
-    """Score of an alignment up to each common word, and to ``end``, where one more is assumed."""
-    skipped = np.diff(np.array([(-1, -1), *pairs, end]), axis=0).max(1) - 1
-    return np.cumsum(MATCH + _missed(skipped))
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
+
+
+def _scores(pairs: list[tuple[int, int]], end: tuple[int, int]) -> tuple[float, float]:
+    """Best score of an alignment up to a common word (0 at least), and that up to ``end``, where one more is assumed."""
+    best = total = 0.0
+    x = y = -1
+    for i, j in (*pairs, end):
+        best = max(best, total)
+        skipped = (i - x if i - x > j - y else j - y) - 1
+        total += MATCH + (MISS_LONG if skipped > LONG else MISS) * skipped
+        x, y = i, j
+    return best, total
 
 
 def _missed(skipped: np.ndarray) -> np.ndarray:
@@ -440,16 +453,17 @@ def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     mid = _longest(a_mid, b_mid)
     if n == m and mid:
         level = [(k, k) for k in range(n) if a_mid[k] == b_mid[k]]
-        mid = max(level, mid, key=lambda x: _scores(x, (n, m))[-1])
+        mid = max(level, mid, key=lambda x: _scores(x, (n, m))[1])
     return [(k, k) for k in range(head)] + [(head + i, head + j) for i, j in mid] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def _onward(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """The same for what follows a chain, where only the beginnings need be alike: by diagonal or alignment, as scores more."""
+    short = min(len(a), len(b))
+    if a[:short] == b[:short]:
+        return [(k, k) for k in range(short)]
     level = [(k, k) for k, (p, q) in enumerate(zip(a, b, strict=False)) if p == q]
-    if len(level) == min(len(a), len(b)):
-        return level
-    return max(level, _longest(a, b), key=lambda x: _scores(x, x[-1])[:-1].max(initial=0.0) if x else 0.0)
+    return max(level, _longest(a, b), key=lambda x: _scores(x, x[-1])[0] if x else 0.0)
 
 
 def stretches(gain: list[float], loss: list[float]) -> list[tuple[int, int]]:
@@ -480,25 +494,38 @@ def align(before: str, after: str, rep_before: str, rep_after: str, links: list[
 
     ``before`` and ``after`` are the text up to and from the first seed, in this document and in the other.
     """
-    left, right = list(_WORD.finditer(before)), list(_WORD.finditer(after))
-    rep_left = _WORD.findall(rep_before)
-    a, b = [m.group() for m in left + right], rep_left + _WORD.findall(rep_after)
-    if (Counter(a) & Counter(b)).total() < SIMILARITY * LEAST_WORDS:
+    left, rep_left = _words(before), _words(rep_before)
+    a, b = left + _words(after), rep_left + _words(rep_after)
+    seeded = sum(links[k + 1] - links[k] for k in range(0, len(links), 4))
+    if seeded < SIMILARITY * LEAST_WORDS and (Counter(a) & Counter(b)).total() < SIMILARITY * LEAST_WORDS:
         return []
     at, rep_at = len(left), len(rep_left)
-    hits = [(at - 1 - i, rep_at - 1 - j) for i, j in reversed(_onward(a[:at][::-1], b[:rep_at][::-1]))]
+    xs: list[int] = []  #: words in common, by their numbers in either document
+    ys: list[int] = []
+
+    def hit(pairs: list[tuple[int, int]]) -> None:
+        xs.extend([at + i for i, _ in pairs])
+        ys.extend([rep_at + j for _, j in pairs])
+
+    hit([(-1 - i, -1 - j) for i, j in reversed(_onward(a[:at][::-1], b[:rep_at][::-1]))])
     for k in range(0, len(links), 4):
         x0, x1, y0, y1 = len(left) + links[k], len(left) + links[k + 1], len(rep_left) + links[k + 2], len(rep_left) + links[k + 3]
         over = max(0, at - x0, rep_at - y0)
         x0, y0 = x0 + over, y0 + over
-        hits += [(at + i, rep_at + j) for i, j in _matched(a[at:x0], b[rep_at:y0])]
+        hit(_matched(a[at:x0], b[rep_at:y0]))
         size = max(0, min(x1 - x0, y1 - y0))
-        hits += [(x0 + i, y0 + i) for i, (p, q) in enumerate(zip(a[x0 : x0 + size], b[y0 : y0 + size], strict=False)) if p == q]
+        at, rep_at = x0, y0
+        own, other = a[x0 : x0 + size], b[y0 : y0 + size]
+        if own == other:
+            xs.extend(range(x0, x0 + len(own)))
+            ys.extend(range(y0, y0 + len(own)))
+        else:
+            hit([(i, i) for i, (p, q) in enumerate(zip(own, other, strict=False)) if p == q])
         at, rep_at = x0 + size, y0 + size
-    hits += [(at + i, rep_at + j) for i, j in _onward(a[at:], b[rep_at:])]
-    if len(hits) < SIMILARITY * LEAST_WORDS:
+    hit(_onward(a[at:], b[rep_at:]))
+    if len(xs) < SIMILARITY * LEAST_WORDS:
         return []
-    x, y = np.array(hits).T
+    x, y = np.array(xs), np.array(ys)
     skipped = np.maximum(np.diff(x), np.diff(y)) - 1
     first = np.append(0, np.flatnonzero(skipped) + 1)
     size = np.diff(np.append(first, len(x)))
@@ -517,7 +544,7 @@ def align(before: str, after: str, rep_before: str, rep_after: str, links: list[
                 yield from found(low + s, low + e + 1, True)
 
     def point(k: int, end: bool) -> int:
-        m = left[k] if k < len(left) else right[k - len(left)]
+        m = next(islice(_WORD.finditer(before), k, None) if k < len(left) else islice(_WORD.finditer(after), k - len(left), None))
         return (m.end() if end else m.start()) - (len(before) if k < len(left) else 0)
 
     return [(point(i, False), point(j - 1, True), size) for i, j, size in found(0, len(first), False)]
@@ -562,15 +589,16 @@ def between(docs: DataFrame, matches: DataFrame, *used: DataFrame) -> DataFrame:
     rows = rows.join(texts.hint("merge"), "doc").select("doc", "rep", "start", "links", "rep_before", "rep_after", *window("start", "stop", ""))
 
     @tidy
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples():
-                for start, stop, size in align(r.before, r.after, r.rep_before, r.rep_after, list(r.links)):
-                    out.append((r.doc, r.start + start, r.start + stop, size, r.rep))
-            yield pd.DataFrame(out, columns=["doc", "start", "stop", "words", "source"])
+            for r in batch.to_pylist():
+                for start, stop, size in align(r["before"], r["after"], r["rep_before"], r["rep_after"], r["links"]):
+                    out.append((r["doc"], r["start"] + start, r["start"] + stop, size, r["rep"]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out, strict=True) if out else [()] * len(kind), kind, strict=True)], schema=kind)
 
-    return stage(rows.mapInPandas(aligned, "doc bigint, start int, stop int, words int, source bigint"), "passages", chain, ids, texts)
+    kind = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("words", pa.int32()), ("source", pa.int64())])
+    return stage(rows.mapInArrow(aligned, "doc bigint, start int, stop int, words int, source bigint"), "passages", chain, ids, texts)
 
 
 def passages(docs: DataFrame) -> DataFrame:

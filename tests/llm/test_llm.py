@@ -562,6 +562,19 @@ def test_longest_common_subsequence(monkeypatch):
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
 
 
+def test_alignment_with_odd_white_space():
+    """Words end at bytes up to 0x20 only; what str.split takes for white space besides is part of a word."""
+    body = [f"w{k}" for k in range(60)]
+    for odd in ("\x00", "\x1b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", " \n"):
+        inside = odd in "\x00\x1b\x1c \n"
+        mine, other = f"x{odd}y " + odd.join(body[:2]) + " " + " ".join(body[2:]), "z " + odd.join(body[:2]) + "\t" + " ".join(body[2:])
+        at, rep_at = mine.index("w2 "), other.index("w2 ")
+        (start, stop, size), = chaining.align(mine[:at], mine[at:], other[:rep_at], other[rep_at:], [0, 58, 0, 58])
+        assert mine[at + start : at + stop] == mine[mine.index("w0") :] and size == (60 if inside else 59), repr(odd)
+    far = " ".join(body[:20] + [f"v{k}" for k in range(40)])
+    assert chaining.align("", " ".join(body), "", far, [0, 20, 0, 20]) == []
+
+
 def test_chains_against_brute_force():
     for seed in range(20):
         r = random.Random(seed)
