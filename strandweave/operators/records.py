@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -17,25 +17,28 @@ def details(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
     return hubs.join(degrees.select("id", "degree"), "id", "left").select("id", "title", degree.alias("degree"), C.profile_tier(degree).alias("tier"))
 
 
-def observations(ends: DataFrame, ids: DataFrame) -> DataFrame:
+def observations(ends: DataFrame) -> DataFrame:
     """(center, rel, title, node_id, since, until), one per canonical edge; ``since`` falls back to the other end's date."""
-    found = ends.where("origin = 'canonical'").join(ids, "center", "left_semi")
-    return found.select("center", "rel", "title", "node_id", F.coalesce("since", "occurred_start").alias("since"), "until")
+    return ends.where("origin = 'canonical'").select("center", "rel", "title", "node_id", F.coalesce("since", "occurred_start").alias("since"), "until")
 
 
 def stubs(observed: DataFrame) -> DataFrame:
     """(center, n, text): a line per observation, by relation, newest first, undated last.
 
-    The text of a hub is one cell, so a hub's lines meet in one row; they are short and sorted inside it.
+    The text of a hub is one cell, so a hub's lines meet in one row; they are short, sorted inside it, and put into words there.
     """
-    since, until = F.date_format("since", "yyyy-MM-dd"), F.date_format("until", "yyyy-MM-dd")
-    stamp = F.when(F.col("since").isNotNull() & F.col("until").isNotNull(), F.concat(F.lit(" (as of "), since, F.lit(", until "), until, F.lit(")")))
-    stamp = stamp.when(F.col("since").isNotNull(), F.concat(F.lit(" (as of "), since, F.lit(")"))).when(F.col("until").isNotNull(), F.concat(F.lit(" (until "), until, F.lit(")"))).otherwise("")
-    line = F.concat(F.lit("["), "rel", F.lit("] "), "title", stamp)
-    age = F.coalesce(-F.unix_date("since"), F.lit(2**31 - 1))  # undated sorts behind every date
-    row = F.struct("rel", age.alias("age"), "title", "node_id", line.alias("line"))
+    undated = F.lit(2**31 - 1)  # sorts behind every date
+    row = F.struct("rel", F.coalesce(-F.unix_date("since"), undated).alias("age"), "title", "node_id", "until")
     texts = observed.groupBy("center").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(row)).alias("rows"))
-    return texts.select("center", "n", F.array_join(F.col("rows.line"), "\n").alias("text"))
+
+    def line(x: Column) -> Column:
+        since, until = F.date_format(F.date_from_unix_date(-x["age"]), "yyyy-MM-dd"), F.date_format(x["until"], "yyyy-MM-dd")
+        dated, ended = x["age"] < undated, x["until"].isNotNull()
+        stamp = F.when(dated & ended, F.concat(F.lit(" (as of "), since, F.lit(", until "), until, F.lit(")")))
+        stamp = stamp.when(dated, F.concat(F.lit(" (as of "), since, F.lit(")"))).when(ended, F.concat(F.lit(" (until "), until, F.lit(")"))).otherwise("")
+        return F.concat(F.lit("["), x["rel"], F.lit("] "), x["title"], stamp)
+
+    return texts.select("center", "n", F.array_join(F.transform("rows", line), "\n").alias("text"))
 
 
 def recent(nodes: DataFrame, chunks: DataFrame, most: int) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import ledger as L
 from ..operators import records as R
+from ..sources.stage import cut
 from .catalog import _LINKS, _TYPES, query
 from .records import _OBS, _SEEDS, _observations
 
@@ -112,7 +113,7 @@ _SIGNED = """s as (select center, case when n >= 8 then 'full' when n >= 3 then
 @query(f"+ {_OBS.lstrip().removeprefix('+')}, {_SIGNED} select center as id, signature, tier from s where cast(substring(center, 3) as int) % 4 <> 0", "nodes", "edges")
 def profile_refresh(m):
     """Hubs whose neighbourhood or tier changed since their profile was written, or that have none."""
-    wanted = _signatures(m).select(F.col("center").alias("id"), "signature", "tier")
+    wanted = cut(_signatures(m).select(F.col("center").alias("id"), "signature", "tier"))
     n = F.expr("cast(substring(id, 3) as int)")
     stored = wanted.where(n % 2 == 0).select("id", F.when(n % 4 == 0, F.col("signature")).otherwise("old").alias("signature"))
     return L.refreshed(wanted, stored)

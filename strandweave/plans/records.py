@@ -8,6 +8,8 @@ from ..functions import columns as C
 from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import records as R
+from ..sources.bind import KINDS
+from ..sources.clustered import around
 from ..streaming import marks as MK
 from .catalog import _AROUND, _LINKS, _SURF, _TYPES, ORACLE_SQL, QUERIES, TODAY, _near, query
 
@@ -28,7 +30,7 @@ texts as (select center, count(*) as n, string_agg(line, chr(10) order by rel, s
 
 def _observations(m):
     hubs = G.live(m.nodes).where(F.col("type").isin("place", "project")).select(F.col("id").alias("center"))
-    return R.observations(m.ends, hubs)
+    return R.observations(around(m, hubs, KINDS["place"] + KINDS["project"]))
 
 
 @query(f"+ {_OBS} select center, rel, title, node_id, since, until from obs", "nodes", "edges")
