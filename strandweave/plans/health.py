@@ -28,7 +28,7 @@ def _tombstones(m):
 @query(f"+ {_LINKS} select n.id, count(other) as degree, case when count(other) >= 8 then 'full' when count(other) >= 3 then 'snapshot' else 'stub' end as tier from nodes n left join links on links.id = n.id where merged_into is null group by 1", "nodes", "edges")
 def profile_tier(m):
     degree = F.coalesce("degree", F.lit(0))
-    rows = G.live(m.nodes).select("id").join(E.degrees(m.links), "id", "left")
+    rows = G.live(m.nodes).select("id").join(m.degrees, "id", "left")
     return rows.select("id", degree.alias("degree"), C.profile_tier(degree).alias("tier"))
 
 

@@ -18,7 +18,7 @@ _LIVE = "nodes where merged_into is null"
 
 @query(f"+ {_LINKS}, deg as (select id, count(*) as degree from links group by 1) select n.id, title, coalesce(degree, 0) as degree, case when degree >= 8 then 'full' when degree >= 3 then 'snapshot' else 'stub' end as tier from nodes n left join deg on deg.id = n.id where merged_into is null and type in {_TYPES}", "nodes", "edges")
 def node_detail(m):
-    return R.details(m.nodes, E.degrees(m.links))
+    return R.details(m.nodes, m.degrees)
 
 
 _OBS = f"""hubs as (select id as center from {_LIVE} and type in ('place', 'project')),
@@ -47,7 +47,7 @@ def profile_stub(m):
 
 @query(f"+ {_LINKS} select n.id, title, count(*) as degree from nodes n join links on links.id = n.id where merged_into is null and type in {_TYPES} group by 1, 2 order by degree desc, n.id limit 20", "nodes", "edges")
 def capsule_hubs(m):
-    hubs = R.details(m.nodes, E.degrees(m.links)).where("degree > 0")
+    hubs = R.details(m.nodes, m.degrees).where("degree > 0")
     return hubs.select("id", "title", "degree").orderBy(F.desc("degree"), "id").limit(20)
 
 
