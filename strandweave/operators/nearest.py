@@ -8,7 +8,8 @@ results are exact at every size, and what is saved follows from how clustered th
 
 Equal vectors are one vector with its smallest ids, however many bear it, so a group of copies costs no more than a
 row.  Centroids are fitted on at most ``SAMPLE`` vectors and number at most ``MOST_CELLS``; every vector is indexed.
-Cells over ``BLOCK`` vectors are split among tasks.  Zero vectors and nulls are no one's neighbours.
+Cells over ``BLOCK`` vectors are split, and what is left is dealt by ``SHARD`` vectors to tasks; a query goes once to each
+task that holds one of its cells, so a search of most cells is sent as often as there are tasks, not cells.  Zero vectors and nulls are no one's neighbours.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import cut
 
 SAMPLE, MOST_CELLS, ROWS_A_CELL, BLOCK, PROBES = 20_000, 4_096, 512, 2_048, 8
-#: Queries that one task takes at a time.
-MOST_QUERIES = 100_000
+#: Queries and vectors that one task takes at a time, rows of a product and the candidates that it keeps before they are cut.
+MOST_QUERIES, SHARD, ROWS, KEPT = 16_384, 16_384, 1_024, 500_000
 #: Scores have six digits; bounds are loosened by more than that.
 _SLACK = 5e-6
 
@@ -57,6 +59,7 @@ class Index:
     members: DataFrame  #: (cell, block, k1, k2, first, embedding)
     bearers: DataFrame  #: (k1, k2, id), at most ``ids`` of each
     ids: int
+    sizes: np.ndarray  #: members of a cell
 
 
 def _fit(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
@@ -83,10 +86,10 @@ def build(points: DataFrame, ids: int, rows_a_cell: int = ROWS_A_CELL, block: in
     if n and cells <= PROBES:  # a search would visit every cell: one cell, split as it must be
         blocks = -(-n // block)
         members = rows.select(F.lit(0).cast("bigint").alias("cell"), F.pmod(F.xxhash64("k2"), F.lit(blocks)).cast("int").alias("block"), "k1", "k2", "first", "embedding")
-        return Index(np.zeros((1, 1)), np.full(1, np.pi), np.array([blocks]), members, borne.select("k1", "k2", "id"), ids)
+        return Index(np.zeros((1, 1)), np.full(1, np.pi), np.array([blocks]), members, borne.select("k1", "k2", "id"), ids, np.array([n]))
     sample = distinct.select("embedding", F.xxhash64("k1", F.lit(7)).alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     if not len(sample):
-        return Index(np.zeros((0, 1)), np.zeros(0), np.zeros(0, int), borne.limit(0), borne.limit(0), ids)
+        return Index(np.zeros((0, 1)), np.zeros(0), np.zeros(0, int), borne.limit(0), borne.limit(0), ids, np.zeros(0, int))
     centroids = _fit(_unit(sample["embedding"]), min(cells, len(sample)))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,76 +102,111 @@ def build(points: DataFrame, ids: int, rows_a_cell: int = ROWS_A_CELL, block: in
     kind = points.schema["embedding"].dataType.simpleString()
     name = points.schema["id"].dataType.simpleString()
     rows = cut(rows.mapInPandas(placed, f"k1 bigint, k2 bigint, first {name}, embedding {kind}, cell bigint, angle double"))
-    radii, blocks = np.full(len(centroids), -1.0), np.ones(len(centroids), int)
+    radii, blocks, sizes = np.full(len(centroids), -1.0), np.ones(len(centroids), int), np.zeros(len(centroids), int)
     for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # a row a cell
-        radii[r.cell], blocks[r.cell] = r.radius, -(-r.n // block)
+        radii[r.cell], blocks[r.cell], sizes[r.cell] = r.radius, -(-r.n // block), r.n
     split = F.create_map(*[F.lit(int(x)) for c in np.flatnonzero(blocks > 1) for x in (c, blocks[c])]) if (blocks > 1).any() else None
     parts = F.lit(1) if split is None else F.coalesce(split[F.col("cell").cast("int")], F.lit(1))
     members = rows.select("cell", F.pmod(F.xxhash64("k2"), parts).cast("int").alias("block"), "k1", "k2", "first", "embedding")
-    return Index(centroids, radii, blocks, members, borne.select("k1", "k2", "id"), ids)
+    return Index(centroids, radii, blocks, members, borne.select("k1", "k2", "id"), ids, sizes)
 
 
-def _routes(index: Index, floor: float, probes: int, rest: bool):
-    """Rows of queries with the (cell, block) pairs to visit: the nearest cells, or the others that are not ruled out."""
-    centroids, radii, blocks = index.centroids, index.radii, index.blocks
+def _asked(centroids: np.ndarray, radii: np.ndarray, x: np.ndarray, least: np.ndarray, probes: int, rest: bool) -> np.ndarray:
+    """Which cells queries visit: the nearest ones, or the others that are not ruled out."""
+    if len(centroids) == 1:
+        return np.ones((len(x), 1), bool)
+    angle = _angle(x @ centroids.T)
+    near = np.zeros(angle.shape, bool)
+    near[np.arange(len(x))[:, None], np.argpartition(angle, min(probes, angle.shape[1]) - 1, axis=1)[:, :probes]] = True
+    open_ = (angle - radii[None, :] <= _angle(least - _SLACK)[:, None] + 1e-9) & (radii[None, :] >= 0)
+    return open_ & (~near if rest else near)
 
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            angle = _angle(_unit(pdf["embedding"]) @ centroids.T)
-            near = np.zeros(angle.shape, bool)
-            nearest = np.argpartition(angle, min(probes, angle.shape[1]) - 1, axis=1)[:, :probes]
-            near[np.arange(len(pdf))[:, None], nearest] = True
-            least = np.maximum(pdf["least"].to_numpy(float), floor) - _SLACK
-            open_ = (angle - radii[None, :] <= _angle(least)[:, None] + 1e-9) & (radii[None, :] >= 0)
-            row, cell = np.nonzero(open_ & (~near if rest else near))
-            times = blocks[cell]
-            row, cell, last = np.repeat(row, times), np.repeat(cell, times), np.repeat(np.cumsum(times), times)
-            yield pdf.iloc[row].drop(columns="least").assign(cell=cell, block=(last - np.arange(len(row)) - 1).astype(np.int32))
-
-    return routed
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(column), -1).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _visit(index: Index, queries: DataFrame, k: int, floor: float, probes: int, rest: bool, many: int) -> DataFrame:
-    """(q1, q2, k1, k2, first, score): each query's best ``k`` of every visited block, at or over the floor."""
+    """(q1, q2, k1, k2, first, score): each query's best ``k`` of every task's visited cells, at or over the floor.
+
+    A query is sent once to each task with one of its cells.  A task holds some ``SHARD`` members and ``MOST_QUERIES`` queries
+    as matrices; products are of ``ROWS`` queries and a cell's block, and what they find is cut to ``k`` a query as it grows.
+    """
+    centroids, radii, blocks = index.centroids, index.radii, index.blocks
+    first_slot = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+    size = np.repeat(index.sizes / blocks, blocks)
+    shard = ((np.cumsum(size) - size) // SHARD).astype(int)  # of each cell's blocks, in order
+    touch = np.zeros((len(blocks), shard[-1] + 1), bool)
+    touch[np.repeat(np.arange(len(blocks)), blocks), shard] = True
     kind = queries.schema["embedding"].dataType.simpleString()
-    if len(index.centroids) == 1:
-        sent = queries.select("q1", "q2", "embedding", F.lit(0).cast("bigint").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(int(index.blocks[0]) - 1))).alias("block"))
-        return _met(index, sent, k, floor, many)
-    sent = queries.select("q1", "q2", "embedding", "least").mapInPandas(_routes(index, floor, probes, rest), f"q1 bigint, q2 bigint, embedding {kind}, cell bigint, block int")
-    return _met(index, sent, k, floor, many)
+    rows_a_product, block, most_kept = ROWS, BLOCK, KEPT
 
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), rows_a_product):
+                part = pdf.iloc[at : at + rows_a_product]
+                asked = _asked(centroids, radii, _unit(part["embedding"]), np.maximum(part["least"].to_numpy(float), floor), probes, rest)
+                for s in range(touch.shape[1]):
+                    own = asked[:, touch[:, s]].any(1)
+                    if own.any():
+                        yield part[own].assign(shard=np.int32(s))
 
-def _met(index: Index, sent: DataFrame, k: int, floor: float, queries: int) -> DataFrame:
-    """Queries and members of each (cell, block) as one matrix product a task."""
     name = index.members.schema["first"].dataType.simpleString()
-
-    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    schema = f"q1 bigint, q2 bigint, k1 bigint, k2 bigint, first {name}, score double"
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        small = held.select(["cell", "first"]).to_pandas()
+        out = [asked.select(["q1", "q2"]).slice(0, 0), held.select(["k1", "k2", "first"]).slice(0, 0), pa.array([], pa.float64())]
+        if asked.num_rows and held.num_rows:
+            by = np.lexsort((small["first"].rank(method="first").to_numpy(), small["cell"].to_numpy()))
+            held, small = held.take(pa.array(by)), small.iloc[by]
+            place = small["first"].rank(method="first").to_numpy()  # ties go to the smaller id
+            y, cells = _matrix(held["embedding"]), small["cell"].to_numpy()
+            cuts = np.flatnonzero(np.diff(cells, prepend=-1))
+            ranges = [(a, min(a + block, b)) for lo, b in zip(cuts, [*cuts[1:], len(cells)], strict=True) for a in range(lo, b, block)]
+            found = []
+            for at in range(0, asked.num_rows, rows_a_product):
+                part = asked.slice(at, rows_a_product)
+                x, least = _matrix(part["embedding"]), np.maximum(part["least"].to_numpy(), floor)
+                visit = _asked(centroids, radii, x, least, probes, rest)
+                kept, waiting = (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), []
+                bound = least - 1e-9  # what a query has k of already need not be beaten by less
+
+                def cut_down(kept, waiting, place=place, bound=bound):
+                    row, col, score = (np.concatenate(c) for c in zip(kept, *waiting, strict=True))
+                    order = np.lexsort((place[col], -score, row))
+                    row, col, score = row[order], col[order], score[order]
+                    starts = np.flatnonzero(np.diff(row, prepend=-1))
+                    nth = np.arange(len(row)) - np.repeat(starts, np.diff([*starts, len(row)]))
+                    last = nth == k - 1
+                    bound[row[last]] = np.maximum(bound[row[last]], score[last] - 1e-9)
+                    return row[nth < k], col[nth < k], score[nth < k]
+
+                for a, b in ranges:
+                    rows = np.flatnonzero(visit[:, cells[a]])
+                    if not len(rows):
+                        continue
+                    cos = np.round(x[rows] @ y[a:b].T, 6)
+                    i, j = np.nonzero(cos >= bound[rows][:, None])
+                    waiting.append((rows[i], j + a, cos[i, j]))
+                    if sum(len(w[0]) for w in waiting) > most_kept:
+                        kept, waiting = cut_down(kept, waiting), []
+                row, col, score = cut_down(kept, waiting)
+                found.append((row + at, col, score))
+            row, col, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            out = [asked.select(["q1", "q2"]).take(pa.array(row)), held.select(["k1", "k2", "first"]).take(pa.array(col)), pa.array(score)]
         names = ["q1", "q2", "k1", "k2", "first", "score"]
-        if not len(asked) or not len(held):
-            return pd.DataFrame(columns=names)
-        held = held.sort_values("first", kind="stable")  # ties go to the smaller id
-        y, out = _unit(held["embedding"]), []
-        for at in range(0, len(asked), BLOCK):
-            part = asked.iloc[at : at + BLOCK]
-            cos = np.round(_unit(part["embedding"]) @ y.T, 6)
-            order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            row, col = np.repeat(np.arange(len(part)), order.shape[1]), order.ravel()
-            ok = cos[row, col] >= floor
-            row, col = row[ok], col[ok]
-            out.append(pd.DataFrame({n: part[n].to_numpy()[row] for n in names[:2]} | {n: held[n].to_numpy()[col] for n in names[2:5]} | {"score": cos[row, col]}))
-        return pd.concat(out)
-
-    members, keys = index.members, ["cell", "block"]
-    if queries > MOST_QUERIES:  # a cell that many ask is asked in shares, each with its members
-        sent = cut(sent)
-        often = sent.groupBy(*keys).agg(F.ceil(F.count("*") / MOST_QUERIES).alias("shares"))  # a row a block
-        sent = sent.join(often, keys).withColumn("share", F.pmod(F.xxhash64("q2"), F.col("shares")).cast("int")).drop("shares")
-        members = members.join(often, keys).withColumn("share", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int")))).drop("shares")
-        keys = [*keys, "share"]
-    met = sent.groupBy(*keys).cogroup(members.groupBy(*keys))
-    return met.applyInPandas(best, f"q1 bigint, q2 bigint, k1 bigint, k2 bigint, first {name}, score double")
+        return pa.table([*out[0].columns, *out[1].columns, out[2]], names=names)
+
+    shares = max(1, -(-many // MOST_QUERIES))
+    sent = queries.select("q1", "q2", "embedding", "least").mapInPandas(routed, f"q1 bigint, q2 bigint, embedding {kind}, least double, shard int")
+    sent = sent.withColumn("share", F.pmod(F.xxhash64("q2"), F.lit(shares)).cast("int"))
+    slots, starts = (F.array(*[F.lit(int(v)) for v in values]) for values in (shard, first_slot))
+    members = index.members.withColumn("shard", slots[starts[F.col("cell").cast("int")] + F.col("block")])
+    members = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return sent.groupBy("shard", "share").cogroup(members.groupBy("shard", "share")).applyInArrow(best, schema)
 
 
 def _top(found: DataFrame, keys: list[str], order: list[Column | str], k: int) -> DataFrame:

@@ -60,6 +60,33 @@ def test_index_splits_cells_and_takes_other_queries(spark, vectors, monkeypatch)
         N.search(index, asked, 6, 0.3)
 
 
+@pytest.mark.parametrize("floor", [-1.0, 0.2])
+def test_index_of_vectors_without_clusters_is_cut_as_it_grows(spark, monkeypatch, floor):
+    for name, value in {"SHARD": 64, "MOST_QUERIES": 50, "ROWS": 16, "KEPT": 40, "BLOCK": 24}.items():
+        assert hasattr(N, name)
+        monkeypatch.setattr(N, name, value)
+    x = np.random.default_rng(11).normal(size=(400, 16))
+    x[300:340] = x[0]
+    ids = [f"v{k:03d}" for k in np.random.default_rng(12).permutation(400)]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "id string, embedding array<double>").repartition(3)
+    for block in (2_048, 16):  # cells whole, and split among tasks
+        found = N.search(N.build(df, 7, 30, block), df, 5, floor, 2)
+        assert sorted(map(tuple, found.collect())) == nearest(ids, x, 5, floor, range(400))
+
+
+def test_a_query_is_sent_once_to_a_task_and_not_to_each_cell(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD", 150)
+    x = np.random.default_rng(1).normal(size=(300, 16))
+    df = spark.createDataFrame([(f"v{k:03d}", v) for k, v in enumerate(x.tolist())], "id string, embedding array<double>")
+    index = N.build(df, 4, 10)
+    queries = df.selectExpr("xxhash64(id) as q1", "xxhash64(1, id) as q2", "embedding", "-1d as least")
+    tasks = []
+    cogroup = type(df.groupBy("id")).cogroup
+    monkeypatch.setattr(type(df.groupBy("id")), "cogroup", lambda self, other: tasks.append((self._df.count(), other._df.count())) or cogroup(self, other))
+    N._visit(index, queries, 3, -1.0, 1, True, 300)
+    assert len(index.centroids) == 30 and tasks[0][0] <= 300 * 3 and tasks[0][1] == 300
+
+
 def test_folds_in_order(spark):
     names = ["ann", "bob", "cy", "di", "eve", "fay", "gus", "hal"]
     for trial in range(3):
