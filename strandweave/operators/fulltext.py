@@ -50,10 +50,21 @@ def lexemes(groups: list[list[Term]]) -> list[str]:
     return sorted({x for g in groups for t in g for _, x in t.lexemes})
 
 
-def postings(texts: DataFrame) -> DataFrame:
+def stem_start(lexeme: str) -> str:
+    """What every word of a lexeme begins with: stemming changes or adds two letters at most and never the first."""
+    return lexeme[: max(1, len(lexeme) - 2)]
+
+
+def postings(texts: DataFrame, asked: list[str] | None = None) -> DataFrame:
     """(node_id, chunk_index, lexeme, positions) of texts (node_id, chunk_index, content), without a shuffle; words are
-    runs of letters and digits, counted from 1; a null or empty text has none."""
+    runs of letters and digits, counted from 1; a null or empty text has none.
+
+    With ``asked`` lexemes only theirs are sure to be made: texts without a word that begins as one of them are not taken apart."""
     words = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    starts = None if asked is None else tuple(sorted({stem_start(x) for x in asked}))
+    if starts is not None:
+        begins = r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(rf"\Q{x}\E" for x in starts) + ")"
+        texts = texts.where(F.lower("content").rlike(begins) if starts else F.lit(False))
     rows = texts.where("content is not null").select(*KEYS, words.alias("words"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*KEYS).schema.fields) + ", lexeme string, positions array<int>"
 
@@ -61,6 +72,8 @@ def postings(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             flat = pd.DataFrame({"row": np.repeat(np.arange(len(pdf)), pdf["words"].map(len)), "word": [w for ws in pdf["words"] for w in ws]})
             flat["at"] = flat.groupby("row").cumcount() + 1
+            if starts is not None:
+                flat = flat[flat["word"].isin([w for w in flat["word"].unique() if w.startswith(starts)])]
             flat = flat[~flat["word"].isin(TEXT_STOP_WORDS)]
             if flat.empty:
                 continue

@@ -18,7 +18,8 @@ def _profiles(m):
 
 def _scores(m, text):
     texts = m.chunks.select("node_id", "chunk_index", "content").union(_profiles(m))
-    return T.scores(T.postings(texts), T.question(text))
+    asked = T.question(text)
+    return T.scores(T.postings(texts, T.lexemes(asked)), asked)
 
 
 @query(None)

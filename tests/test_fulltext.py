@@ -95,3 +95,22 @@ def test_stored_postings_give_the_same_and_read_their_buckets_only(spark, tmp_pa
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "In(lexeme" in plan
     assert T.stored(spark, str(tmp_path / "p"), T.question("the")).count() == 0
+
+
+def test_words_begin_as_their_lexemes_say(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).distinct()
+    words = {r.w for r in rows.collect()} | set(STEMS[::2]) | set("skis skies dying lying tying idly gently ugly early only singly yes sensibility possibilities y yy".split())
+    ends = "s ed ing ied ies ational tional ability ibility biliti iviti ization izer ously fulness ousness alism ement ly li logi ance ence ate icate alize y ee sses eedly ingly".split()
+    words |= {a + b for a in ("t", "by", "sens", "relat", "happ", "cab", "trouble", "luxur", "hop", "conflat", "geo", "siz") for b in ends}
+    assert len(words) > 300
+    assert not [w for w in words if not w.startswith(T.stem_start(stem(w)))]
+
+
+def test_a_search_takes_only_texts_apart_that_can_hold_its_words(spark):
+    texts = ["Order 12 4-NOT SPECIFIED", "things, hable", None, "", "xthing", "THING thing"]
+    rows = frame(spark, texts)
+    asked = T.question("thing or hable")
+    made = T.postings(rows, T.lexemes(asked))
+    assert {r[0] for r in made.collect()} == {"n1", "n5"}
+    assert sorted(T.scores(made, asked).collect()) == sorted(T.scores(T.postings(rows), asked).collect())
+    assert T.postings(rows, []).count() == 0
