@@ -62,3 +62,22 @@ def test_a_frequent_name_is_matched_once_and_not_by_pairs(spark):
     assert pairs.count() == 3 and own.count() == 4500  # two sets in themselves, one in the other; "lee" tells no one apart
     links = spark.createDataFrame([(r[0], f"o{r[0]}") for r in rows], "id string, other string")
     assert E.linked_pairs(forms, links).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 100])
+def test_candidates_are_counted_as_they_would_be_listed(spark, people, most, monkeypatch):
+    rows, _ = people
+    nodes = spark.createDataFrame(rows, SCHEMA)
+    r = random.Random(8)
+    said = [(" ".join(r.choices(["anna", "Bert", "lee", "carla", "dora", "nobody", "x"], k=r.randrange(1, 4))), r.choice(["person", "place"])) for _ in range(80)]
+    mentions = spark.createDataFrame([*said, ("", "person"), ("zz", "place")], "mention string, type string")
+    exact, token = E.exact_matches(nodes, mentions).collect(), E.token_matches(nodes, mentions, most).collect()
+    monkeypatch.setattr(E, "token_matches", None)  # mentions with a frequent word are not listed one by one
+    found = {(x.mention, x.type): (x.candidates, x.exact, x.outcome) for x in E.decide(nodes, mentions, most).collect()}
+    assert len(found) == len({*said}) + 2
+    for (mention, kind), (n, x, outcome) in found.items():
+        own = {e.id for e in exact if (e.mention, e.type) == (mention, kind)}
+        every = own | {t.id for t in token if (t.mention, t.type) == (mention, kind)}
+        assert (n, x) == (len(every), len(own))
+        assert outcome == ("mint" if not every else f"link:{min(own)}" if len(own) == 1 else "review")
+    assert {o.split(":")[0] for _, _, o in found.values()} == {"mint", "link", "review"} and max(n for n, _, _ in found.values()) >= 3
